@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat_trees, decontaminate, records, token_counts, toxicity
+from . import boosting, chat_trees, decontaminate, fingerprints, records, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.quality_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -57,5 +61,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_binary_records, op4_decontamination, op6_quality, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_binary_records, op4_decontamination, op5_fingerprints, op6_quality, op10_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {}
