@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat_trees, decontaminate, fingerprints, jaccard_join, records, token_counts, toxicity
+from . import boosting, chat_trees, decontaminate, fingerprints, jaccard_join, records, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.quality_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_query(_read(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_binary_records, op4_decontamination, op5_fingerprints, op6_quality, op8_jaccard_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_binary_records, op4_decontamination, op5_fingerprints, op6_quality, op7_suffix_dedup, op8_jaccard_join, op10_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {}
