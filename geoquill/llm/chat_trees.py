@@ -1,8 +1,8 @@
 """Reply trees to chat text, with DataFrame operations only.
 
-Every node knows its parent. Self-joins double the reach of "ancestor" until no node has one left, so a tree of depth D
-takes about log2(D) joins; scores along a branch are summed on the way. Branches (leaves) are ranked by score, and the
-nodes of each chosen branch are enumerated by the same doubled tables in reverse. One branch becomes one conversation.
+Every node knows its parent. Self-joins double the reach of "ancestor" until no node has one that far, so a tree of
+depth D takes about log2(D) joins, over ever fewer nodes. The doubled tables in reverse enumerate the nodes of every
+root-to-leaf path; paths are ranked by their summed scores, and each chosen one becomes one conversation.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside texts a backslash is doubled and ``<|`` becomes
 ``<\\|``, so no control string survives in a text and the text can be had back. In roles, ``%`` and line ends are
@@ -45,33 +45,28 @@ def branches(nodes: DataFrame, keep: int | None = None) -> DataFrame:
     branches wanted of each tree, best summed score first, ties by leaf id; None keeps all. Nodes on a cycle have no
     leaf below a root and are left out.
     """
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(1).alias("known"))
-    base = nodes.join(known, ["tree", "parent"], "left").select(
-        "tree", "node", F.when(F.col("known") == 1, F.col("parent")).alias("anc"), F.coalesce("score", F.lit(0.0)).alias("s")
-    )
-    ups = [stored(base, "reply-up")]
-    left = ups[0].where("anc is not null").count()
-    while left:
-        a = ups[-1]
-        b = a.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("s").alias("s2"))
-        two = a.join(b, ["tree", "anc"], "left").select("tree", "node", F.col("anc2").alias("anc"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"))
-        ups.append(stored(two, "reply-up"))
-        now = ups[-1].where("anc is not null").count()
-        if now == left and len(ups) > 40:  # longer than any path can be: what is left runs in cycles
+    known = nodes.select("tree", F.col("node").alias("parent"))
+    ups, n = [stored(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("anc")), "reply-up")], nodes.count()
+    looped = None
+    while not ups[-1].isEmpty():
+        if 2 ** (len(ups) - 1) > n:  # no path is that long: what still climbs runs in a circle
+            looped = ups.pop().select("tree", "node")
             break
-        left = now
-    parents = ups[0].where("anc is not null").select("tree", F.col("anc").alias("node")).distinct()
-    leaves = ups[-1].where("anc is null").join(parents, ["tree", "node"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("s"), "node"))
-    chosen = leaves.select("tree", F.col("node").alias("leaf"), rank.alias("branch_rank"), F.col("s").alias("branch_score"))
-    if keep is not None:
-        chosen = chosen.where(F.col("branch_rank") <= keep)
-    path = chosen.select("*", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("dist"))
-    for k in reversed(range(len(ups) - 1)):  # a step of 2**k from every node that is on the path so far
-        step = ups[k].select("tree", "node", "anc")
+        far = ups[-1].select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
+        ups.append(stored(ups[-1].join(far, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc")), "reply-up"))
+    parents = ups[0].select("tree", F.col("anc").alias("node")).distinct()
+    leaves = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
+    if looped is not None:
+        leaves = leaves.join(looped, ["tree", "node"], "left_anti")
+    path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
+    for k in reversed(range(len(ups))):  # a step of 2**k from every node that is on the path so far
         both = F.array(F.struct("node", "dist"), F.struct(F.col("anc").alias("node"), (F.col("dist") + 2**k).alias("dist")))
-        path = path.join(step, ["tree", "node"]).select("tree", "leaf", "branch_rank", "branch_score", F.inline(both)).where("node is not null")
-    return path
+        path = path.join(ups[k], ["tree", "node"], "left").select("tree", "leaf", F.inline(both)).where("node is not null")
+    path = stored(path, "reply-paths")
+    scores = path.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
+    chosen = scores.withColumn("branch_rank", rank)
+    return path.join(chosen.where(F.col("branch_rank") <= keep) if keep is not None else chosen, ["tree", "leaf"])
 
 
 def format_branches(nodes: DataFrame, path: DataFrame, loss_role: str = "assistant") -> DataFrame:
