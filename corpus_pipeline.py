@@ -1,17 +1,54 @@
-"""Corpus pipeline: a list of stages, each over all that the one before kept."""
+"""Corpus pipeline: stages over all that the one before kept, written and read again between them."""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from geoquill.llm import boosting, decontaminate, jaccard_join, sentencepieces, suffix_dedup
+from geoquill.llm.common import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality forest accepts; it is fitted on labelled documents of this stage's input."""
+    forest = boosting.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return boosting.score_quality(docs, forest).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity of 0.8 or more."""
+    return jaccard_join.one_of_each(docs)
+
 
+def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 100 bytes that start earlier."""
+    return suffix_dedup.dedup_texts(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their SentencePiece ids."""
+    return sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_text", repeated_text),
+    ("benchmark_leaks", benchmark_leaks),
+    ("pieces", pieces),
+]
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from geoquill.llm.common import stored
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, "pipeline")
+            docs = stored(docs, f"pipeline-{name}")
     return docs

@@ -116,3 +116,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows in which any window of the items occurs; all columns and all other rows stay."""
+    found = contamination(docs, items, size).where("contaminated").select("doc_id")
+    return docs.join(found.distinct(), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")

@@ -243,3 +243,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     out = out.unionByName(signed.where("n = 0").select("d", "n", F.col("d").alias("component")))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(known("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with only the document of the least id of each component; all columns stay.
+
+    Documents without words are alone in theirs and stay. Rows that repeat id and text become one.
+    """
+    kept = jaccard_components(docs, k, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept").dropDuplicates(["doc_id", "text"])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat_trees, decontaminate, fingerprints, jaccard_join, records, suffix_dedup, token_counts, toxicity
+from . import boosting, chat_trees, decontaminate, fingerprints, jaccard_join, records, sentencepieces, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = sentencepieces.decode(sentencepieces.encode(docs, model), model)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -69,5 +76,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_binary_records, op4_decontamination, op5_fingerprints, op6_quality, op7_suffix_dedup, op8_jaccard_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_binary_records, op4_decontamination, op5_fingerprints, op6_quality, op7_suffix_dedup, op8_jaccard_join, op9_sentencepiece, op10_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {}

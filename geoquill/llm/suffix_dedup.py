@@ -319,3 +319,30 @@ def dedup_query(docs: DataFrame) -> DataFrame:
     if ids is not None:
         out = out.join(ids, "d").drop("d", "h").withColumnRenamed("k", "d")
     return out.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def dedup_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated bytes cut out of text, and n_chars to match if there is such a column.
+
+    A cut may fall inside a character; what is left of one is dropped. Rows stay, with an empty text if nothing is left;
+    null texts become empty. Rows that repeat id and text are cut alike, by their first.
+    """
+    rows, ids = unique_rows(docs)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            yield pd.DataFrame({"d": b["d"], "kept": [kept_bytes(x, m)[0].decode("utf-8", "ignore") for x, m in zip(data, b["m"], strict=True)]})
+
+    m = removed_spans(rows).where("m is not null").mapInPandas(cut, "d long, kept string")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    keyed = docs.withColumn("_k", key)
+    if ids is None:
+        keyed = keyed.join(m.withColumnRenamed("d", "_k"), "_k", "left")
+    else:
+        m = m.join(ids, "d").select(F.col("k").alias("_k"), F.col("h").alias("_h"), "kept")
+        keyed = keyed.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(m, ["_k", "_h"], "left")
+    out = keyed.withColumn("text", F.coalesce("kept", "text", F.lit("")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
