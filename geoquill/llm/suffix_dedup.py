@@ -102,22 +102,32 @@ def self_repeating(n: np.ndarray, window: np.ndarray) -> np.ndarray:
 
 
 _ROWS = ["anchor", "run", "d", "start", "n", "inner"]
-_SCHEMA = "anchor long, run long, d long, start int, n int, inner int, others array<struct<d:long,start:int>>"
+_SCHEMA = "anchor long, run long, d long, start int, n int, inner int, marks array<struct<start:int,n:int>>"
 
 
 def _collapsed(rows: np.ndarray) -> pd.DataFrame:
-    """Rows (anchor, run, d, start, n, inner) with equal (anchor, run) made one: the first, and where the others are."""
-    order = np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))
-    rows = rows[order]
+    """Runs of a batch: the first of each kind as it is, and one more row per document with all its later ones.
+
+    The latter repeat an earlier run of the batch. Their ``marks`` are merged where they touch; a hash of the document
+    stands for the anchor, which only spreads these rows.
+    """
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
     new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]) if len(rows) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(rows)))
-    others: list = [[]] * len(at)
-    for k in np.flatnonzero(size > 1):
-        others[k] = [{"d": int(d), "start": int(s)} for d, s in rows[at[k] + 1 : at[k] + size[k], 2:4]]
-    out = pd.DataFrame(rows[at], columns=_ROWS)
-    out["others"] = pd.Series(others, dtype=object)
-    return out
+    first = pd.DataFrame(rows[new], columns=_ROWS)
+    first["marks"] = pd.Series([None] * len(first), dtype=object)
+    later = rows[~new][:, 2:5]
+    later = later[np.lexsort((later[:, 1], later[:, 0]))]
+    if not len(later):
+        return first
+    d, start, n = later.T
+    at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (start[1:] != start[:-1] + n[:-1])]))
+    spans = np.add.reduceat(n, at)
+    d, start = d[at], start[at]
+    own = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    marks = [[{"start": s, "n": k} for s, k in zip(x.tolist(), y.tolist(), strict=True)] for x, y in zip(np.split(start, own[1:]), np.split(spans, own[1:]), strict=True)]
+    told = pd.DataFrame({"anchor": mix(d[own].view(U)).view(np.int64), "run": 0, "d": d[own], "start": 0, "n": 0, "inner": 0})
+    told["marks"] = pd.Series(marks, dtype=object)
+    return pd.concat([first, told], ignore_index=True)
 
 
 def _table(batch: pd.DataFrame, hot: np.ndarray) -> np.ndarray:
@@ -194,21 +204,23 @@ def _scan_group(g: pd.DataFrame) -> pd.DataFrame:
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """Rows by anchor: whether a run is the first of its kind, and how many kinds of run its anchor has."""
-    kind = Window.partitionBy("anchor", "run").orderBy("d", "start")
-    anchor = Window.partitionBy("anchor")
-    ranked = rows.select("*", F.row_number().over(kind).alias("rn")).select("*", F.sum((F.col("rn") == 1).cast("int")).over(anchor).alias("kinds"))
-    return ranked.where("kinds > 1 or rn > 1 or size(others) > 0 or inner = 1")
+    told = F.col("marks").isNotNull()
+    kind = Window.partitionBy("anchor", "told", "run").orderBy("d", "start")
+    anchor = Window.partitionBy("anchor", "told")
+    ranked = rows.withColumn("told", told).repartition("anchor", "told").select("*", F.row_number().over(kind).alias("rn"))
+    ranked = ranked.select("*", F.sum((F.col("rn") == 1).cast("int")).over(anchor).alias("kinds"))
+    return ranked.where("told or kinds > 1 or rn > 1 or inner = 1")
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """(d, start, n) of all runs that repeat an earlier one as a whole."""
-    others = rows.select("n", F.inline("others")).select("d", "start", "n")
-    return rows.where("rn > 1").select("d", "start", "n").unionByName(others)
+    """(d, marks) of all runs that repeat an earlier one as a whole."""
+    own = F.array(F.struct("start", "n"))
+    return rows.where("told or rn > 1").select("d", F.when(F.col("told"), F.col("marks")).otherwise(own).alias("marks"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(d, start, n): n consecutive windows from byte ``start`` of document d start earlier somewhere. ``docs``: d
-    (unique), text."""
+    """(d, marks): each mark (start, n) says that n consecutive windows of document d from byte ``start`` start earlier
+    somewhere. A document has several rows, or none. ``docs``: d (unique), text."""
     small_batches(docs.sparkSession)
     n_docs = docs.count()
     picked = docs if n_docs <= SAMPLE_DOCS else docs.where(F.pmod(F.xxhash64("d", F.lit("hot")), F.lit(1_000_000)) < int(1e6 * SAMPLE_DOCS / n_docs))
@@ -228,7 +240,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     seen = stored(_grouped(docs.mapInPandas(describe, _SCHEMA)), "repeat-groups")
     marks = [_marks(seen)]
-    contested = seen.where("rn = 1 and (kinds > 1 or inner = 1)").select("anchor", "d", "start", "n", (F.col("kinds") > HOT).alias("hot"))
+    contested = seen.where("not told and rn = 1 and (kinds > 1 or inner = 1)").select("anchor", "d", "start", "n", (F.col("kinds") > HOT).alias("hot"))
     per_doc = contested.groupBy("d").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("c"))
     ids = contested.select("d").distinct()
     texts = docs.join(F.broadcast(ids), "d", "left_semi") if ids.count() <= BROADCAST_ROWS else docs
@@ -245,8 +257,8 @@ def repeats(docs: DataFrame) -> DataFrame:
                         w = gram_hashes(np.frombuffer(data, np.uint8)[s : s + n + LENGTH - 1], LENGTH).view(np.int64)
                         singles.append(_single(w, d, np.arange(s, s + n)))
                     else:
-                        rows.append((r["anchor"], 0, d, s, n, 0, [], data[s : s + n + LENGTH - 1]))
-            yield pd.DataFrame(rows, columns=[*_ROWS, "others", "bytes"])
+                        rows.append((r["anchor"], 0, d, s, n, 0, None, data[s : s + n + LENGTH - 1]))
+            yield pd.DataFrame(rows, columns=[*_ROWS, "marks", "bytes"])
             single = _collapsed(np.concatenate(singles))
             single["bytes"] = pd.Series([None] * len(single), dtype=object)
             yield single
@@ -254,7 +266,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     fetched = stored(texts.join(per_doc, "d").mapInPandas(fetch, _SCHEMA + ", bytes binary"), "repeat-runs")
     tasks = max(1, -(-int(volume) // TASK_BYTES))
     cold = fetched.where("bytes is not null").select("d", "start", "n", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"))
-    marks.append(cold.groupBy("task").applyInPandas(_scan_group, "d long, start int, n int"))
+    scanned = cold.groupBy("task").applyInPandas(_scan_group, "d long, start int, n int")
+    marks.append(scanned.select("d", F.array(F.struct("start", "n")).alias("marks")))
     marks.append(_marks(_grouped(fetched.where("bytes is null").drop("bytes"))))
     return marks[0].unionByName(marks[1]).unionByName(marks[2])
 
@@ -281,7 +294,7 @@ def unique_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(d, text, m): each document with its repeats, (start, n) of windows. A null ``m``: none."""
     # repeats are spread over many rows; they meet by document, and no document has more than its length allows
-    m = repeats(docs).groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("m"))
+    m = repeats(docs).groupBy("d").agg(F.flatten(F.collect_list("marks")).alias("m"))
     return docs.join(m, "d", "left")
 
 
