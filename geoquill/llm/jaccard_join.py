@@ -7,7 +7,8 @@
    list. How rare a shingle is comes from a counting sketch over all documents; any order is right, a good one is fast.
 4. Lists are not paired off. Each list first compares its members with one leader; whoever links is in one component
    with it. Lists inside one component are done. In the others only members of different components are compared, all
-   of them.
+   of them. A pair is dropped early only where a bound proves it: by sizes, by the positions of the shared shingle, or
+   by counts of hashed shingles, whose sum of minima is never less than the overlap. Only the rest is compared in full.
 5. Links become components.
 """
 
@@ -33,6 +34,10 @@ SKETCH_BITS, BLOCKS = 20, 64
 SMALLEST_LARGE = 25
 #: Leader rounds before members of different components are compared directly.
 LEADER_ROUNDS, CROSS_FACTOR = 6, 2.0
+#: Buckets of a set's count vector.
+BUCKETS = 128
+#: Rows of ids up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 NO_ID = -(2**63)
 
 
@@ -93,22 +98,25 @@ def _class_id(s: np.ndarray) -> int:
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(d, n, cid, prefix, small): set size, class id, rarest shingles, and the whole set where it is small."""
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(frequency_sketch(docs, k))
+    # as 16 bits, which sort in linear time; commoner shingles are equally last
+    sketch = spark.sparkContext.broadcast(np.minimum(frequency_sketch(docs, k), 0xFFFF).astype(np.uint16))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = sketch.value
         for b in batches:
-            n, cid, prefix, small = [], [], [], []
+            n, cid, prefix, small, counts = [], [], [], [], []
             for t in b["text"]:
                 s = shingles(word_hashes(t), k)
                 n.append(len(s))
                 cid.append(_class_id(s))
                 p = len(s) - -(-num * len(s) // den) + 1
-                prefix.append(s[np.lexsort((s, often[_slots(s)]))[:p]] if len(s) else s)
+                prefix.append(s[np.argsort(often[_slots(s)], kind="stable")[:p]] if len(s) else s)
                 small.append(s if len(s) < SMALLEST_LARGE else s[:0])
-            yield pd.DataFrame({"d": b["d"], "n": n, "cid": cid, "prefix": prefix, "small": small})
+                # buckets by the top bits; where 16 bits do not hold a count, the largest stands for any
+                counts.append(np.minimum(np.bincount((s.view(U) >> U(64 - 7)).astype(np.int64), minlength=BUCKETS), 0xFFFF).astype(np.uint16).tobytes())
+            yield pd.DataFrame({"d": b["d"], "n": n, "cid": cid, "prefix": prefix, "small": small, "counts": counts})
 
-    return stored(docs.mapInPandas(sign, "d long, n int, cid long, prefix array<long>, small array<long>"), "jaccard-signatures")
+    return stored(docs.mapInPandas(sign, "d long, n int, cid long, prefix array<long>, small array<long>, counts binary"), "jaccard-signatures")
 
 
 def boundary(classes: DataFrame, num: int, den: int) -> int:
@@ -156,9 +164,32 @@ def subset_links(classes: DataFrame, edge: int, num: int, den: int) -> DataFrame
     return met.select(F.col("cid").alias("a"), to.alias("b")).where("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; sets move to the pairs by shuffle, first the members', then the leaders'."""
-    with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def verified(docs: DataFrame, large: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Count vectors rule out most others; sets are rebuilt for what is left."""
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (np.stack([np.frombuffer(v, np.uint16) for v in b[c]]).astype(np.int64) if len(b) else np.zeros((0, BUCKETS), np.int64) for c in ("xa", "xb"))
+            most = np.where((x == 0xFFFF) & (y == 0xFFFF), 1 << 40, np.minimum(x, y)).sum(1)
+            both = b["na"].to_numpy(np.int64) + b["nb"].to_numpy(np.int64)
+            yield b.loc[most * (num + den) >= both * num, ["a", "b"]]
+
+    of = lambda c: large.select(F.col("cid").alias(c), F.col("counts").alias("x" + c), F.col("n").alias("n" + c))
+    left = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb", "na", "nb").mapInPandas(possible, "a long, b long"), "jaccard-pairs")
+    ids = stored(left.select(F.col("a").alias("cid")).unionByName(left.select(F.col("b").alias("cid"))).distinct().join(large.select("cid", "rep"), "cid"), "jaccard-active")
+
+    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(c, s) for c, s in ((c, shingles(word_hashes(t), k)) for c, t in zip(b["cid"], b["text"], strict=True)) if _class_id(s) == c]
+            yield pd.DataFrame(rows, columns=["cid", "s"])
+
+    texts = docs.join(_few(ids), docs["d"] == ids["rep"]).select("cid", "text")
+    sets = stored(texts.mapInPandas(rebuild, "cid long, s array<long>"), "jaccard-sets")
+    with_b = left.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
@@ -168,45 +199,43 @@ def list_links(docs: DataFrame, classes: DataFrame, known: DataFrame | None, edg
     """(a, b): links among sets that are not both small, enough of them to connect every component."""
     lowest = -(-num * (edge + 1) // den)
     large = classes.where(F.col("n") >= max(1, lowest))
-    entries = large.select("cid", "n", F.explode("prefix").alias("token"))
+    width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # entries move once: counting and keeping the shared ones both find them by token
+    entries = large.select("cid", "n", F.posexplode("prefix").alias("pos", "token")).repartition(width, "token")
     shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     lists = stored(entries.join(shared, "token"), "jaccard-lists")
-    active = lists.select("cid").distinct().join(large.select("cid", "rep"), "cid")
 
-    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(c, s) for c, s in ((c, shingles(word_hashes(t), k)) for c, t in zip(b["cid"], b["text"], strict=True)) if _class_id(s) == c]
-            yield pd.DataFrame(rows, columns=["cid", "s"])
+    def possible(nx, px, ny, py):
+        """Sizes fit, and from the shared shingle on, if it is the first, enough may follow in both sets."""
+        rest = F.least(nx - px, ny - py)
+        return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (rest * (num + den) >= (nx + ny) * num)
 
-    texts = docs.join(active, docs["d"] == active["rep"]).select("cid", "text")
-    sets = stored(texts.mapInPandas(rebuild, "cid long, s array<long>"), "jaccard-sets").dropDuplicates(["cid"])
-    near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     links = [known] if known is not None else []
     for turn in range(LEADER_ROUNDS + 1):
-        state = lists
+        state = lists.withColumn("c", F.col("cid"))
         if links:
             of = components(_all(links))
             state = lists.join(of.select(F.col("v").alias("cid"), "c"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
-        else:
-            state = lists.withColumn("c", F.col("cid"))
-        per = state.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("o"), "cid", "n")).alias("leader"))
-        tokens = per.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("kinds"),
-                                          F.max(F.struct("m", "c")).alias("major"), F.min("leader").alias("leader")).where("kinds > 1")
-        tokens = stored(tokens, "jaccard-open")
+        first = F.struct(F.xxhash64("cid", F.lit(turn)).alias("o"), "cid", "n", "pos")
+        per = state.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(first).alias("leader"))
+        tokens = per.groupBy("token").agg(
+            F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("kinds"), F.max(F.struct("m", "c")).alias("major"), F.min("leader").alias("leader")
+        )
+        tokens = stored(tokens.where("kinds > 1"), "jaccard-open")
         size = tokens.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
         if not size[0]:
             break
         rows = state.join(tokens, "token")
         if turn == LEADER_ROUNDS or size[1] <= CROSS_FACTOR * size[0]:
-            minor = rows.where(F.col("c") != F.col("major.c")).select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            rest = rows.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), (F.col("c") == F.col("major.c")).alias("main"))
-            cond = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb"))
+            minor = rows.where(F.col("c") != F.col("major.c")).select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
+            rest = rows.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), (F.col("c") == F.col("major.c")).alias("main"))
+            cond = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
             pairs = minor.join(rest, "token").where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            links.append(stored(verified(pairs, sets, num, den), "jaccard-links"))
+            links.append(stored(verified(docs, large, pairs, k, num, den), "jaccard-links"))
             break
-        pairs = rows.where((F.col("leader.cid") != F.col("cid")) & near(F.col("leader.n"), F.col("n")))
+        pairs = rows.where((F.col("leader.cid") != F.col("cid")) & possible(F.col("leader.n"), F.col("leader.pos"), F.col("n"), F.col("pos")))
         pairs = pairs.select(F.col("leader.cid").alias("a"), F.col("cid").alias("b")).distinct()
-        links.append(stored(verified(pairs, sets, num, den), "jaccard-links"))
+        links.append(stored(verified(docs, large, pairs, k, num, den), "jaccard-links"))
     return _all(links) if links else lists.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
 
 
@@ -230,7 +259,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     signed = signatures(docs, k, num, den)
     full = signed.where("n > 0")
     classes = stored(full.groupBy("cid").agg(F.min("d").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
-    shape = full.join(classes.select("cid", F.col("rep").alias("d")), ["cid", "d"]).select("cid", F.col("d").alias("rep"), "n", "prefix", "small").dropDuplicates(["cid"])
+    one = full.dropDuplicates(["cid", "d"]).join(classes.select("cid", F.col("rep").alias("d")), ["cid", "d"])
+    shape = one.select("cid", F.col("d").alias("rep"), "n", "prefix", "small", "counts")
     shape = stored(shape, "jaccard-shapes")
     edge = boundary(shape, num, den)
     small = stored(subset_links(shape, edge, num, den), "jaccard-links") if edge else None
