@@ -7,7 +7,7 @@ Then t = floor(ln w / r + b) and a = c * exp(-r * (t - b + 1)); for w = 1 that i
 least a is the k-th sample, and (x, t) its identity: two texts share it with probability sum(min of weights) / sum(max
 of weights), their generalised Jaccard similarity.
 
-A fingerprint is ``SAMPLES`` identities of 32 bits in hexadecimal. Texts without words have one term of their own.
+A fingerprint is ``SAMPLES`` identities of 32 bits, shown in hexadecimal. Texts without words have one term of their own.
 """
 
 from __future__ import annotations
@@ -61,16 +61,17 @@ def _sample(k: int) -> Column:
 
 
 def signatures(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``by``, fingerprint: terms (x, w) of each group reduced to their samples, without moving a row twice."""
+    """``by``, fingerprint (binary, 4 bytes a sample): terms (x, w) of each group reduced to their samples in place."""
     rows = terms.withColumn("lw", F.log(F.col("w").cast("double")))
     got = rows.groupBy(*by).agg(*[_sample(k) for k in range(samples)])
     piece = [F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for k in range(samples)]
-    return got.select(*by, F.lower(F.concat(*piece)).alias("fingerprint"))
+    return got.select(*by, F.unhex(F.concat(*piece)).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples: an unbiased estimate of the generalised Jaccard similarity."""
-    same = [(F.substr(a, F.lit(8 * k + 1), F.lit(8)) == F.substr(b, F.lit(8 * k + 1), F.lit(8))).cast("double") for k in range(samples)]
+    part = lambda c, k: F.substr(c, F.lit(4 * k + 1), F.lit(4))
+    same = [(part(a, k) == part(b, k)).cast("double") for k in range(samples)]
     return sum(same[1:], same[0]) / F.lit(float(samples))
 
 
@@ -116,18 +117,19 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = own.select("d", "h", "n", "text").join(gift, ["d", "h"])
     both = both.select("d", "h", "text", F.concat(F.substr("text", F.lit(1), F.col("n") - half), "gift").alias("edited"))
     two = F.array(
-        F.struct(F.lit(False).alias("e"), F.lit("").alias("sha"), F.col("text").alias("t")),
-        F.struct(F.lit(True).alias("e"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t")),
+        F.struct(F.lit(False).alias("e"), F.unhex(F.lit("")).alias("sha"), F.col("text").alias("t")),
+        F.struct(F.lit(True).alias("e"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.col("edited").alias("t")),
     )
     texts = both.select("d", "h", F.inline(two)).select("d", "h", "e", "sha", pair_hashes(F.col("t")).alias("hs"))
     terms = texts.select("d", "h", "e", "sha", F.inline(weighted("hs")))
-    made = stored(signatures(terms, ["d", "h", "e", "sha"], samples), "fingerprints")
-    plain = made.where("not e").select("d", "h", "fingerprint")
-    edited = made.where("e").select("d", "h", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
-    after = plain.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("fingerprint").alias("next_fingerprint"))
-    out = plain.join(edited, ["d", "h"]).join(ring, ["d", "h"]).join(after, ["nd", "nh"])
+    made = signatures(terms, ["d", "h", "e", "sha"], samples)
+    of = lambda c, e: F.max(F.when(F.col("e") == e, F.col(c)))
+    made = made.groupBy("d", "h").agg(of("fingerprint", False).alias("own"), of("fingerprint", True).alias("edit"), of("sha", True).alias("sha"))
+    made = stored(made.join(ring.select("d", "h", "n", "nd", "nh"), ["d", "h"]), "fingerprints")
+    out = made.join(made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("own").alias("after")), ["nd", "nh"])
+    text = lambda c: F.lower(F.hex(F.col(c)))
     return out.select(
-        F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
+        F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), text("sha").alias("edited_sha256"),
+        text("own").alias("fingerprint"), text("edit").alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edit"), samples).alias("near_edited"), likeness(F.col("own"), F.col("after"), samples).alias("near_next"),
     )
