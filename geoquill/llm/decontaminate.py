@@ -3,9 +3,10 @@
 1. Test items are cut into windows (phrases), each distinct one once.
 2. The index: postings (term, document, positions) of the documents' words for every term that the tests use, written
    per task without a shuffle, so it is segmented as a search index is. Document frequencies come from the index.
-3. Of each window the rarest terms are its probes. Their posting lists, each shifted by the probe's offset, are
-   intersected by counting (document, window, start); counts are pre-aggregated where the postings lie. A start that
-   every probe supports is a candidate.
+3. Of each window the rarest terms are its probes. A posting also holds 16-bit hashes of the words beside it, so an entry
+   whose neighbours contradict the window is passed over where it lies. The probes' posting lists, each shifted by the
+   probe's offset, are intersected by collecting probes per (document, window, start). A start that every probe supports
+   is a candidate.
 4. Candidates meet the whole document, where all words of the window are compared.
 
 Words are runs of A-Z, a-z, 0-9 and everything outside ASCII, with A-Z lower-cased.
@@ -44,15 +45,24 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _beside(w: str) -> Column:
+    """Array of (term, before, after) of a word array; the hash beside the first and the last word is null."""
+    h = F.transform(w, lambda x: F.pmod(F.hash(x), F.lit(65536)) - 32768).cast("array<short>")
+    none = F.array(F.lit(None).cast("short"))
+    n = F.size(w) - 1
+    parts = F.arrays_zip(F.col(w).alias("term"), F.concat(none, F.slice(h, F.lit(1), n)).alias("before"), F.concat(F.slice(h, F.lit(2), n), none).alias("after"))
+    return F.when(F.size(w) > 0, parts)
+
+
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (term, key, pos) of the given terms, positions from 0. ``docs``: key, w (words).
+    """Postings (term, key, pos, before, after) of the given terms, positions from 0. ``docs``: key, w (words).
 
     Each task writes its own segment; nothing is shuffled. A document's postings stand together, so its key costs
     next to nothing in the columnar file.
     """
     n = terms.count()
-    hits = docs.select("key", F.posexplode("w").alias("pos", "term")).join(_small(terms, n), "term")
-    return stored(hits.select("term", "key", "pos"), "postings")
+    rows = docs.select("key", F.posexplode(_beside("w")).alias("pos", "t")).select("key", "pos", "t.*").toDF("key", "pos", "term", "before", "after")
+    return stored(rows.join(_small(terms, n), "term").select("term", "key", "pos", "before", "after"), "postings")
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame, probes: int = PROBES) -> DataFrame:
@@ -62,12 +72,14 @@ def phrase_matches(index: DataFrame, phrases: DataFrame, probes: int = PROBES) -
     """
     n_phrases = phrases.count()
     df = stored(index.groupBy("term").agg(F.count("*").alias("df")), "postings-df")
-    terms = phrases.select("pid", F.posexplode("phrase").alias("off", "term")).join(_small(df, df.count()), "term")
-    ranked = terms.groupBy("pid").agg(F.count("*").alias("known"), F.slice(F.sort_array(F.collect_list(F.struct("df", "off", "term"))), 1, probes).alias("p"))
+    each = phrases.select("pid", F.posexplode(_beside("phrase")).alias("off", "t")).select("pid", "off", "t.*").toDF("pid", "off", "term", "b", "a")
+    terms = each.join(_small(df, df.count()), "term")
+    ranked = terms.groupBy("pid").agg(F.count("*").alias("known"), F.slice(F.sort_array(F.collect_list(F.struct("df", "off", "term", "b", "a"))), 1, probes).alias("p"))
     # a phrase with a term that no document has cannot occur
     whole = phrases.join(ranked, "pid").where(F.col("known") == F.size("phrase"))
-    probe = stored(whole.select("pid", F.expr("shiftleft(1, size(p)) - 1").alias("need"), F.posexplode("p").alias("j", "t")).select("t.term", "pid", "t.off", F.expr("shiftleft(1, j)").alias("bit"), "need"), "probes")
-    hits = index.join(_small(probe, n_phrases * probes), "term").select("key", "pid", (F.col("pos") - F.col("off")).alias("start"), "bit", "need")
+    probe = stored(whole.select("pid", F.expr("shiftleft(1, size(p)) - 1").alias("need"), F.posexplode("p").alias("j", "t")).select("t.term", "pid", "t.off", "t.b", "t.a", F.expr("shiftleft(1, j)").alias("bit"), "need"), "probes")
+    fits = lambda want, have: F.col(want).isNull() | F.col(want).eqNullSafe(F.col(have))
+    hits = index.join(_small(probe, n_phrases * probes), "term").where(fits("b", "before") & fits("a", "after")).select("key", "pid", (F.col("pos") - F.col("off")).alias("start"), "bit", "need")
     held = hits.where("start >= 0").groupBy("key", "pid", "start").agg(F.bit_or("bit").alias("got"), F.max("need").alias("need"))
     return held.where("got = need").select("key", "pid", "start")
 
