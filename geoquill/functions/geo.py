@@ -111,6 +111,17 @@ def cells_around(lat: Column, lng: Column, deg: float, ring: int = 1) -> Column:
     return F.array_distinct(F.array(*[(row + i) * (1 << 20) + F.pmod(col + j, F.lit(cols)) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1)]))
 
 
+def cells_in_radius(lat: Column, lng: Column, deg: float, radius_m: float) -> Column:
+    """All cells that a circle on the sphere may touch: longitudes widen towards the poles."""
+    cols, r = round(360 / deg), radius_m / EARTH_M
+    dlat = F.degrees(F.lit(r)) + 1e-9
+    near_pole = F.abs(lat) + dlat >= 90
+    dlng = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(r)) / F.cos(F.radians(lat))))) + 1e-9)
+    rows = F.sequence(F.floor((F.greatest(lat - dlat, F.lit(-90.0)) + 90) / deg), F.floor((F.least(lat + dlat, F.lit(90.0)) + 90) / deg))
+    span = F.sequence(F.floor((lng - dlng + 180) / deg), F.floor((lng + dlng + 180) / deg))
+    return F.array_distinct(F.flatten(F.transform(rows, lambda a: F.transform(span, lambda c: a * (1 << 20) + F.pmod(c, F.lit(cols))))))
+
+
 def cells_of_box(box: Column, deg: float) -> Column:
     """All cells that a bounding box touches."""
     cols = round(360 / deg)

@@ -45,8 +45,9 @@ def nearest_ranked(queries: DataFrame, points: DataFrame, deg: float, within_m:
 
 def within_radius(queries: DataFrame, points: DataFrame, deg: float, radius_m: float, keep: int) -> DataFrame:
     """Every point within a radius, nearest first, the first ``keep``: a report, so the limit is its feature."""
-    ring = max(1, -(-int(radius_m) // int(deg * 111_000)))
-    rows = cell_join(queries, points, deg, ring)
+    q = queries.select("*", F.explode(geo.cells_in_radius(F.col("lat"), F.col("lng"), deg, radius_m)).alias("_cell"))
+    p = points.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}).withColumn("_cell", geo.cell(F.col("p_lat"), F.col("p_lng"), deg))
+    rows = q.join(p, "_cell").drop("_cell")
     rows = rows.withColumn("metres", geo.haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where(F.col("metres") <= radius_m)
     return best(rows, ["qid"], [F.round("metres", 3), F.col("id")], keep)
 
@@ -108,9 +109,7 @@ def admin_fields(levels: DataFrame, mapping: DataFrame) -> DataFrame:
     for f in ("country", "state", "county", "city", "postcode"):
         here = F.col("field") == f
         fill = F.col("field") == f + "_if_empty"
-        first = F.min(F.when(here, F.col("level")))
         out.append(F.coalesce(F.max_by("name", F.when(here, F.col("level"))), F.min_by("name", F.when(fill, F.col("level")))).alias(f))
-        del first
     return rows.groupBy("qid").agg(*out)
 
 
