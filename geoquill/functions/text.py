@@ -135,16 +135,15 @@ def ordinals(tokens: Column, house_first: bool = True) -> Column:
     return F.transform(tokens, one)
 
 
-def user_tokens(c: Column) -> Column:
-    """Query tokens: comma parts are canonicalised on their own, then joined and place words folded."""
-    folded = join_initials(F.lower(fold(c)))
-
-    def part(p: Column) -> Column:
-        w = words(p)
-        w = F.transform(w, lambda t, i: F.when((i == 0) & (t == "dr") & (F.size(w) > 2), "doctor").otherwise(t))
-        return ordinals(compound_ordinals(street_types(w)))
-
-    return leading_places(F.flatten(F.transform(F.split(folded, ","), part)))
+def user_tokens(df, id_: str, text: str):
+    """(id, tokens) of queries: comma parts are canonicalised on their own, then joined, and place words folded."""
+    parts = df.select(id_, F.posexplode(F.split(join_initials(F.lower(fold(F.col(text)))), ",")).alias("k", "p"))
+    parts = parts.select(id_, "k", words(F.col("p")).alias("w"))
+    doctor = F.when((F.size("w") > 2) & (F.get("w", F.lit(0)) == "dr"), F.concat(F.array(F.lit("doctor")), F.slice("w", F.lit(2), F.size("w") - 1))).otherwise(F.col("w"))
+    for step in (lambda c: doctor, street_types, compound_ordinals, ordinals):
+        parts = parts.select(id_, "k", step(F.col("w")).alias("w"))
+    whole = parts.groupBy(id_).agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("w"))
+    return whole.select(id_, F.flatten("w.w").alias("w")).select(id_, leading_places(F.col("w")).alias("tokens"))
 
 
 def unit_key(c: Column) -> Column:
