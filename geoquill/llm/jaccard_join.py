@@ -5,10 +5,11 @@
    exactly the overlap which these sizes need. A shared subset proves a link, so nothing is verified.
 3. Large sets are ordered rarest shingle first and enter the inverted lists of their prefix: two similar sets share a
    list. How rare a shingle is comes from a counting sketch over all documents; any order is right, a good one is fast.
-4. Lists are not paired off. Each list first compares its members with one leader; whoever links is in one component
-   with it. Lists inside one component are done. In the others only members of different components are compared, all
-   of them. A pair is dropped early only where a bound proves it: by sizes, by the positions of the shared shingle, or
-   by counts of hashed shingles, whose sum of minima is never less than the overlap. Only the rest is compared in full.
+4. Long lists are not paired off. Each first compares its members with one leader; whoever links is in one component
+   with it, and after a few leaders a list lies inside one component, or nearly. Then members of different components
+   are compared, all of them. A pair is dropped early only where a bound proves it: by sizes, by the positions of the
+   shared shingle, or by parity bits, as two sets differ in at least as many shingles as in bits. Only the rest is
+   compared in full.
 5. Links become components.
 """
 
@@ -28,19 +29,22 @@ from .common import small_batches, stored
 from .graph import components
 from .hashing import MUL, U, mix, shingles, word_hashes
 
-#: Counters of the frequency sketch, a fixed size that is broadcast (4 bytes each).
-SKETCH_BITS, BLOCKS = 20, 64
+#: Counters of the frequency sketch, a fixed size that is broadcast (2 bytes each), and blocks it is summed in.
+SKETCH_BITS, BLOCKS = 22, 64
 #: Largest boundary between small and large sets that is considered.
 SMALLEST_LARGE = 25
-#: Leader rounds before members of different components are compared directly.
-LEADER_ROUNDS, CROSS_FACTOR = 6, 2.0
-#: Buckets of a set's count vector.
-BUCKETS = 128
+#: Members from which a list has leaders first, at most how many, and the pairs per entry from which the next is tried.
+LONG_LIST, LEADER_ROUNDS, CROSS_FACTOR = 64, 4, 32.0
+#: Words of 64 parity bits of a set.
+PARITY = 8
 #: Rows of ids up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 NO_ID = -(2**63)
 
 
+_BITS = [f"x{j}" for j in range(PARITY)]
+
+
 def least_overlap(s: int, t: int, num: int, den: int) -> int:
     """Smallest o with den * o >= num * (s + t - o)."""
     return -(-num * (s + t) // (num + den))
@@ -58,6 +62,7 @@ def size_pairs(most: int, num: int, den: int) -> list[tuple[int, int, int]]:
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
+    """Counter of each shingle."""
     return (mix(h.view(U) + MUL[61]) >> U(64 - SKETCH_BITS)).astype(np.int64)
 
 
@@ -70,21 +75,27 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
         for b in batches:
             sets = [shingles(word_hashes(t), k) for t in b["text"]]
             if sets:
-                total += np.bincount(_slots(np.concatenate(sets)), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(total, _slots(np.concatenate(sets)), np.uint32(1))
         part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"part": part, "block": range(BLOCKS), "n": [x.tobytes() for x in total.reshape(BLOCKS, width)]})
+        # a byte a counter: what a task counts beyond is among the commonest anyway, and only the order depends on it
+        yield pd.DataFrame({"part": part, "block": range(BLOCKS), "n": [x.tobytes() for x in np.minimum(total, 255).astype(np.uint8).reshape(BLOCKS, width)]})
+
+    def whole(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, np.uint8 if len(x) == width else np.uint32)
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.uint32) for x in g["n"]], axis=0, dtype=np.uint32)
+        total = np.sum([whole(x) for x in g["n"]], axis=0, dtype=np.uint32)
         return pd.DataFrame({"part": [int(g["part"].iloc[0]) // 64], "block": [int(g["block"].iloc[0])], "n": [total.tobytes()]})
 
     schema = "part int, block int, n binary"
     sums = stored(docs.select("text").mapInPandas(count, schema), "sketch")
-    while (sums.agg(F.max("part")).first()[0] or 0) > 0:
+    more = True
+    while more:
         sums = stored(sums.groupBy("block", F.floor(F.col("part") / 64)).applyInPandas(add, schema), "sketch")
+        more = (sums.agg(F.max("part")).first()[0] or 0) > 0
     out = np.zeros((BLOCKS, width), np.uint32)
-    for r in sums.collect():  # a fixed 4 MB
-        out[r["block"]] += np.frombuffer(r["n"], np.uint32)
+    for r in sums.collect():  # a fixed 16 MB
+        out[r["block"]] += whole(r["n"])
     return out.ravel()
 
 
@@ -104,7 +115,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = sketch.value
         for b in batches:
-            n, cid, prefix, small, counts = [], [], [], [], []
+            n, cid, prefix, small, bits = [], [], [], [], []
             for t in b["text"]:
                 s = shingles(word_hashes(t), k)
                 n.append(len(s))
@@ -112,11 +123,13 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 p = len(s) - -(-num * len(s) // den) + 1
                 prefix.append(s[np.argsort(often[_slots(s)], kind="stable")[:p]] if len(s) else s)
                 small.append(s if len(s) < SMALLEST_LARGE else s[:0])
-                # buckets by the top bits; where 16 bits do not hold a count, the largest stands for any
-                counts.append(np.minimum(np.bincount((s.view(U) >> U(64 - 7)).astype(np.int64), minlength=BUCKETS), 0xFFFF).astype(np.uint16).tobytes())
-            yield pd.DataFrame({"d": b["d"], "n": n, "cid": cid, "prefix": prefix, "small": small, "counts": counts})
+                odd = np.bincount((s.view(U) >> U(55)).astype(np.int64), minlength=64 * PARITY) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            out = pd.DataFrame({"d": b["d"], "n": n, "cid": cid, "prefix": prefix, "small": small})
+            yield out.join(pd.DataFrame(np.array(bits, np.int64).reshape(-1, PARITY), columns=_BITS, index=out.index))
 
-    return stored(docs.mapInPandas(sign, "d long, n int, cid long, prefix array<long>, small array<long>, counts binary"), "jaccard-signatures")
+    schema = "d long, n int, cid long, prefix array<long>, small array<long>, " + ", ".join(f"{x} long" for x in _BITS)
+    return stored(docs.mapInPandas(sign, schema), "jaccard-signatures")
 
 
 def boundary(classes: DataFrame, num: int, den: int) -> int:
@@ -168,18 +181,23 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def verified(docs: DataFrame, large: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Count vectors rule out most others; sets are rebuilt for what is left."""
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _bits(large: DataFrame, name: str, tail: str) -> DataFrame:
+    return large.select(F.col("cid").alias(name), *[F.col(x).alias(x + tail) for x in _BITS])
 
-    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, y = (np.stack([np.frombuffer(v, np.uint16) for v in b[c]]).astype(np.int64) if len(b) else np.zeros((0, BUCKETS), np.int64) for c in ("xa", "xb"))
-            most = np.where((x == 0xFFFF) & (y == 0xFFFF), 1 << 40, np.minimum(x, y)).sum(1)
-            both = b["na"].to_numpy(np.int64) + b["nb"].to_numpy(np.int64)
-            yield b.loc[most * (num + den) >= both * num, ["a", "b"]]
 
-    of = lambda c: large.select(F.col("cid").alias(c), F.col("counts").alias("x" + c), F.col("n").alias("n" + c))
-    left = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb", "na", "nb").mapInPandas(possible, "a long, b long"), "jaccard-pairs")
+def _bits_fit(na: str, nb: str, num: int, den: int):
+    """Whether few enough bits differ; sets that differ in more shingles than that are not similar."""
+    apart = sum((F.bit_count(F.col(x + "a").bitwiseXOR(F.col(x + "b"))) for x in _BITS[1:]), F.bit_count(F.col("x0a").bitwiseXOR(F.col("x0b"))))
+    return apart * (num + den) <= (F.col(na) + F.col(nb)) * (den - num)
+
+
+def verified(docs: DataFrame, large: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Sets are rebuilt only for documents in pairs."""
+    left = stored(pairs, "jaccard-pairs")
     ids = stored(left.select(F.col("a").alias("cid")).unionByName(left.select(F.col("b").alias("cid"))).distinct().join(large.select("cid", "rep"), "cid"), "jaccard-active")
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,14 +213,32 @@ def verified(docs: DataFrame, large: DataFrame, pairs: DataFrame, k: int, num: i
     return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
 
 
+def _labelled(lists: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Lists with the component of each member so far."""
+    if not links:
+        return lists.withColumn("c", F.col("cid"))
+    of = components(_all(links)).select(F.col("v").alias("cid"), "c")
+    return lists.join(of, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
+
+
+def _open(state: DataFrame, turn: int) -> DataFrame:
+    """Lists with members of several components: sizes, their largest component, and a leader."""
+    order = F.col("rep") if turn == 0 else F.xxhash64("cid", F.lit(turn))
+    per = state.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), "cid", "n", "pos")).alias("leader"))
+    out = per.groupBy("token").agg(
+        F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("kinds"), F.max(F.struct("m", "c")).alias("major"), F.min("leader").alias("leader")
+    )
+    return out.where("kinds > 1")
+
+
 def list_links(docs: DataFrame, classes: DataFrame, known: DataFrame | None, edge: int, k: int, num: int, den: int) -> DataFrame:
     """(a, b): links among sets that are not both small, enough of them to connect every component."""
     lowest = -(-num * (edge + 1) // den)
     large = classes.where(F.col("n") >= max(1, lowest))
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # entries move once: counting and keeping the shared ones both find them by token
-    entries = large.select("cid", "n", F.posexplode("prefix").alias("pos", "token")).repartition(width, "token")
-    shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    entries = large.select("cid", "rep", "n", F.posexplode("prefix").alias("pos", "token")).repartition(width, "token")
+    shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     lists = stored(entries.join(shared, "token"), "jaccard-lists")
 
     def possible(nx, px, ny, py):
@@ -211,32 +247,32 @@ def list_links(docs: DataFrame, classes: DataFrame, known: DataFrame | None, edg
         return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (rest * (num + den) >= (nx + ny) * num)
 
     links = [known] if known is not None else []
-    for turn in range(LEADER_ROUNDS + 1):
-        state = lists.withColumn("c", F.col("cid"))
-        if links:
-            of = components(_all(links))
-            state = lists.join(of.select(F.col("v").alias("cid"), "c"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
-        first = F.struct(F.xxhash64("cid", F.lit(turn)).alias("o"), "cid", "n", "pos")
-        per = state.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(first).alias("leader"))
-        tokens = per.groupBy("token").agg(
-            F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("kinds"), F.max(F.struct("m", "c")).alias("major"), F.min("leader").alias("leader")
-        )
-        tokens = stored(tokens.where("kinds > 1"), "jaccard-open")
-        size = tokens.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
-        if not size[0]:
+    left, before = lists.where(F.col("m") >= LONG_LIST), math.inf
+    for turn in range(LEADER_ROUNDS):
+        if left.isEmpty():
             break
-        rows = state.join(tokens, "token")
-        if turn == LEADER_ROUNDS or size[1] <= CROSS_FACTOR * size[0]:
-            minor = rows.where(F.col("c") != F.col("major.c")).select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
-            rest = rows.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), (F.col("c") == F.col("major.c")).alias("main"))
-            cond = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
-            pairs = minor.join(rest, "token").where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            links.append(stored(verified(docs, large, pairs, k, num, den), "jaccard-links"))
+        state = _labelled(left, links)
+        cross = (F.col("all") * F.col("all") - F.col("same")) / 2
+        tokens = stored(_open(state, turn).where(cross > CROSS_FACTOR * F.col("all")), "jaccard-open")
+        now = tokens.agg(F.sum(cross)).first()[0] or 0
+        if not now or now > before / 2:  # nothing left that a leader would help with
             break
+        before = now
+        rows = state.join(tokens, "token")
         pairs = rows.where((F.col("leader.cid") != F.col("cid")) & possible(F.col("leader.n"), F.col("leader.pos"), F.col("n"), F.col("pos")))
-        pairs = pairs.select(F.col("leader.cid").alias("a"), F.col("cid").alias("b")).distinct()
+        pairs = pairs.select(F.col("leader.cid").alias("a"), F.col("leader.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).distinct()
+        pairs = pairs.join(_bits(large, "a", "a"), "a").join(_bits(large, "b", "b"), "b").where(_bits_fit("na", "nb", num, den)).select("a", "b")
         links.append(stored(verified(docs, large, pairs, k, num, den), "jaccard-links"))
-    return _all(links) if links else lists.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+        left = stored(left.join(tokens.select("token"), "token"), "jaccard-lists")
+    state = _labelled(lists, links)
+    rows = state.join(_open(state, 0).select("token", "major"), "token").join(large.select("cid", *_BITS), "cid")
+    rows = stored(rows.select("token", "cid", "n", "pos", "c", (F.col("c") == F.col("major.c")).alias("main"), *_BITS), "jaccard-cross")
+    side = lambda t: rows.select("token", F.col("cid").alias(t), *[F.col(x).alias(x + t) for x in ("n", "pos", "c", "main", *_BITS)])
+    fit = possible(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb")) & _bits_fit("na", "nb", num, den)
+    meet = side("a").where("not maina").join(side("b"), "token").where((F.col("ca") != F.col("cb")) & (F.col("mainb") | (F.col("a") < F.col("b"))) & fit)
+    pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links.append(stored(verified(docs, large, pairs, k, num, den), "jaccard-links"))
+    return _all(links)
 
 
 def _all(links: list[DataFrame]) -> DataFrame:
@@ -260,7 +296,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     full = signed.where("n > 0")
     classes = stored(full.groupBy("cid").agg(F.min("d").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
     one = full.dropDuplicates(["cid", "d"]).join(classes.select("cid", F.col("rep").alias("d")), ["cid", "d"])
-    shape = one.select("cid", F.col("d").alias("rep"), "n", "prefix", "small", "counts")
+    shape = one.select("cid", F.col("d").alias("rep"), "n", "prefix", "small", *_BITS)
     shape = stored(shape, "jaccard-shapes")
     edge = boundary(shape, num, den)
     small = stored(subset_links(shape, edge, num, den), "jaccard-links") if edge else None
