@@ -63,6 +63,23 @@ def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
+def anchors_and_windows(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least gram hash of every window, and a hash of every window; both from the same doublings."""
+    h, have = BYTE[raw], 1
+    while have * 2 <= GRAM:
+        h = _pow(h, have, have)
+        h ^= h >> U(29)
+        have *= 2
+    gram = _pow(h, GRAM - have, GRAM) if have < GRAM else h.copy()
+    gram *= U(0xBF58476D1CE4E5B9)
+    gram ^= gram >> U(31)
+    while have * 2 <= LENGTH:
+        h = _pow(h, have, have)
+        h ^= h >> U(29)
+        have *= 2
+    return _sliding_min(gram, LENGTH - GRAM + 1), _pow(h, LENGTH - have, LENGTH) if have < LENGTH else h
+
+
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have * 2 <= width:
@@ -76,8 +93,7 @@ def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return none, none, none, none, none
-    anchor = _sliding_min(gram_hashes(raw, GRAM), LENGTH - GRAM + 1)
-    window = gram_hashes(raw, LENGTH)
+    anchor, window = anchors_and_windows(raw)
     start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     n = np.diff(np.append(start, len(anchor)))
     if n.max() > RUN:  # periodic text: cut long runs
