@@ -268,14 +268,16 @@ def remove_ordinals(c: Column) -> Column:
 def osa_distance(a: Column, b: Column, most: int) -> Column:
     """True where one word becomes the other by at most ``most`` (1 or 2) edits; a swap of neighbours is one edit.
 
-    Levenshtein distance counts a swap as two. A swap is recognised where equal lengths differ in exactly two adjacent,
-    exchanged letters; with one edit left over, where removing the swap leaves distance one.
+    Levenshtein distance counts a swap as two, so each single swap is tried, with the edits that remain behind it; of two
+    edits both may be swaps.
     """
     plain = F.levenshtein(a, b) <= most
 
-    def swapped(i: Column) -> Column:
-        return F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2))
+    def swapped(x: Column, i: Column) -> Column:
+        return F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.lit(1)), F.substr(x, i, F.lit(1)), F.substr(x, i + 2))
 
     spots = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
-    swap = F.exists(spots, lambda i: F.levenshtein(swapped(i), b) <= most - 1)
+    swap = F.exists(spots, lambda i: F.levenshtein(swapped(a, i), b) <= most - 1)
+    if most > 1:
+        swap = swap | F.exists(spots, lambda i: F.exists(spots, lambda j: swapped(swapped(a, i), j) == b))
     return plain | ((F.length(a) >= 2) & (F.abs(F.length(a) - F.length(b)) <= most - 1) & swap)
