@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spatial", "text", "build", "streams")
+MODULES = ("spatial", "text", "build", "more", "streams")
 
 
 def queries() -> dict:
