@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, small_batches, stored
+from .hashing import shingles, word_hashes
 
 #: Most labelled rows that lexicon weights and mark weights are learnt from; scoring covers all rows.
 FIT_ROWS = 16_000
@@ -33,6 +34,8 @@ FIT_ROWS = 16_000
 ENTRIES = 3_000
 #: Evidence that an entry needs: G-squared of its association, and the ratio of its rates in toxic and other documents.
 LEAST_G2, LEAST_RATIO = 18.0, 12.0
+#: Share of the toxic documents that an entry occurs in at least; copies of one document make chance words look strong.
+LEAST_SHARE = 0.01
 THRESHOLD = 0.5
 
 #: Closed word lists of English, German, French and Spanish.
@@ -161,11 +164,17 @@ def induce(sample: DataFrame) -> dict[str, tuple[float, bool, bool]]:
     g2 = 2 * (term(a, both * nt / total) + term(b, both * nc / total) + term(nt - a, rest * nt / total) + term(nc - b, rest * nc / total))
     ratio = ((a + 0.5) / (nt + 1)) / ((b + 0.5) / (nc + 1))
     seed = F.regexp_replace("entry", r"\.$", "").isin(THREAT) & F.col("entry").endswith(".")
-    keep = sums.select("entry", g2.alias("g2"), ratio.alias("ratio"), seed.alias("seed")).where(
+    keep = sums.where(F.col("a") >= LEAST_SHARE * nt).select("entry", "a", g2.alias("g2"), ratio.alias("ratio"), seed.alias("seed")).where(
         ((F.col("g2") >= LEAST_G2) & (F.col("ratio") >= LEAST_RATIO)) | (F.col("seed") & (F.col("ratio") > 2))
     )
     found = keep.orderBy(F.desc("g2"), "entry").limit(ENTRIES).collect()
     entries: dict[str, tuple[float, bool, bool]] = {}
+    seen = {r["entry"]: r["a"] for r in found}
+    for word, n in list(seen.items()):  # a stem that one word nearly accounts for gives way to the word
+        for stem in (word[:k] for k in range(4, len(word))) if word.endswith(".") else ():
+            if seen.get(stem, 1 << 60) * 0.95 <= n:
+                del seen[stem]
+    found = [r for r in found if r["entry"] in seen]
     for r in sorted(found, key=lambda r: (len(r["entry"]), r["entry"])):  # a stem makes its longer forms superfluous
         text, whole = r["entry"].rstrip("."), r["entry"].endswith(".")
         if not any(text[:n] in entries and not entries[text[:n]][1] for n in range(4, len(text) + 1)):
@@ -173,10 +182,25 @@ def induce(sample: DataFrame) -> dict[str, tuple[float, bool, bool]]:
     return entries
 
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """One of each group of copies, exact or near: those that share their least shingle of five words and the label.
+
+    A toxic text copied often would make entries of all its words. ``sample`` is bounded, and so are its ids.
+    """
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [shingles(word_hashes(t), 5) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "s": [int(x[0]) if len(x) else 0 for x in own]})
+
+    ids = sample.select("doc_id", "y", "text").mapInPandas(least, "doc_id long, y int, s long").groupBy("y", "s").agg(F.min("doc_id").alias("doc_id"))
+    return stored(sample.join(F.broadcast(ids.select("doc_id")), "doc_id"), "toxicity-sample")
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> Grammar:
     """Learn entries and mark weights from at most about ``most`` labelled rows outside the held-out fifth."""
     small_batches(docs.sparkSession)
-    sample = stored(labelled_sample(docs.sparkSession, docs, labels, label, most), "toxicity-sample")
+    sample = distinct_texts(stored(labelled_sample(docs.sparkSession, docs, labels, label, most), "toxicity-sample"))
     grammar = Grammar(induce(sample))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
