@@ -30,7 +30,19 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing lazy reads any more: what was made from them is stored itself."""
+    for t in tables:
+        path = getattr(t, "_scratch_path", None)
+        if path:
+            jvm = t.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 WINDOW = 10
 #: Rarest terms of a window whose lists are intersected.
@@ -110,6 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     terms = stored(phrases.select(F.explode("phrase").alias("term")).distinct(), "terms")
     index = build_index(keyed.select("key", words("text").alias("w")), terms)
     found = stored(phrase_matches(index, phrases), "candidates")
+    forget(index, terms)
     starts = found.join(_small(phrases, phrases.count()), "pid").groupBy("key").agg(F.collect_set(F.struct("start", "pid", "phrase")).alias("c"))
     # the text moves to its candidates, not its words, which take more room
     checked = keyed.join(starts, "key", "left").select(

@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_batches, stored
+from .common import forget, small_batches, stored
 from .graph import components
 from .hashing import MUL, U, mix, shingles, word_hashes
 
@@ -210,7 +211,9 @@ def verified(docs: DataFrame, large: DataFrame, pairs: DataFrame, k: int, num: i
     with_b = left.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
+    links = stored(both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b"), "jaccard-links")
+    forget(left, ids, sets)
+    return links
 
 
 def _labelled(lists: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -235,11 +238,9 @@ def list_links(docs: DataFrame, classes: DataFrame, known: DataFrame | None, edg
     """(a, b): links among sets that are not both small, enough of them to connect every component."""
     lowest = -(-num * (edge + 1) // den)
     large = classes.where(F.col("n") >= max(1, lowest))
-    width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # entries move once: counting and keeping the shared ones both find them by token
-    entries = large.select("cid", "rep", "n", F.posexplode("prefix").alias("pos", "token")).repartition(width, "token")
-    shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    lists = stored(entries.join(shared, "token"), "jaccard-lists")
+    entries = large.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # entries are four numbers; they move once and are counted where they meet
+    lists = stored(entries.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"), "jaccard-lists")
 
     def possible(nx, px, ny, py):
         """Sizes fit, and from the shared shingle on, if it is the first, enough may follow in both sets."""
@@ -247,7 +248,7 @@ def list_links(docs: DataFrame, classes: DataFrame, known: DataFrame | None, edg
         return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (rest * (num + den) >= (nx + ny) * num)
 
     links = [known] if known is not None else []
-    left, before = lists.where(F.col("m") >= LONG_LIST), math.inf
+    left, before = stored(lists.where(F.col("m") >= LONG_LIST).join(large.select("cid", "rep"), "cid"), "jaccard-long"), math.inf
     for turn in range(LEADER_ROUNDS):
         if left.isEmpty():
             break
@@ -262,16 +263,21 @@ def list_links(docs: DataFrame, classes: DataFrame, known: DataFrame | None, edg
         pairs = rows.where((F.col("leader.cid") != F.col("cid")) & possible(F.col("leader.n"), F.col("leader.pos"), F.col("n"), F.col("pos")))
         pairs = pairs.select(F.col("leader.cid").alias("a"), F.col("leader.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).distinct()
         pairs = pairs.join(_bits(large, "a", "a"), "a").join(_bits(large, "b", "b"), "b").where(_bits_fit("na", "nb", num, den)).select("a", "b")
-        links.append(stored(verified(docs, large, pairs, k, num, den), "jaccard-links"))
-        left = stored(left.join(tokens.select("token"), "token"), "jaccard-lists")
-    state = _labelled(lists, links)
-    rows = state.join(_open(state, 0).select("token", "major"), "token").join(large.select("cid", *_BITS), "cid")
+        links.append(verified(docs, large, pairs, k, num, den))
+        again = stored(left.join(tokens.select("token"), "token"), "jaccard-long")
+        forget(left, tokens)
+        left = again
+    forget(left)
+    state = stored(_labelled(lists, links), "jaccard-state")
+    forget(lists)
+    rows = state.join(_open(state, 1).select("token", "major"), "token").join(large.select("cid", *_BITS), "cid")
     rows = stored(rows.select("token", "cid", "n", "pos", "c", (F.col("c") == F.col("major.c")).alias("main"), *_BITS), "jaccard-cross")
     side = lambda t: rows.select("token", F.col("cid").alias(t), *[F.col(x).alias(x + t) for x in ("n", "pos", "c", "main", *_BITS)])
     fit = possible(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb")) & _bits_fit("na", "nb", num, den)
     meet = side("a").where("not maina").join(side("b"), "token").where((F.col("ca") != F.col("cb")) & (F.col("mainb") | (F.col("a") < F.col("b"))) & fit)
     pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links.append(stored(verified(docs, large, pairs, k, num, den), "jaccard-links"))
+    links.append(verified(docs, large, pairs, k, num, den))
+    forget(state, rows)
     return _all(links)
 
 
@@ -298,15 +304,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     one = full.dropDuplicates(["cid", "d"]).join(classes.select("cid", F.col("rep").alias("d")), ["cid", "d"])
     shape = one.select("cid", F.col("d").alias("rep"), "n", "prefix", "small", *_BITS)
     shape = stored(shape, "jaccard-shapes")
+    full = stored(full.select("d", "n", "cid"), "jaccard-documents")
+    empty = stored(signed.where("n = 0").select("d", "n", F.col("d").alias("component")), "jaccard-empty")
+    forget(signed)
     edge = boundary(shape, num, den)
     small = stored(subset_links(shape, edge, num, den), "jaccard-links") if edge else None
     links = list_links(docs, shape, small, edge, k, num, den)
+    forget(shape)
     of = components(links)
     named = classes.join(of.select(F.col("v").alias("cid"), "c"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     least = named.groupBy("c").agg(F.min("rep").alias("least"))
     named = named.join(least, "c").select("cid", "least")
     out = full.select("d", "n", "cid").join(named, "cid").select("d", "n", F.col("least").alias("component"))
-    out = out.unionByName(signed.where("n = 0").select("d", "n", F.col("d").alias("component")))
+    out = out.unionByName(empty)
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(known("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known("component").alias("component_id"))
 

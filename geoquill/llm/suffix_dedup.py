@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, stored
+from .common import forget, small_batches, stored
 from .hashing import BYTE, MUL, U, mix
 
 LENGTH, GRAM = 100, 20
@@ -285,7 +285,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     scanned = cold.groupBy("task").applyInPandas(_scan_group, "d long, start int, n int")
     marks.append(scanned.select("d", F.array(F.struct("start", "n")).alias("marks")))
     marks.append(_marks(_grouped(fetched.where("bytes is null").drop("bytes"))))
-    return marks[0].unionByName(marks[1]).unionByName(marks[2])
+    out = stored(marks[0].unionByName(marks[1]).unionByName(marks[2]), "repeats")
+    forget(seen, fetched)
+    return out
 
 
 def unique_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
