@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geoquill.functions import geo, parse
 from geoquill.functions import text as tx
@@ -96,32 +97,32 @@ class Engine:
             self._index = se.postings(d, ["name", "alt", "locality", "state"], ["country"])
         return self._index
 
-    def _retrieve(self, q: DataFrame, house: bool, unit: bool, postcode: bool) -> DataFrame:
-        """One pass: every word of the rest in a document of the query's country, and the fields asked for, as switched."""
+    def _retrieve(self, q: DataFrame) -> DataFrame:
+        """Documents of the query's country that hold every word of its rest, with the first rung that lets them pass.
+
+        The rungs ask for ever less, so one retrieval serves them all: 0 everything asked for, 1 without the unit, 2 without
+        the postcode, 3 the text alone. A query keeps the hits of its lowest rung.
+        """
         terms = q.select("qid", "cc", F.explode(F.array_distinct(F.split("rest", " "))).alias("term")).where("term <> ''")
         hits = se.all_terms(se.bm25(self.index(), terms.select("qid", "term"), ["country"]), terms)
         rows = hits.join(self.tables["documents"].drop("country"), "doc_id").join(q.drop("rest"), "qid")
-        ok = F.col("cc").isNull() | (F.col("cc") == F.col("country"))
-        pick = lambda c: F.coalesce(c, F.lit(""))
-        if house:
-            ok = ok & (F.col("q_house").isNull() | ((F.col("kind") == 4) & tx.house_matches(pick(F.col("q_house")), pick(F.col("housenumber"))))) & (F.col("q_house").isNotNull() | (F.col("kind") != 4))
-        if unit:
-            ok = ok & (F.col("q_unit").isNull() | (tx.unit_key(pick(F.col("unit"))) == F.col("q_unit")))
-        if postcode:
-            ok = ok & (F.col("q_postcode").isNull() | (tx.postcode(pick(F.col("postcode"))) == F.col("q_postcode")))
+        rows = rows.where(F.col("cc").isNull() | (F.col("cc") == F.col("country")))
+        text = lambda c: F.coalesce(F.col(c), F.lit(""))
+        asked = F.col("q_house").isNotNull()
+        house = F.when(asked, (F.col("kind") == 4) & tx.house_matches(text("q_house"), text("housenumber"))).otherwise(F.col("kind") != 4)
+        unit = F.col("q_unit").isNull() | (tx.unit_key(text("unit")) == F.col("q_unit"))
+        code = F.col("q_postcode").isNull() | (tx.postcode(text("postcode")) == F.col("q_postcode"))
+        rows = rows.select("*", house.alias("h"), unit.alias("u"), code.alias("p"))
+        rows = rows.withColumn("rung", F.when(F.col("h") & F.col("u") & F.col("p"), 0).when(F.col("h") & F.col("p"), 1).when(F.col("h"), 2).otherwise(3))
+        lowest = F.min("rung").over(Window.partitionBy("qid"))
         score = se.prominence(F.col("score"), F.col("rank"), F.col("importance"), F.col("kind") == 3)
-        return rows.where(ok).withColumn("score", F.round(score, 4))
+        return rows.withColumn("lowest", lowest).where("rung = lowest").withColumn("score", F.round(score, 4))
 
     def search(self, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
-        """qid, q, country to ranked hits: doc_id, name, score, rung, pos.
-
-        Rungs: everything asked for; without the unit; without the postcode; text alone. The first that has an answer for a
-        query gives all of its answers; later ones see only queries without.
-        """
+        """qid, q, country to ranked hits: doc_id, name, score, rung, pos."""
         parts = parse.freeform(queries, "qid", "q", "country")
-        q = parts.join(queries.select("qid", F.upper("country").alias("cc")), "qid").select("qid", "cc", F.col("house").alias("q_house"), F.col("unit").alias("q_unit"), F.col("postcode").alias("q_postcode"), "rest")
-        rungs = [lambda d, s=s: self._retrieve(d, *s) for s in ((True, True, True), (True, False, True), (True, False, False), (False, False, False))]
-        hits = rel.first_non_empty(rungs, q, "qid")
+        q = parts.join(queries.select("qid", F.upper("country").alias("cc")), "qid")
+        hits = self._retrieve(q.select("qid", "cc", F.col("house").alias("q_house"), F.col("unit").alias("q_unit"), F.col("postcode").alias("q_postcode"), "rest"))
         order = [F.desc("score"), F.desc("importance"), F.col("rank"), F.col("doc_id")]
         return se.top(hits, ["qid"], order, max(1, min(MOST, limit))).select("qid", "doc_id", "name", "score", "rung", "pos", "lat", "lng")
 
