@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat_trees, decontaminate, fingerprints, jaccard_join, records, sentencepieces, suffix_dedup, token_counts, toxicity
+from . import boosting, chat_trees, decontaminate, fingerprints, jaccard_join, oracles, records, sentencepieces, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,4 +77,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_binary_records, op4_decontamination, op5_fingerprints, op6_quality, op7_suffix_dedup, op8_jaccard_join, op9_sentencepiece, op10_chat_formatting)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_decontamination": oracles.OP4, "op10_chat_formatting": oracles.OP10}
