@@ -120,12 +120,41 @@ class Engine:
 
     def search(self, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
         """qid, q, country to ranked hits: doc_id, name, score, rung, pos."""
-        parts = parse.freeform(queries, "qid", "q", "country")
-        q = parts.join(queries.select("qid", F.upper("country").alias("cc")), "qid")
-        hits = self._retrieve(q.select("qid", "cc", F.col("house").alias("q_house"), F.col("unit").alias("q_unit"), F.col("postcode").alias("q_postcode"), "rest"))
+        hits = self._retrieve(self._parsed(queries))
         order = [F.desc("score"), F.desc("importance"), F.col("rank"), F.col("doc_id")]
         return se.top(hits, ["qid"], order, max(1, min(MOST, limit))).select("qid", "doc_id", "name", "score", "rung", "pos", "lat", "lng")
 
+    def _parsed(self, queries: DataFrame) -> DataFrame:
+        parts = parse.freeform(queries, "qid", "q", "country").join(queries.select("qid", F.upper("country").alias("cc")), "qid")
+        return parts.select("qid", "cc", F.col("house").alias("q_house"), F.col("unit").alias("q_unit"), F.col("postcode").alias("q_postcode"), "rest")
+
+    def repair(self, queries: DataFrame, most: int = 16) -> DataFrame:
+        """(qid, doc_id, name, rest) for queries with white space put wrong once: one pair joined or one word split.
+
+        Candidates whose words the index does not have are dropped; a query with more than ``most`` left, or whose candidates
+        find more than one address, gets no answer. Meant for queries that :meth:`search` left without one.
+        """
+        q = self._parsed(queries)
+        c = q.select("qid", F.explode(se.split_join_candidates(F.split("rest", " "))).alias("rest"))
+        words = c.select("qid", "rest", F.explode(F.split("rest", " ")).alias("term"))
+        known = words.join(self.index().select("term").distinct(), "term", "left_anti").select("qid", "rest").distinct()
+        c = c.join(known, ["qid", "rest"], "left_anti")
+        few = c.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("qid")
+        c = c.join(few, "qid").join(q.drop("rest"), "qid")
+        ask = c.select(F.struct("qid", "rest").alias("qid"), "cc", "q_house", "q_unit", "q_postcode", "rest")
+        hits = self._retrieve(ask).where("rung < 3").select("qid.qid", "qid.rest", "doc_id", "name")
+        alone = hits.groupBy("qid").agg(F.count_distinct("doc_id").alias("n")).where("n = 1").select("qid")
+        return hits.join(alone, "qid").dropDuplicates(["qid"]).select("qid", "doc_id", "name", "rest")
+
+    def respell(self, queries: DataFrame, ratio: int = 50) -> DataFrame:
+        """(qid, q, country) with each rare word of the rest replaced by a much commoner one within its edits."""
+        q = self._parsed(queries)
+        words = q.select("qid", F.posexplode(F.split("rest", " ")).alias("pos", "term")).where("term <> ''")
+        fixed = words.join(se.correct_spelling(self.index(), words, ratio), "term", "left")
+        changed = fixed.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("fixed", "term").alias("t")))).alias("w"), F.max(F.col("fixed").isNotNull()).alias("any")).where("any")
+        out = changed.join(q, "qid").join(queries.select("qid", "country"), "qid")
+        return out.select("qid", F.concat_ws(" ", "q_house", F.array_join("w.t", " "), "q_postcode").alias("q"), "country")
+
     def nearby(self, queries: DataFrame, radius_m: float, limit: int = LIMIT) -> DataFrame:
         """Every place within the radius, nearest first: exact, not bounded by a search window."""
         return sp.within_radius(queries.select("qid", "lat", "lng"), self.tables["places"].select("id", "name", "lat", "lng"), self.place_deg, radius_m, max(1, min(MOST, limit))).select("qid", "id", "name", F.round("metres", 3).alias("metres"), F.col("rn").alias("pos"))

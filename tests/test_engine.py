@@ -48,3 +48,11 @@ def test_nearby_and_autocomplete(spark, engine):
     assert [r.name for r in engine.nearby(q, 300_000).orderBy("pos").collect()] == ["Sydney", "Orange"]
     p = spark.createDataFrame([(1, "au", "Roc"), (2, "AU", "s"), (3, "AU", "")], "qid int, country string, prefix string")
     assert {(r.qid, r.id) for r in engine.autocomplete(p).collect()} == {(1, 5), (2, 1)}
+
+
+def test_repair_and_respelling(spark, engine):
+    q = spark.createDataFrame([(1, "12A Camp bell Parade", "AU"), (2, "Syd ney", None), (3, "no such", "AU"), (4, "TheRocks Sydney", "AU")], "qid int, q string, country string")
+    got = {r.qid: (r.doc_id, r.rest) for r in engine.repair(q).collect()}
+    assert got == {1: (2, "campbell parade"), 4: (5, "the rocks sydney")}  # two countries have a Sydney: no answer
+    fixed = {r.qid: r.q for r in engine.respell(spark.createDataFrame([(1, "12A Campbel Parade", "AU"), (2, "Sydeny", "AU"), (3, "Sydney", "AU")], "qid int, q string, country string"), 1).collect()}
+    assert fixed == {1: "12a campbell parade", 2: "sydney"}
