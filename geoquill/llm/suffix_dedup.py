@@ -37,8 +37,8 @@ LENGTH, GRAM = 100, 20
 RUN = LENGTH
 #: Documents that hot anchors are looked for on, about, and how many different runs of an anchor there make it hot.
 SAMPLE_DOCS, SAMPLE_HOT = 20_000, 100
-#: Different runs from which a counted anchor is hot.
-HOT = 512
+#: Different runs from which a counted anchor is hot; fewer are about a megabyte, which one task takes.
+HOT = 8192
 #: Bytes of runs that one suffix index task takes, about, and runs in one of its batches.
 TASK_BYTES, BATCH_RUNS = 2_000_000, 256
 #: Document ids up to which the set of documents with contested runs is broadcast.

@@ -222,7 +222,7 @@ def test_suffix_dedup(docs, none, monkeypatch):
         return want
 
     want = brute()
-    for hot, sample in ((512, 100), (1, 100), (512, 2)):
+    for hot, sample in ((8192, 100), (1, 100), (8192, 2)):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
         monkeypatch.setattr(suffix_dedup, "SAMPLE_HOT", sample)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_query(docs).collect()}
