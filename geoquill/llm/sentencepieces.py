@@ -171,13 +171,14 @@ def encode_text(model: Pieces, text: str, size: int = CHUNK) -> list[int]:
     return [i for c, (k, l) in zip(chunks, settle([c.matrix() for c in chunks]), strict=True) for i in c.trace(k, l)]
 
 
-def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
-    """All columns of ``docs`` with ids (array of int); a column of that name is replaced.
+def encode(docs: DataFrame, model: str, size: int = CHUNK, back: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ids (array of int); a column of that name is replaced. With ``back`` also decoded, made
+    from the ids where they are made, so that they need not travel once more.
 
     Null and empty texts have no ids. Rows that repeat are encoded alike, null ids are kept; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *["decoded"] * back)
     long = F.coalesce(F.char_length("text"), F.lit(0)) > size
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -187,9 +188,10 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
         m = pieces(model)
         for b in batches:
             ids = m.whole.encode([t or "" for t in b.column("text").to_pylist()], num_threads=1)
-            yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+            b = b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+            yield b.append_column("decoded", pa.array(m.whole.decode(ids), pa.string())) if back else b
 
-    few = docs.where(~long).mapInArrow(short, f"{fields}, ids array<int>")
+    few = docs.where(~long).mapInArrow(short, f"{fields}, ids array<int>" + ", decoded string" * back)
     giant = docs.where(long).withColumn("_h", F.sha2("text", 256))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,6 +233,7 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
     traced = chunks.join(states, ["h", "k"]).mapInPandas(trace, "h string, k int, ids array<int>")
     whole = traced.groupBy("h").agg(F.flatten(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"]).alias("ids"))
     many = giant.join(whole.withColumnRenamed("h", "_h"), "_h").drop("_h")
+    many = decode(many, model) if back else many
     return few.unionByName(many.select(*few.columns))
 
 

@@ -243,6 +243,8 @@ def test_sentencepieces(docs, none):
         assert len(out) == len(_rows())
         for r in out:
             assert list(r.ids) == model.whole.encode(r.text or "") and r.decoded == (r.text or "")
+        both = sentencepieces.encode(docs, PIECES, size, back=True).select("text", "decoded").collect()
+        assert len(both) == len(_rows()) and all(r.decoded == (r.text or "") for r in both)
     assert sentencepieces.encode(none, PIECES).count() == 0
 
 
