@@ -29,6 +29,8 @@ SHARD_CHARS = 16_000_000
 POLY, MASK_ADD = 0x82F63B78, 0xA282EAD8
 LANE = 64
 HEADER = struct.Struct("<qBI")
+#: What a null id is in files.
+NO_ID = -(2**63)
 
 
 @lru_cache(maxsize=1)
@@ -138,17 +140,15 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None, e
     """Encode every text, append ``end_id``, write shards under ``folder``; returns the folder and the offset index.
 
     The index has a row per record: doc_id, shard, offset, length, n_tokens. A null text is empty, so its record is the
-    end id alone. Rows without an id are refused (ValueError), as order and look-up need one; repeated rows are written
-    as often as they occur. A task that runs again writes the same bytes under a new name and renames: a lost executor
+    end id alone. A null id is written as the least number, so it comes first, and is null again when read; repeated rows
+    are written as often as they occur, equal ids in the order of their texts. A task that runs again writes the same bytes under a new name and renames: a lost executor
     leaves nothing half-written.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or shared_dir(spark, "records")
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text")
-    chars, nulls = rows.agg(F.sum(F.length("text")), F.count_if(F.col("doc_id").isNull())).first()
-    if nulls:
-        raise ValueError(f"{nulls} rows have no doc_id")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    (chars,) = rows.agg(F.sum(F.length("text"))).first()
     parts = max(1, -(-(chars or 0) // SHARD_CHARS))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +170,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None, e
 
     schema = "doc_id long, shard int, offset long, length long, n_tokens long"
     rows.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(write, schema).write.parquet(f"{folder}/index")
-    return folder, spark.read.schema(schema).parquet(f"{folder}/index")
+    return folder, _null_again(spark.read.schema(schema).parquet(f"{folder}/index"))
 
 
 def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
@@ -203,11 +203,15 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
                     raise ValueError(f"shard {shard} has {seen} records, its index {records}")
 
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return shards.select("shard", "base", "records").repartition(width, "shard").mapInPandas(
-        read, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return _null_again(
+        shards.select("shard", "base", "records").repartition(width, "shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
 
+def _null_again(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def read_at(folder: str, rows: list[tuple[int, int, int]]) -> list[np.ndarray]:
     """Ids of single records by (shard, offset, length) of the index: what a shuffled reader calls."""
     fs, root = open_store(folder)
