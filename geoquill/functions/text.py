@@ -73,9 +73,10 @@ def words(c: Column) -> Column:
 
 def leading_places(tokens: Column) -> Column:
     """Saint, Mount and Fort to their short forms, but never the last token ("Main St" is a street)."""
-    last = F.size(tokens) - 1
     short = F.create_map(*[F.lit(x) for k, v in {"saint": "st", "sainte": "st", "st": "st", "ste": "st", "mount": "mt", "mt": "mt", "fort": "ft", "ft": "ft"}.items() for x in (k, v)])
-    return F.transform(tokens, lambda t, i: F.when(i < last, F.coalesce(F.try_element_at(short, t), t)).otherwise(t))
+    # a variable of an outer lambda: an expression inside the inner one would be evaluated for every token
+    bound = F.transform(F.array(tokens), lambda w: F.transform(w, lambda t, i: F.when(i < F.size(w) - 1, F.coalesce(F.try_element_at(short, t), t)).otherwise(t)))
+    return F.get(bound, F.lit(0))
 
 
 def key(c: Column) -> Column:

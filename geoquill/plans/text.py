@@ -48,18 +48,18 @@ SHORT = {"saint": "st", "sainte": "st", "st": "st", "ste": "st", "mount": "mt",
 
 @query("x01_fold", f"select doc_id, {fold_sql('t')} as folded, length({fold_sql('t')}) as n from ({HEAD})")
 def x01(spark, sf):
-    d = docs(spark, sf).select("doc_id", tx.fold(F.left("text", F.lit(60))).alias("folded"))
+    d = docs(spark, sf).select("doc_id", tx.fold(F.col("text")).alias("folded"))
     return d.select("*", F.length("folded").cast("long").alias("n"))
 
 
 @query("x02_key", f"select doc_id, array_to_string(list_transform(w, lambda x, i: case when i < len(w) then {case_sql('x', SHORT, 'x')} else x end), ' ') as key from (select doc_id, {words_sql(f'lower({fold_sql(chr(116))})')} w from ({HEAD}))")
 def x02(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.key(F.left("text", F.lit(60))).alias("key"))
+    return docs(spark, sf).select("doc_id", tx.key(F.col("text")).alias("key"))
 
 
 @query("x19_locality", f"select doc_id, array_to_string({words_sql(f'lower({fold_sql(chr(116))})')}, ' ') as locality from ({HEAD})")
 def x19(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.locality(F.left("text", F.lit(60))).alias("locality"))
+    return docs(spark, sf).select("doc_id", tx.locality(F.col("text")).alias("locality"))
 
 
 STREETS = "select p_partkey as id, concat(split_part(p_name,' ',1), ' ', list_extract(['St','Ave','Rd','Blvd','Hwy','Ct','Jr Blvd','St SE','St N','Lane'], cast(p_partkey % 10 + 1 as bigint))) as s from part"
@@ -178,7 +178,7 @@ def x34(spark, sf):
 
 @query("x30_escapes", """select doc_id, case when regexp_matches(t,'[,"\r\n]') then concat('"', replace(t,'"','""'), '"') else t end as csv from (select doc_id, left(text, 40) t from documents)""")
 def x30(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.csv_field(F.left("text", F.lit(40))).alias("csv"))
+    return docs(spark, sf).select("doc_id", tx.csv_field(F.col("text")).alias("csv"))
 
 
 @query("x29_normalizers", "select p_partkey as id, regexp_replace(concat(cast(p_size as varchar), case when p_size % 100 between 11 and 13 then 'TH' when p_size%10=1 then 'ST' when p_size%10=2 then 'ND' when p_size%10=3 then 'RD' else 'TH' end, ' ', upper(p_name)), '([0-9]+)(ST|ND|TH|RD)', '\\1', 'g') as plain from part")
