@@ -206,7 +206,7 @@ BM = """with d as (select doc_id, source, list_filter(regexp_split_to_array(lowe
 
 
 def _bm(spark, sf):
-    d = t(spark, sf, "documents").where("doc_id % 5 = 0").select("doc_id", "source", "text")
+    d = t(spark, sf, "documents").select("doc_id", "source", "text")
     q = spark.createDataFrame([(1, "the"), (1, "thing"), (2, "les"), (2, "eaux"), (3, "que"), (3, "para")], "qid int, term string")
     return se.bm25(se.postings(d, ["text"], ["source"]), q, ["source"]), q
 

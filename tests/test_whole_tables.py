@@ -1,5 +1,9 @@
 """Registered queries answer for all rows and whole texts of their tables."""
 
+import math
+
+import pytest
+
 import __spark_entry__
 
 
@@ -17,3 +21,24 @@ def test_whole_texts(spark, tmp_path):
     assert got("x02_key", "key") == {1: head + "mt evora st", 2: head + "said no", 3: head + "strasse end", 4: "short", 5: head.strip()}
     assert got("x19_locality", "locality")[1] == head + "mount evora st"
     assert got("x30_escapes", "csv") == {1: f'"{rows[0][1]}"', 2: f'"{head}said ""no"""', 3: f'"{rows[2][1]}"', 4: "short", 5: head}
+
+
+def test_bm25_covers_all_documents(spark, tmp_path):
+    texts = {1: "the thing", 2: "the other", 3: "les eaux", 4: "que para the thing", 5: "nothing here", 6: "the thing the thing", 7: "eaux"}
+    rows = [(k, f"s{k % 2}", v) for k, v in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    terms, want = {1: ["the", "thing"], 2: ["les", "eaux"], 3: ["que", "para"]}, {}
+    for source in ("s0", "s1"):
+        own = {d: v.split() for d, s, v in rows if s == source}
+        mean = sum(map(len, own.values())) / len(own)
+        for q, asked in terms.items():
+            for d, w in own.items():
+                df = {x: sum(x in y for y in own.values()) for x in asked}
+                parts = [math.log(1 + (len(own) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in asked if x in w]
+                if parts:
+                    want[q, source, d] = (sum(parts), len(parts))
+    got = {(r.qid, r.source, r.doc_id): (r.score, r.hit_terms) for r in run(spark, "a14_bm25", tmp_path).collect()}
+    assert got.keys() == want.keys() and {d for _, _, d in got} == {1, 2, 3, 4, 6, 7}
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-4) and got[k][1] == want[k][1] for k in want)
+    best = {(r.qid, r.doc_id) for r in run(spark, "t06_merged_top", tmp_path).collect()}
+    assert best == {(q, d) for (q, _, d), (_, n) in want.items() if n == 2}
