@@ -92,8 +92,7 @@ def f28(spark, sf):
 @query("j09_house_lookup", tg.cte("coords", "addresses") + ", q as (select * from coords where qid%5=0), c as (select q.qid, p.id, p.unit, power(radians(q.lat-p.lat),2)+power(radians(q.lng-p.lng)*cos(radians(q.lat)),2) d, cast(regexp_extract(split_part(housenumber,'-',1),'^(\\d+)',1) as bigint) f, cast(regexp_extract(case when position('-' in housenumber)>0 then split_part(housenumber,'-',2) else housenumber end,'^(\\d+)',1) as bigint) l from q join addresses p on abs(floor((q.lat+90)/2)-floor((p.lat+90)/2))<=1 and (abs(floor((q.lng+180)/2)-floor((p.lng+180)/2))<=1 or abs(floor((q.lng+180)/2)-floor((p.lng+180)/2))>=179)), r as (select *, row_number() over (partition by qid order by case when unit is null then 0 else 1 end, d, id) rn from c where f<=qid%90+1 and l>=qid%90+1) select qid, id from r where rn=1")
 def j09(spark, sf):
     """Nearest address whose number or range holds the one asked for, without a unit first."""
-    q = tg.table(spark, sf, "coords").where("qid % 5 = 0")
-    rows = sp.cell_join(q, tg.table(spark, sf, "addresses"), 2)
+    rows = sp.cell_join(tg.table(spark, sf, "coords"), tg.table(spark, sf, "addresses"), 2)
     rows = rows.where(tx.house_matches((F.col("qid") % 90 + 1).cast("string"), F.col("housenumber")))
     return sp.best(rows, ["qid"], [F.col("unit").isNotNull().cast("int"), F.col("d"), F.col("id")]).select("qid", "id")
 
@@ -331,7 +330,7 @@ def r18(spark, sf):
 @query("r30_validate", tg.cte("addresses") + ", q as (select id qid, street, housenumber, postcode from addresses where id%20=0), m as (select qid, count(*) filter (a.street=q.street and a.housenumber=q.housenumber and a.postcode=q.postcode) full_n, count(*) filter (a.street=q.street) street_n from q left join addresses a on a.street=q.street group by 1) select qid, case when full_n>=1 then 'verified' when street_n>0 then 'partial' else 'unverified' end as verdict from m")
 def r30(spark, sf):
     a = tg.table(spark, sf, "addresses").select("street", "housenumber", "postcode", "id")
-    q = a.where("id % 20 = 0").select(F.col("id").alias("qid"), "street", F.col("housenumber").alias("qh"), F.col("postcode").alias("qp"))
+    q = a.select(F.col("id").alias("qid"), "street", F.col("housenumber").alias("qh"), F.col("postcode").alias("qp"))
     whole = a.groupBy("street", "housenumber", "postcode").agg(F.count("*").alias("full_n"))
     some = a.groupBy("street").agg(F.count("*").alias("street_n"))
     m = q.join(whole, (q["street"] == whole["street"]) & (q["qh"] == whole["housenumber"]) & (q["qp"] == whole["postcode"]), "left").select("qid", q["street"], "full_n").join(some, "street", "left")
@@ -345,7 +344,7 @@ def r32(spark, sf):
 
 @query("r34_query_variants", tg.cte("addresses") + ", b as (select id, concat(housenumber,' ',street) q from addresses where id%10=0) select id, 'freeform' as variant, q from b union all select id, 'abbreviation', replace(q,'Street','St') from b union all select id, 'typo', concat(left(q,3), substring(q,5,1), substring(q,4,1), substring(q,6)) from b")
 def r34(spark, sf):
-    b = tg.table(spark, sf, "addresses").where("id % 10 = 0").select("id", F.concat_ws(" ", "housenumber", "street").alias("q"))
+    b = tg.table(spark, sf, "addresses").select("id", F.concat_ws(" ", "housenumber", "street").alias("q"))
     s = lambda a, n=None: F.substr("q", F.lit(a), F.lit(n)) if n else F.substr("q", F.lit(a))
     v = {"freeform": F.col("q"), "abbreviation": F.replace("q", F.lit("Street"), F.lit("St")), "typo": F.concat(s(1, 3), s(5, 1), s(4, 1), s(6))}
     return b.select("id", F.inline(F.array(*[F.struct(F.lit(k).alias("variant"), c.alias("q")) for k, c in v.items()])))

@@ -42,3 +42,23 @@ def test_bm25_covers_all_documents(spark, tmp_path):
     assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-4) and got[k][1] == want[k][1] for k in want)
     best = {(r.qid, r.doc_id) for r in run(spark, "t06_merged_top", tmp_path).collect()}
     assert best == {(q, d) for (q, _, d), (_, n) in want.items() if n == 2}
+
+
+@pytest.fixture(scope="module")
+def geo_tables(spark, tmp_path_factory):
+    sf = tmp_path_factory.mktemp("geo")
+    tables = {
+        "customer": ("c_custkey long", [(c,) for c in range(1, 9)]),
+        "orders": ("o_orderkey long, o_custkey long", [(c + 90, c) for c in range(1, 9)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(sf / f"{name}.parquet"))
+    return sf
+
+
+def test_every_address_and_coordinate_is_answered(spark, geo_tables):
+    assert {(r.qid, r.id) for r in run(spark, "j09_house_lookup", geo_tables).collect()} == {(c, c + 90) for c in range(1, 9)}
+    assert {(r.qid, r.verdict) for r in run(spark, "r30_validate", geo_tables).collect()} == {(c + 90, "verified") for c in range(1, 9)}
+    got = {(r.id, r.variant): r.q for r in run(spark, "r34_query_variants", geo_tables).collect()}
+    assert got.keys() == {(c + 90, v) for c in range(1, 9) for v in ("freeform", "abbreviation", "typo")}
+    assert [got[92, v] for v in ("freeform", "abbreviation", "typo")] == ["3 Street 2", "3 St 2", "3 Srteet 2"]
