@@ -50,6 +50,10 @@ def geo_tables(spark, tmp_path_factory):
     tables = {
         "customer": ("c_custkey long", [(c,) for c in range(1, 9)]),
         "orders": ("o_orderkey long, o_custkey long", [(c + 90, c) for c in range(1, 9)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long", [(s, f"S{s}", s % 2) for s in range(1, 41)]),
+        "nation": ("n_nationkey long, n_name string", [(0, "N0"), (1, "N1")]),
+        "part": ("p_partkey long, p_name string, p_size int", [(1, "P1", 1), (2, "P2", 50), (103, "P103", 7)]),
+        "lineitem": ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double", [(91, 1, 1, 1, 1.0), (91, 2, 2, 4, 50.0), (92, 1, 103, 3, 45.0)]),
     }
     for name, (schema, rows) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(str(sf / f"{name}.parquet"))
@@ -62,3 +66,23 @@ def test_every_address_and_coordinate_is_answered(spark, geo_tables):
     got = {(r.id, r.variant): r.q for r in run(spark, "r34_query_variants", geo_tables).collect()}
     assert got.keys() == {(c + 90, v) for c in range(1, 9) for v in ("freeform", "abbreviation", "typo")}
     assert [got[92, v] for v in ("freeform", "abbreviation", "typo")] == ["3 Street 2", "3 St 2", "3 Srteet 2"]
+
+
+def test_nearby_of_every_coordinate(spark, geo_tables):
+    at = lambda k, a=0, b=0: ((k * 7919 + a) % 120000 / 1000 - 60, (k * 104729 + b) % 340000 / 1000 - 170)
+
+    def metres(p, q):
+        (a, b), (c, d) = ([math.radians(x) for x in y] for y in (p, q))
+        return 2 * 6371000.0 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    want = set()
+    for c in range(1, 9):
+        near = sorted((round(m, 3), s) for s in range(1, 41) if (m := metres(at(c), at(s, 311, 977))) <= 1_500_000)[:5]
+        want |= {(c, s, k) for k, (_, s) in enumerate(near, 1)}
+    assert want and {(r.qid, r.id, r.pos) for r in run(spark, "r23_nearby", geo_tables).collect()} == want
+
+
+def test_joins_take_all_rows(spark, geo_tables):
+    got = {tuple(r) for r in run(spark, "j16_star_join", geo_tables).collect()}
+    assert got == {(91, 1, "P1", "S1", "N1"), (91, 2, "P2", "S4", "N0"), (92, 1, "P103", "S3", "N1")}
+    assert {tuple(r) for r in run(spark, "j31_alias_tokens", geo_tables).collect()} == {(1, 1), (2, 2), (103, 3)}
