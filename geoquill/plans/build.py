@@ -98,7 +98,7 @@ def f26(spark, sf):
 
 @query("j16_star_join", "select l_orderkey as id, l_linenumber as line, p_name, s_name, n_name from lineitem join part on l_partkey=p_partkey join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey where l_quantity > 45")
 def j16(spark, sf):
-    li = t(spark, sf, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     s = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
     rows = li.join(t(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "p_name", "s_name", "n_name")

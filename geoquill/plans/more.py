@@ -151,7 +151,7 @@ def j30(spark, sf):
 
 @query("j31_alias_tokens", "select distinct a.p_partkey as query, b.s_suppkey as place from part a join supplier b on a.p_partkey%100=b.s_suppkey where a.p_size>40")
 def j31(spark, sf):
-    q = t(spark, sf, "part").where("p_size > 40").select(F.col("p_partkey").alias("query"), F.concat(F.lit("Alias "), (F.col("p_partkey") % 100).cast("string")).alias("q"))
+    q = t(spark, sf, "part").select(F.col("p_partkey").alias("query"), F.concat(F.lit("Alias "), (F.col("p_partkey") % 100).cast("string")).alias("q"))
     alias = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("place"), F.concat(F.lit("alias-"), F.col("s_suppkey").cast("string")).alias("a"))
     return q.withColumn("k", tx.key(F.col("q"))).join(alias.withColumn("k", tx.key(F.col("a"))), "k").select("query", "place").distinct()
 
