@@ -43,13 +43,14 @@ def nearest_ranked(queries: DataFrame, points: DataFrame, deg: float, within_m:
     return best(rows, ["qid"], [F.col("rank"), F.col("d"), F.col("id")]).drop("rn")
 
 
-def within_radius(queries: DataFrame, points: DataFrame, deg: float, radius_m: float, keep: int) -> DataFrame:
-    """Every point within a radius, nearest first, the first ``keep``: a report, so the limit is its feature."""
+def within_radius(queries: DataFrame, points: DataFrame, deg: float, radius_m: float, keep: int | None, on: tuple[str, ...] = ()) -> DataFrame:
+    """Every point within a radius, nearest first, the first ``keep``: a report, so the limit is its feature. Without one
+    (None) nothing is ranked. Columns in ``on`` must be equal."""
     q = queries.select("*", F.explode(geo.cells_in_radius(F.col("lat"), F.col("lng"), deg, radius_m)).alias("_cell"))
     p = points.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}).withColumn("_cell", geo.cell(F.col("p_lat"), F.col("p_lng"), deg))
-    rows = q.join(p, "_cell").drop("_cell")
+    rows = q.join(p, ["_cell", *on]).drop("_cell")
     rows = rows.withColumn("metres", geo.haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where(F.col("metres") <= radius_m)
-    return best(rows, ["qid"], [F.round("metres", 3), F.col("id")], keep)
+    return rows if keep is None else best(rows, ["qid"], [F.round("metres", 3), F.col("id")], keep)
 
 
 def segments(ways: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ def j26(spark, sf):
     p = tg.table(spark, sf, "places").select("id", "lat", "lng", "rank")
     from geoquill.operators.spatial import within_radius
 
-    near = within_radius(p.withColumnRenamed("id", "qid").withColumnRenamed("rank", "qrank"), p, 15, 2_500_000, 1_000_000)
-    twins = near.where((F.col("qrank") == F.col("rank")) & (F.col("qid") > F.col("id")) & (F.round(F.col("metres") / 1000, 3) < 2500)).select(F.col("qid").alias("id")).distinct()
+    near = within_radius(p.withColumnRenamed("id", "qid"), p, 15, 2_500_000, None, ("rank",))
+    twins = near.where((F.col("qid") > F.col("id")) & (F.round(F.col("metres") / 1000, 3) < 2500)).select(F.col("qid").alias("id")).distinct()
     return p.join(twins, "id", "left_anti").select("id")
 
 

@@ -145,8 +145,8 @@ def j27(spark, sf):
 
 @query("j30_alias_within_reach", tg.cte("places", "pois") + " select a.id as place, b.id as alias from places a join pois b on a.rank=16+b.id%10 where 2*6371000.0*asin(sqrt(least(1.0,power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lng-a.lng)/2),2))))<=200000")
 def j30(spark, sf):
-    rows = sp.within_radius(tg.table(spark, sf, "places").select(F.col("id").alias("qid"), "lat", "lng", F.col("rank").alias("qrank")), tg.table(spark, sf, "pois").select("id", "lat", "lng"), 4, 200_000, 1_000_000)
-    return rows.where(F.col("qrank") == 16 + F.col("id") % 10).select(F.col("qid").alias("place"), F.col("id").alias("alias"))
+    rows = sp.within_radius(tg.table(spark, sf, "places").select(F.col("id").alias("qid"), "lat", "lng", F.col("rank").cast("long").alias("rank")), tg.table(spark, sf, "pois").select("id", "lat", "lng", (16 + F.col("id") % 10).alias("rank")), 4, 200_000, None, ("rank",))
+    return rows.select(F.col("qid").alias("place"), F.col("id").alias("alias"))
 
 
 @query("j31_alias_tokens", "select distinct a.p_partkey as query, b.s_suppkey as place from part a join supplier b on a.p_partkey%100=b.s_suppkey where a.p_size>40")

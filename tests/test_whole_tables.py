@@ -5,6 +5,7 @@ import math
 import pytest
 
 import __spark_entry__
+from geoquill.operators.spatial import within_radius
 
 
 def run(spark, name, sf):
@@ -86,3 +87,11 @@ def test_joins_take_all_rows(spark, geo_tables):
     got = {tuple(r) for r in run(spark, "j16_star_join", geo_tables).collect()}
     assert got == {(91, 1, "P1", "S1", "N1"), (91, 2, "P2", "S4", "N0"), (92, 1, "P103", "S3", "N1")}
     assert {tuple(r) for r in run(spark, "j31_alias_tokens", geo_tables).collect()} == {(1, 1), (2, 2), (103, 3)}
+
+
+def test_radius_without_limit(spark):
+    q = spark.createDataFrame([(1, 0.0, 0.0, 5)], "qid int, lat double, lng double, rank int")
+    p = spark.createDataFrame([(k, 0.001 * k, 0.0, 5 + k % 2) for k in range(1, 9)], "id int, lat double, lng double, rank int")
+    rows = within_radius(q, p, 4, 200_000, None, ("rank",))
+    assert {r.id for r in rows.collect()} == {2, 4, 6, 8}
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
