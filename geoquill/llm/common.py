@@ -5,24 +5,36 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts may be long, so a batch stays near some megabytes.
-ARROW_ROWS = 512
+#: What a null id is called inside; it is null again in results.
+NO_ID = -(2**63)
+#: Rows and bytes of an Arrow batch, whichever is reached first: texts may be long.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+
+#: Paths of scratch tables written inside open :class:`scratch` blocks, one list a block.
+_blocks: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session sets none (tests, one machine) is a local folder set for it.
+    Only on one machine (a local master, as in tests) is a folder made up where the session sets none; on a cluster a
+    missing setting is an error, as no local folder is shared there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "geoquill-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if _blocks:
+        _blocks[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
@@ -35,19 +47,43 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`shared_dir`."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete stored tables that nothing lazy reads any more: what was made from them is stored itself."""
     for t in tables:
         path = getattr(t, "_scratch_path", None)
         if path:
-            jvm = t.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end every scratch table written inside: whoever opens it has stored or read its result by then.
+
+    Lazy results of the operators read scratch tables, so only the caller knows when those may go.
+    """
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _blocks.pop():
+            delete(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, as texts can be long."""
+    """Bound Arrow batches by rows and bytes, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def same_row(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """(id, hash of the text): what tells rows apart that repeat an id. Null ids and null texts are values like others."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -56,6 +92,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce((F.crc32(c.cast("string").cast("binary")) % 5) == 0, F.lit(True))
 
 
+def file_bytes(path: str) -> bytes:
+    """A model file as the driver reads it; operators broadcast its bytes, so executors need no such path."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, y) of at most about ``most`` labelled rows outside the held-out fifth.
 
