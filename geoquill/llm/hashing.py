@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
-#: A random 64-bit value for each byte, and an odd multiplier with its inverse modulo 2**64.
+#: A random 64-bit value for each byte and odd multipliers.
 BYTE = _rng.integers(0, 2**64, 256, dtype=U)
-STEP = U(0x9E3779B97F4A7C15)
-BACK = U(pow(int(STEP), -1, 2**64))
 MUL = _rng.integers(0, 2**64, 64, dtype=U) | U(1)
+#: Bytes of a word that one lookup block covers, and a random value for every (place in the block, byte).
+BLOCK = 64
+PLACE = _rng.integers(0, 2**64, (BLOCK, 256), dtype=U)
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
-_LOWBYTE = BYTE[_lower]
+_LOWPLACE = PLACE[:, _lower].ravel()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,27 +26,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up = np.full(n, STEP, U)
-    up[0] = 1
-    down = np.full(n, BACK, U)
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP**i and STEP**-i for i < n, kept for the longest text so far."""
-    have = powers.bits
-    if n > 1 << have:
-        have = powers.bits = int(n - 1).bit_length()
-    return _powers(have)
-
-
-powers.bits = 16
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash for each word: runs of bytes that are not ASCII white space, A-Z lower-cased."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -60,10 +38,36 @@ def word_hashes(text: str | None) -> np.ndarray:
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return np.zeros(0, U)
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum(_LOWBYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U) * MUL[60])
+    return _hashed(raw, begin, end)
+
+
+def _hashed(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Tabulation hashes of the byte runs [begin, end): each (place, byte) has a random value of its own.
+
+    Two different runs of up to 64 bytes differ by random values, whatever their pattern. Longer ones are cut into
+    blocks, whose sums are mixed with the block's number before they are added up.
+    """
+    size = end - begin
+    long = size > BLOCK
+    if long.any():
+        pieces = np.where(long, -(-size // BLOCK), 1)
+        first = np.cumsum(pieces) - pieces
+        number = np.arange(pieces.sum()) - np.repeat(first, pieces)
+        at = np.repeat(begin, pieces) + number * BLOCK
+        stop = np.minimum(at + BLOCK, np.repeat(end, pieces))
+        sums = mix(_sums(raw, at, stop) + number.astype(U) * MUL[59])
+        whole = np.add.reduceat(sums, first)
+    else:
+        whole = mix(_sums(raw, begin, end))
+    return mix(whole + size.astype(U) * MUL[60])
+
+
+def _sums(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - begin
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+    spots = place + np.repeat(begin.astype(np.int32), size)
+    return np.add.reduceat(_LOWPLACE[(place << 8) + raw[spots]], at)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
