@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import forget, same_row, stored
 
 WINDOW = 10
 #: Rarest terms of a window whose lists are intersected.
@@ -81,7 +81,9 @@ def phrase_matches(index: DataFrame, phrases: DataFrame, probes: int = PROBES) -
     fits = lambda want, have: F.col(want).isNull() | F.col(want).eqNullSafe(F.col(have))
     hits = index.join(_small(probe, n_phrases * probes), "term").where(fits("b", "before") & fits("a", "after")).select("key", "pid", (F.col("pos") - F.col("off")).alias("start"), "bit", "need")
     held = hits.where("start >= 0").groupBy("key", "pid", "start").agg(F.bit_or("bit").alias("got"), F.max("need").alias("need"))
-    return held.where("got = need").select("key", "pid", "start")
+    found = stored(held.where("got = need").select("key", "pid", "start"), "candidates")
+    forget(df, probe)
+    return found
 
 
 def near_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
@@ -102,14 +104,19 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     document; a null id is a document like any other. Empty tables give empty results or no hits. Other columns are
     ignored.
     """
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("h"))
-    keyed = docs.select("doc_id", key.alias("key"), "text")
+    return _contamination(docs, items, size).drop("key")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """:func:`contamination` with the key (d, h) of each row, for those who look rows up again."""
+    d, h = same_row()
+    keyed = docs.select("doc_id", F.struct(d.alias("d"), h.alias("h")).alias("key"), "text")
     win = stored(windows(items, size), "windows")
     phrases = stored(win.select("phrase").distinct().select(F.md5(F.to_json("phrase")).alias("pid"), "phrase"), "phrases")
     item_of = win.select("item_id", F.md5(F.to_json("phrase")).alias("pid"))
     terms = stored(phrases.select(F.explode("phrase").alias("term")).distinct(), "terms")
     index = build_index(keyed.select("key", words("text").alias("w")), terms)
-    found = stored(phrase_matches(index, phrases), "candidates")
+    found = phrase_matches(index, phrases)
     forget(index, terms)
     starts = found.join(_small(phrases, phrases.count()), "pid").groupBy("key").agg(F.collect_set(F.struct("start", "pid", "phrase")).alias("c"))
     # the text moves to its candidates, not its words, which take more room
@@ -119,6 +126,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     same = F.filter("c", lambda c: F.slice("w", c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
     brief = F.transform(same, lambda c: F.struct(c["start"].alias("start"), c["pid"].alias("pid"), F.size(c["phrase"]).alias("len")))
     real = stored(checked.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), brief.alias("c")).dropDuplicates(["key"]), "matches")
+    forget(found, phrases)
     spans = F.array_distinct(F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"))))
     hit = F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
     named = real.select("key", F.explode(F.array_distinct(F.col("c.pid"))).alias("pid")).join(_small(item_of, win.count()), "pid")
@@ -126,12 +134,18 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     out = real.select("doc_id", "key", "n_words", hit.cast("long").alias("n_hit")).join(named, "key", "left")
     ids = F.sort_array(F.coalesce("ids", F.array().cast("array<string>")))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+        "key", "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows in which any window of the items occurs; all columns and all other rows stay."""
-    found = contamination(docs, items, size).where("contaminated").select("doc_id")
-    return docs.join(found.distinct(), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """``docs`` without the rows in which any window of the items occurs; all columns and all other rows stay.
+
+    Every row is judged by its own text: another row of its id, or another without an id, does not matter. Repeated rows
+    stay or go together, a null text has no words and stays, and an empty table of either kind removes nothing.
+    """
+    found = _contamination(docs, items, size).where("contaminated").select("key")
+    d, h = same_row()
+    whole = docs.select(F.struct("*").alias("row"), F.struct(d.alias("d"), h.alias("h")).alias("key"))
+    return whole.join(found.distinct(), "key", "left_anti").select("row.*")
