@@ -3,9 +3,9 @@
 A window is ``length`` consecutive bytes of one document; a byte goes if a window over it also starts earlier.
 
 1. Routing. The least hash among a window's k-grams is its anchor; equal windows have equal anchors. Consecutive windows
-   with one anchor are a run. A run is described by two hashes (its first and last window, which overlap or touch, so
-   they fix its bytes), not by its bytes. Equal runs of a batch are collapsed before anything moves: all but the first
-   are repeats as a whole. Runs with an anchor that only one run has are new; unless
+   with one anchor are a run. A run is described by two independent hashes of 64 bits over its first and last window
+   (these overlap or touch, so they fix its bytes), not by its bytes. Equal runs of a task are collapsed before anything
+   moves: all but the first are repeats as a whole. Runs with an anchor that only one run has are new; unless
    they hold a window twice (periodic text), they are dropped.
 2. Groups. One shuffle by anchor finds, of equal runs, the first; the others are repeats as a whole. Anchors left with
    several different runs, and periodic runs, are contested, and only those runs' bytes are fetched.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,21 +30,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, small_batches, stored
-from .hashing import BYTE, MUL, U, mix
+from .common import NO_ID, forget, same_row, small_batches, stored
+from .hashing import BYTE, MUL, PLACE, U, mix
 
 LENGTH, GRAM = 100, 20
 #: Longest run, in windows: first and last window then still touch.
 RUN = LENGTH
-#: Documents that hot anchors are looked for on, about, and how many different runs of an anchor there make it hot.
-SAMPLE_DOCS, SAMPLE_HOT = 20_000, 100
+#: Bytes of documents that hot anchors are looked for on, about, and how many different runs of an anchor there make it hot.
+SAMPLE_BYTES, SAMPLE_HOT = 50_000_000, 100
 #: Different runs from which a counted anchor is hot; fewer are about a megabyte, which one task takes.
 HOT = 8192
 #: Bytes of runs that one suffix index task takes, about, and runs in one of its batches.
 TASK_BYTES, BATCH_RUNS = 2_000_000, 256
 #: Document ids up to which the set of documents with contested runs is broadcast.
 BROADCAST_ROWS = 200_000
-NO_ID = -(2**63)
+#: Windows of a text that are hashed at a time, and run descriptions that a task collapses at a time.
+SLICE, FLUSH_ROWS = 1 << 20, 500_000
+
+STEP = U(0x9E3779B97F4A7C15)
+BACK = U(pow(int(STEP), -1, 2**64))
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """STEP**i and STEP**-i for the places of a slice."""
+    up, down = np.full(SLICE + LENGTH, STEP, U), np.full(SLICE + LENGTH, BACK, U)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def _pow(h: np.ndarray, gap: int, k: int) -> np.ndarray:
@@ -51,16 +64,13 @@ def _pow(h: np.ndarray, gap: int, k: int) -> np.ndarray:
     return h[: len(h) - gap] * MUL[k % 50] + h[gap:]
 
 
-def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
-    """A hash for every substring of ``width`` bytes, by doubling; the last step overlaps."""
-    h, have = BYTE[raw], 1
-    while have * 2 <= width:
-        h = _pow(h, have, have)
-        h = h ^ (h >> U(29))
-        have *= 2
-    if have < width:
-        h = _pow(h, width - have, width)
-    return mix(h)
+def second_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of every window that shares nothing with the first: random values of bytes, summed as a polynomial."""
+    up, down = _powers()
+    sums = np.zeros(len(raw) + 1, U)
+    np.cumsum(PLACE[0][raw] * up[: len(raw)], out=sums[1:])
+    n = len(raw) - LENGTH + 1
+    return mix((sums[LENGTH:] - sums[:-LENGTH]) * down[:n])
 
 
 def anchors_and_windows(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +98,8 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if have < width else h
 
 
-def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document: run starts, run lengths in windows, anchors, run hashes, and the hash of every window."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < LENGTH:
-        return none, none, none, none, none
+def runs(raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a slice: run starts, run lengths in windows, anchors, both run hashes, and both hashes of every window."""
     anchor, window = anchors_and_windows(raw)
     start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     n = np.diff(np.append(start, len(anchor)))
@@ -102,8 +109,9 @@ def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         n = np.minimum(np.repeat(n, pieces) - step * RUN, RUN)
         start = first + step * RUN
-    whole = mix(window[start] * MUL[51] + window[start + n - 1] * MUL[52] + n.astype(U))
-    return start, n, anchor[start].view(np.int64), whole.view(np.int64), window.view(np.int64)
+    other = second_hashes(raw)
+    whole, whole2 = (mix(w[start] * MUL[51] + w[start + n - 1] * MUL[52] + n.astype(U)) for w in (window, other))
+    return start, n, *(x.view(np.int64) for x in (anchor[start], whole, whole2, window, other))
 
 
 def self_repeating(n: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -117,21 +125,22 @@ def self_repeating(n: np.ndarray, window: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROWS = ["anchor", "run", "d", "start", "n", "inner"]
-_SCHEMA = "anchor long, run long, d long, start int, n int, inner int, marks array<struct<start:int,n:int>>"
+_ROWS = ["anchor", "run", "run2", "d", "start", "n", "inner"]
+_SCHEMA = "anchor long, run long, run2 long, d long, start int, n int, inner int, marks array<struct<start:int,n:int>>"
+_NO_ROWS = np.zeros((0, len(_ROWS)), np.int64)
 
 
 def _collapsed(rows: np.ndarray) -> pd.DataFrame:
-    """Runs of a batch: the first of each kind as it is, and one more row per document with all its later ones.
+    """Runs of a task: the first of each kind as it is, and one more row per document with all its later ones.
 
-    The latter repeat an earlier run of the batch. Their ``marks`` are merged where they touch; a hash of the document
+    The latter repeat an earlier run of the task. Their ``marks`` are merged where they touch; a hash of the document
     stands for the anchor, which only spreads these rows.
     """
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]) if len(rows) else np.zeros(0, bool)
+    rows = rows[np.lexsort(rows[:, 4::-1].T)]
+    new = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)]) if len(rows) else np.zeros(0, bool)
     first = pd.DataFrame(rows[new], columns=_ROWS)
     first["marks"] = pd.Series([None] * len(first), dtype=object)
-    later = rows[~new][:, 2:5]
+    later = rows[~new][:, 3:6]
     later = later[np.lexsort((later[:, 1], later[:, 0]))]
     if not len(later):
         return first
@@ -141,40 +150,46 @@ def _collapsed(rows: np.ndarray) -> pd.DataFrame:
     d, start = d[at], start[at]
     own = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
     marks = [[{"start": s, "n": k} for s, k in zip(x.tolist(), y.tolist(), strict=True)] for x, y in zip(np.split(start, own[1:]), np.split(spans, own[1:]), strict=True)]
-    told = pd.DataFrame({"anchor": mix(d[own].view(U)).view(np.int64), "run": 0, "d": d[own], "start": 0, "n": 0, "inner": 0})
+    told = pd.DataFrame({"anchor": mix(d[own].view(U)).view(np.int64), "run": 0, "run2": 0, "d": d[own], "start": 0, "n": 0, "inner": 0})
     told["marks"] = pd.Series(marks, dtype=object)
     return pd.concat([first, told], ignore_index=True)
 
 
+def _slices(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces of a text with ``SLICE`` windows each, and where they start; any cut of runs gives the same result."""
+    raw = np.frombuffer(data, np.uint8)
+    for lo in range(0, len(raw) - LENGTH + 1, SLICE):
+        yield lo, raw[lo : lo + SLICE + LENGTH - 1]
+
+
 def _table(batch: pd.DataFrame, hot: np.ndarray) -> np.ndarray:
-    """All runs of a batch as rows of (anchor, run, d, start, n, inner); runs of hot anchors as single windows."""
-    parts = []
+    """All runs of a batch as rows of ``_ROWS``; runs of hot anchors as single windows."""
+    parts = [_NO_ROWS]
     for d, text in zip(batch["d"], batch["text"], strict=True):
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        start, n, anchor, whole, window = runs(raw)
-        if not len(start):
-            continue
-        inner = self_repeating(n, window).astype(np.int64)
-        if len(hot):
-            warm = np.isin(anchor, hot)
-            if warm.any():
-                s, m = start[warm], n[warm]
-                pos = np.repeat(s - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                parts.append(_single(window[pos], d, pos))
-                start, n, anchor, whole, inner = start[~warm], n[~warm], anchor[~warm], whole[~warm], inner[~warm]
-        parts.append(np.column_stack([anchor, whole, np.full(len(start), d, np.int64), start, n, inner]))
-    return np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
-
-
-def _single(window: np.ndarray, d: int, pos: np.ndarray) -> np.ndarray:
+        for lo, raw in _slices((text or "").encode("utf-8", "surrogatepass")):
+            start, n, anchor, whole, whole2, window, other = runs(raw)
+            inner = self_repeating(n, window).astype(np.int64)
+            if len(hot):
+                warm = np.isin(anchor, hot)
+                if warm.any():
+                    s, m = start[warm], n[warm]
+                    pos = np.repeat(s - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    parts.append(_single(window[pos], other[pos], d, lo + pos))
+                    start, n, anchor, whole, whole2, inner = (x[~warm] for x in (start, n, anchor, whole, whole2, inner))
+            parts.append(np.column_stack([anchor, whole, whole2, np.full(len(start), d, np.int64), lo + start, n, inner]))
+    return np.concatenate(parts)
+
+
+def _single(window: np.ndarray, other: np.ndarray, d: int, pos: np.ndarray) -> np.ndarray:
     """Single windows as runs of their own: routed by a hash of their whole content."""
     v = window.view(U)
     one = np.ones(len(v), np.int64)
-    return np.column_stack([mix(v * MUL[53]).view(np.int64), mix(v + MUL[54]).view(np.int64), one * d, pos, one, 0 * one])
+    return np.column_stack([mix(v * MUL[53]).view(np.int64), mix(v + MUL[54]).view(np.int64), other, one * d, pos, one, 0 * one])
 
 
 class SuffixIndex:
-    """Sorted windows in levels of geometrically growing size."""
+    """Sorted suffixes in levels of geometrically growing size. Only matches of full length count, so a suffix is kept as
+    its first ``LENGTH`` bytes."""
 
     def __init__(self) -> None:
         self.levels: list[np.ndarray] = []
@@ -221,7 +236,7 @@ def _scan_group(g: pd.DataFrame) -> pd.DataFrame:
 def _grouped(rows: DataFrame) -> DataFrame:
     """Rows by anchor: whether a run is the first of its kind, and how many kinds of run its anchor has."""
     told = F.col("marks").isNotNull()
-    kind = Window.partitionBy("anchor", "told", "run").orderBy("d", "start")
+    kind = Window.partitionBy("anchor", "told", "run", "run2").orderBy("d", "start")
     anchor = Window.partitionBy("anchor", "told")
     ranked = rows.withColumn("told", told).repartition("anchor", "told").select("*", F.row_number().over(kind).alias("rn"))
     ranked = ranked.select("*", F.sum((F.col("rn") == 1).cast("int")).over(anchor).alias("kinds"))
@@ -238,21 +253,28 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(d, marks): each mark (start, n) says that n consecutive windows of document d from byte ``start`` start earlier
     somewhere. A document has several rows, or none. ``docs``: d (unique), text."""
     small_batches(docs.sparkSession)
-    n_docs = docs.count()
-    picked = docs if n_docs <= SAMPLE_DOCS else docs.where(F.pmod(F.xxhash64("d", F.lit("hot")), F.lit(1_000_000)) < int(1e6 * SAMPLE_DOCS / n_docs))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    picked = docs if size <= SAMPLE_BYTES else docs.where(F.pmod(F.xxhash64("d", F.lit("hot")), F.lit(1_000_000)) < int(1e6 * SAMPLE_BYTES / size))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             t = _table(b, np.zeros(0, np.int64))
-            yield pd.DataFrame(np.unique(t[:, :2], axis=0) if len(t) else t[:, :2], columns=["anchor", "run"])
+            yield pd.DataFrame(t[:, :2], columns=["anchor", "run"])
 
-    often = picked.mapInPandas(count, "anchor long, run long").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") >= SAMPLE_HOT)
-    # each hot anchor has at least SAMPLE_HOT runs of a sample of bounded size, so there are few
+    often = picked.mapInPandas(count, "anchor long, run long").distinct().groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") >= SAMPLE_HOT)
+    # each hot anchor has SAMPLE_HOT different runs in SAMPLE_BYTES of text, so their number is bounded
     hot = np.array([r["anchor"] for r in often.select("anchor").collect()], np.int64)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for b in batches:
-            yield _collapsed(_table(b, hot))
+            held.append(_table(b, hot))
+            rows += len(held[-1])
+            if rows >= FLUSH_ROWS:
+                yield _collapsed(np.concatenate(held))
+                held, rows = [], 0
+        if held:
+            yield _collapsed(np.concatenate(held))
 
     seen = stored(_grouped(docs.mapInPandas(describe, _SCHEMA)), "repeat-groups")
     marks = [_marks(seen)]
@@ -264,16 +286,17 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, singles = [], [np.zeros((0, 6), np.int64)]
+            rows, singles = [], [_NO_ROWS]
             for d, text, c in zip(b["d"], b["text"], b["c"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for r in c:
                     s, n = r["start"], r["n"]
                     if r["hot"]:
-                        w = gram_hashes(np.frombuffer(data, np.uint8)[s : s + n + LENGTH - 1], LENGTH).view(np.int64)
-                        singles.append(_single(w, d, np.arange(s, s + n)))
+                        raw = np.frombuffer(data, np.uint8)[s : s + n + LENGTH - 1]
+                        w = anchors_and_windows(raw)[1].view(np.int64), second_hashes(raw).view(np.int64)
+                        singles.append(_single(*w, d, np.arange(s, s + n)))
                     else:
-                        rows.append((r["anchor"], 0, d, s, n, 0, None, data[s : s + n + LENGTH - 1]))
+                        rows.append((r["anchor"], 0, 0, d, s, n, 0, None, data[s : s + n + LENGTH - 1]))
             yield pd.DataFrame(rows, columns=[*_ROWS, "marks", "bytes"])
             single = _collapsed(np.concatenate(singles))
             single["bytes"] = pd.Series([None] * len(single), dtype=object)
@@ -296,7 +319,7 @@ def unique_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Where doc_id is unique, d is doc_id. Otherwise rows that repeat id and text are one, and d numbers the rest by (id,
     hash of the text); only ids and hashes are ordered, in ranges.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(same_row()[0].alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     again = rows.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").limit(1).count()
     if not again:
         return rows.withColumnRenamed("k", "d"), None
@@ -323,7 +346,7 @@ def kept_bytes(data: bytes, m) -> tuple[bytes, int, int]:
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, [r["start"] for r in m], 1)
     np.add.at(edge, [r["start"] + r["n"] + LENGTH - 1 for r in m], -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
@@ -356,7 +379,9 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes cut out of text, and n_chars to match if there is such a column.
 
     A cut may fall inside a character; what is left of one is dropped. Rows stay, with an empty text if nothing is left;
-    null texts become empty. Rows that repeat id and text are cut alike, by their first.
+    null texts become empty. Rows that repeat id and text are cut alike, by their first; equal ids with different texts
+    are ordered by a hash of the text, and null ids come first. Other columns stay, whatever their names; an empty table
+    gives an empty result.
     """
     rows, ids = unique_rows(docs)
 
@@ -366,14 +391,12 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"d": b["d"], "kept": [kept_bytes(x, m)[0].decode("utf-8", "ignore") for x, m in zip(data, b["m"], strict=True)]})
 
     m = removed_spans(rows).where("m is not null").mapInPandas(cut, "d long, kept string")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    keyed = docs.withColumn("_k", key)
+    k, h = same_row()
+    whole = docs.select(F.struct("*").alias("row"), k.alias("k"), h.alias("h"))
     if ids is None:
-        keyed = keyed.join(m.withColumnRenamed("d", "_k"), "_k", "left")
+        whole = whole.join(m.withColumnRenamed("d", "k"), "k", "left")
     else:
-        m = m.join(ids, "d").select(F.col("k").alias("_k"), F.col("h").alias("_h"), "kept")
-        keyed = keyed.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(m, ["_k", "_h"], "left")
-    out = keyed.withColumn("text", F.coalesce("kept", "text", F.lit("")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        whole = whole.join(m.join(ids, "d").select("k", "h", "kept"), ["k", "h"], "left")
+    text = F.coalesce("kept", F.col("row").getField("text"), F.lit(""))
+    new = {"text": text, "n_chars": F.char_length(text)}
+    return whole.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("row").getField(f.name)).alias(f.name) for f in docs.schema])
