@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Lexical transducers map tokens to classes: INSULT and THREAT entries carry weights learnt from labelled documents;
-TARGET, NEGATION and REPORT entries are fixed word lists of four languages. Clause machines read classes and write marks:
+The lexical transducer maps tokens to symbols: INSULT and THREAT entries carry weights learnt from labelled documents;
+TARGET, NEGATION and REPORT entries are fixed word lists of four languages. Four clause transducers read symbols and put
+marks on them:
 
 * negation: an insult or threat within three tokens after a negation is marked negated;
 * reported speech: after a reporting verb, or inside quotation marks, it is marked reported;
-* target: with an address (you, your, ...) within four tokens before it, it is marked targeted.
+* target: with an address (you, your, ...) within four tokens before it, it is marked targeted;
+* company: it accepts a clause only if an insult or threat stands there with another word, so a lone word is no match.
 
-The three machines run composed, one product state per token, and the output of a clause is its events with marks. A
-clause's score is the sum of its events' weights; a document's score is a logistic function of its clauses' scores by
-mark, so isolated words count only through the clause that holds them.
+They are composed into one machine (:mod:`transducers`), which runs once over each clause. A matched clause's score is
+the sum of its events' weights; a document's score is a logistic function of its matched clauses' scores by mark.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, small_batches, stored
 from .hashing import shingles, word_hashes
+from .transducers import Transducer, build, cascade
 
 #: Most labelled rows that lexicon weights and mark weights are learnt from; scoring covers all rows.
 FIT_ROWS = 16_000
@@ -34,8 +36,8 @@ FIT_ROWS = 16_000
 ENTRIES = 3_000
 #: Evidence that an entry needs: G-squared of its association, and the ratio of its rates in toxic and other documents.
 LEAST_G2, LEAST_RATIO = 18.0, 12.0
-#: Share of the toxic documents that an entry occurs in at least; copies of one document make chance words look strong.
-LEAST_SHARE = 0.01
+#: Distinct toxic texts that an entry occurs in at least; chance words of one text and its copies look strong.
+LEAST_TEXTS = 8
 THRESHOLD = 0.5
 
 #: Closed word lists of English, German, French and Spanish.
@@ -53,6 +55,40 @@ FEATURES = [*MARKS, "threat", "strongest", "clauses"]
 #: What the grammar says before any labels are seen; labels move it.
 PRIOR = np.array([1.0, 1.5, 0.3, 0.5, 0.5, 0.5, 0.3])
 
+#: Symbols: a class, and bits of marks in steps of the number of classes.
+OTHER, INSULT, THREATENS, ADDRESS, NEGATES, REPORTS, QUOTE = range(7)
+CLASSES, NEGATED, REPORTED, TARGETED = 7, 1, 2, 4
+ALPHABET = CLASSES * 8
+
+
+def _marking(states: int, on, after, bit: int) -> Transducer:
+    """Puts ``bit`` on insults and threats met in a state that is ``on``; ``after`` gives the next state by class."""
+
+    def rule(state: int, x: int) -> tuple[int, int]:
+        marks, kind = divmod(x, CLASSES)
+        if kind in (INSULT, THREATENS) and on(state):
+            marks |= bit
+        return after(state, kind), marks * CLASSES + kind
+
+    return build(states, ALPHABET, rule)
+
+
+def machines() -> list[Transducer]:
+    """The clause transducers, in the order in which they are composed. Quotation marks are no tokens to the counters."""
+    within = lambda n, opener: lambda s, kind: s if kind == QUOTE else n if kind == opener else max(0, s - 1)
+    told = lambda s, kind: s ^ 2 if kind == QUOTE else s | 1 if kind == REPORTS else s
+    negation = _marking(4, bool, within(3, NEGATES), NEGATED)
+    reported = _marking(4, bool, told, REPORTED)
+    target = _marking(5, bool, within(4, ADDRESS), TARGETED)
+
+    def meets(state: int, x: int) -> tuple[int, int]:  # 0 nothing, 1 words, 2 one event alone, 3 an event with a word
+        kind = x % CLASSES
+        event = kind in (INSULT, THREATENS)
+        return (state if kind == QUOTE else ((2 if event else 1), (3 if event else 1), 3, 3)[state]), x
+
+    company = build(4, ALPHABET, meets, lambda state: state == 3)
+    return [negation, reported, target, company]
+
 
 @dataclass
 class Grammar:
@@ -62,7 +98,9 @@ class Grammar:
 
     def __post_init__(self) -> None:
         self._find = None
-        self._closed = {**dict.fromkeys(TARGET, "T"), **dict.fromkeys(NEGATION, "N"), **dict.fromkeys(REPORT, "R")}
+        self._closed = {**dict.fromkeys(TARGET, ADDRESS), **dict.fromkeys(NEGATION, NEGATES), **dict.fromkeys(REPORT, REPORTS), **dict.fromkeys(_QUOTES, QUOTE)}
+        whole = cascade(machines())
+        self._step, self._out, self._final = whole.step[:, :CLASSES].tolist(), whole.out[:, :CLASSES].tolist(), whole.final.tolist()
 
     def __getstate__(self) -> dict:
         return {"entries": self.entries, "weights": self.weights, "base": self.base}
@@ -89,26 +127,22 @@ class Grammar:
         return None
 
     def clause(self, text: str) -> tuple[list[tuple[str, float]], float]:
-        """Events (mark, weight) of a clause, and the weight of its threats: one run of the composed machines."""
-        negated = target = 0
-        reported = quoted = False
+        """Events (mark, weight) of a matched clause, and the weight of its threats: one run of the composed machine."""
+        state, step, out = 0, self._step, self._out
         events, threat = [], 0.0
         for m in _TOKEN.finditer(text):
             token = m.group()
-            if token in _QUOTES:
-                quoted = not quoted
-                continue
             kind = self._closed.get(token)
             if kind is None:
                 hit = self.lexical(token)
+                kind = OTHER if hit is None else THREATENS if hit[1] else INSULT
                 if hit:
-                    mark = "negated" if negated else "reported" if reported or quoted else "targeted" if target else "plain"
+                    marks = out[state][kind] // CLASSES
+                    mark = "negated" if marks & NEGATED else "reported" if marks & REPORTED else "targeted" if marks & TARGETED else "plain"
                     events.append((mark, hit[0]))
                     threat += hit[0] * hit[1]
-            negated = 3 if kind == "N" else max(0, negated - 1)
-            target = 4 if kind == "T" else max(0, target - 1)
-            reported = reported or kind == "R"
-        return events, threat
+            state = step[state][kind]
+        return (events, threat) if self._final[state] else ([], 0.0)
 
     def features(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(FEATURES))
@@ -164,7 +198,7 @@ def induce(sample: DataFrame) -> dict[str, tuple[float, bool, bool]]:
     g2 = 2 * (term(a, both * nt / total) + term(b, both * nc / total) + term(nt - a, rest * nt / total) + term(nc - b, rest * nc / total))
     ratio = ((a + 0.5) / (nt + 1)) / ((b + 0.5) / (nc + 1))
     seed = F.regexp_replace("entry", r"\.$", "").isin(THREAT) & F.col("entry").endswith(".")
-    keep = sums.where(F.col("a") >= LEAST_SHARE * nt).select("entry", "a", g2.alias("g2"), ratio.alias("ratio"), seed.alias("seed")).where(
+    keep = sums.where(F.col("a") >= LEAST_TEXTS).select("entry", "a", g2.alias("g2"), ratio.alias("ratio"), seed.alias("seed")).where(
         ((F.col("g2") >= LEAST_G2) & (F.col("ratio") >= LEAST_RATIO)) | (F.col("seed") & (F.col("ratio") > 2))
     )
     found = keep.orderBy(F.desc("g2"), "entry").limit(ENTRIES).collect()
@@ -237,5 +271,10 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, threshold: float = THRESHO
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row, by a grammar fitted on rows outside the held-out fifth.
+
+    Null and empty texts get the base score, repeated rows equal scores; a null id counts as held out and is kept; an
+    empty table gives an empty result, empty labels the prior grammar. Other columns are ignored.
+    """
     scored = score_toxicity(docs, train_toxicity(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
