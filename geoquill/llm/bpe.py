@@ -10,13 +10,15 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import file_bytes
+
 #: The byte-level pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's cache holds before it starts anew.
 CACHE_ENTRIES = 400_000
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies use for the 256 bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -25,10 +27,11 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+@lru_cache(maxsize=2)
 def prove_whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that are one pre-token and that the library encodes, alone, as exactly that one token.
 
-    Offline and once: the set depends on the vocabulary file alone, whose size bounds it.
+    Offline and once a process: the set depends on the vocabulary file alone, whose size bounds it.
     """
     tok = Tokenizer.from_file(path)
     alphabet, pat = byte_alphabet(), regex.compile(PATTERN)
@@ -48,6 +51,15 @@ def prove_whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, i, e in zip(strings, ids, got, strict=True) if e.ids == [i])
 
 
+def _understood(spec: dict) -> bool:
+    """Whether the file asks for nothing but what :class:`ByteBpe` does."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    odd = any(a.get(flag) for a in added for flag in ("lstrip", "rstrip", "single_word", "normalized") if not (flag == "normalized" and not spec.get("normalizer")))
+    parts = ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "dropout", "unk_token", "byte_fallback")
+    return bool(plain) and not odd and not spec.get("normalizer") and not any(model.get(p) for p in parts)
+
+
 class ByteBpe:
     """Ids and counts of texts under a byte-level BPE file, equal to the tokenizers library's on that file.
 
@@ -56,14 +68,16 @@ class ByteBpe:
     text are matched first, as the library does by default.
     """
 
-    def __init__(self, path: str, whole: frozenset[str] = frozenset()):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, vocabulary: str | bytes, whole: frozenset[str] = frozenset()):
+        """``vocabulary``: the file's path, or its bytes, as executors get it."""
+        spec = json.loads(file_bytes(vocabulary) if isinstance(vocabulary, str) else vocabulary)
+        if not _understood(spec):
+            raise ValueError("the vocabulary file asks for more than byte-level BPE with plain added tokens")
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         made = [vocab["".join(p)] for p in pairs]
-        if made != sorted(made) or spec["model"].get("ignore_merges") or spec.get("normalizer"):
-            raise ValueError(f"{path}: merges are not in the order of their ids")
+        if made != sorted(made):
+            raise ValueError("merges are not in the order of their ids")
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in vocab.items()}
         self.whole, self.pat, self.cache = whole, regex.compile(PATTERN), {}
         self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

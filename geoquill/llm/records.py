@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import ByteBpe
-from .common import shared_dir, small_batches
+from .common import NO_ID, file_bytes, shared_dir, small_batches
 
 #: Characters of text that a shard takes, about; a shard is read and written by one task.
 SHARD_CHARS = 16_000_000
@@ -29,8 +29,6 @@ SHARD_CHARS = 16_000_000
 POLY, MASK_ADD = 0x82F63B78, 0xA282EAD8
 LANE = 64
 HEADER = struct.Struct("<qBI")
-#: What a null id is in files.
-NO_ID = -(2**63)
 
 
 @lru_cache(maxsize=1)
@@ -151,8 +149,10 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None, e
     (chars,) = rows.agg(F.sum(F.length("text"))).first()
     parts = max(1, -(-(chars or 0) // SHARD_CHARS))
 
+    shipped = spark.sparkContext.broadcast(file_bytes(vocabulary))
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, shard = ByteBpe(vocabulary), TaskContext.get().partitionId()
+        enc, shard = ByteBpe(shipped.value), TaskContext.get().partitionId()
         fs, root = open_store(folder)
         fs.create_dir(f"{root}/shards", recursive=True)
         name = f"{root}/shards/part-{shard:06d}.rec"

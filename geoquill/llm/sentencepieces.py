@@ -25,20 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from .common import small_batches, stored
+from .common import file_bytes, small_batches, stored
 
 CHUNK = 32_768
 NO_PATH = -np.inf
-NO_ID = -(2**63)
 SPACE = "▁"
 
 
 class Pieces:
     """A model whose fragments can be encoded without a leading space; normalisation must leave texts as they are."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            model = f.read()
+    def __init__(self, model: bytes):
         self.whole = SentencePieceProcessor(model_proto=model)
         # the message says once more, and last, that no space is put in front
         self.part = SentencePieceProcessor(model_proto=model + b"\x1a\x02\x18\x00")
@@ -51,9 +48,9 @@ class Pieces:
         self.reach = max(map(len, self.vocab))
         probe = " a  B Ａé "
         if self.whole.normalize(probe) != SPACE + probe.replace(" ", SPACE):
-            raise ValueError(f"{path}: its normalisation changes texts")
+            raise ValueError("the model's normalisation changes texts")
         if any(SPACE in p.lstrip(SPACE) for p in self.vocab):
-            raise ValueError(f"{path}: pieces span the start of white space")
+            raise ValueError("pieces span the start of white space")
 
     def spans(self, text: str) -> tuple[list[int], list[tuple[int, int, int, int]]]:
         """Ids of a fragment, and its tokens as (start, end, first id, end of ids); bytes of one character are one."""
@@ -85,8 +82,9 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(model: str | bytes) -> Pieces:
+    """A model by its file's path, or by the file's bytes, as executors get it."""
+    return Pieces(file_bytes(model) if isinstance(model, str) else model)
 
 
 class Chunk:
@@ -175,9 +173,11 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK, back: bool = False) -
     """All columns of ``docs`` with ids (array of int); a column of that name is replaced. With ``back`` also decoded, made
     from the ids where they are made, so that they need not travel once more.
 
-    Null and empty texts have no ids. Rows that repeat are encoded alike, null ids are kept; an empty table gives an empty result.
+    Null and empty texts have no ids. Rows that repeat are encoded alike, null ids are kept, other columns stay, whatever
+    their names; an empty table gives an empty result. Texts of up to ``size`` characters are one chunk.
     """
     small_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
     docs = docs.drop("ids", *["decoded"] * back)
     long = F.coalesce(F.char_length("text"), F.lit(0)) > size
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -185,29 +185,29 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK, back: bool = False) -
     def short(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = pieces(model)
+        m = pieces(shipped.value)
         for b in batches:
             ids = m.whole.encode([t or "" for t in b.column("text").to_pylist()], num_threads=1)
             b = b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
             yield b.append_column("decoded", pa.array(m.whole.decode(ids), pa.string())) if back else b
 
     few = docs.where(~long).mapInArrow(short, f"{fields}, ids array<int>" + ", decoded string" * back)
-    giant = docs.where(long).withColumn("_h", F.sha2("text", 256))
+    giant = docs.where(long).select(F.struct("*").alias("row"), "text", F.sha2("text", 256).alias("h"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach = pieces(model).reach
+        reach = pieces(shipped.value).reach
         for b in batches:
             for h, text in zip(b["h"], b["text"], strict=True):
                 rows = [(h, k, *c) for k, c in enumerate(cut_chunks(text, size, reach))]
                 yield pd.DataFrame(rows, columns=["h", "k", "text", "p", "q", "first", "last"])
 
     schema = "h string, k int, text string, p int, q int, first boolean, last boolean"
-    chunks = giant.select(F.col("_h").alias("h"), "text").dropDuplicates(["h"]).mapInPandas(cut, schema)
+    chunks = giant.select("h", "text").dropDuplicates(["h"]).mapInPandas(cut, schema)
     chunks = stored(chunks, "pieces-chunks")
     spread = chunks.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h", "k")
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = pieces(model)
+        m = pieces(shipped.value)
         for b in batches:
             rows = []
             for r in b.itertuples():
@@ -225,14 +225,14 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK, back: bool = False) -
     states = stored(matrices.groupBy("h").applyInPandas(join, "h string, k int, enter int, leave int"), "pieces-states")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = pieces(model)
+        m = pieces(shipped.value)
         for b in batches:
             ids = [Chunk(m, r.text, r.p, r.q, r.first, r.last).trace(r.enter, r.leave) for r in b.itertuples()]
             yield pd.DataFrame({"h": b["h"], "k": b["k"], "ids": ids})
 
     traced = chunks.join(states, ["h", "k"]).mapInPandas(trace, "h string, k int, ids array<int>")
     whole = traced.groupBy("h").agg(F.flatten(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"]).alias("ids"))
-    many = giant.join(whole.withColumnRenamed("h", "_h"), "_h").drop("_h")
+    many = giant.join(whole, "h").select("row.*", "ids")
     many = decode(many, model) if back else many
     return few.unionByName(many.select(*few.columns))
 
@@ -240,13 +240,14 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK, back: bool = False) -
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """All columns of ``encoded`` with decoded (string) made from ids; null ids give an empty text."""
     small_batches(encoded.sparkSession)
+    shipped = encoded.sparkSession.sparkContext.broadcast(file_bytes(model))
     encoded = encoded.drop("decoded")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = pieces(model).whole
+        m = pieces(shipped.value).whole
         for b in batches:
             texts = m.decode([x or [] for x in b.column("ids").to_pylist()])
             yield b.append_column("decoded", pa.array(texts, pa.string()))

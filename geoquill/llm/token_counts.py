@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .bpe import ByteBpe, prove_whole_tokens
-from .common import small_batches
+from .common import file_bytes, small_batches
 
 LIMIT = 512
 
@@ -26,10 +26,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """
     spark = docs.sparkSession
     small_batches(spark)
-    whole = spark.sparkContext.broadcast(prove_whole_tokens(vocabulary))
+    shipped = spark.sparkContext.broadcast((file_bytes(vocabulary), prove_whole_tokens(vocabulary)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = ByteBpe(vocabulary, whole.value)
+        enc = ByteBpe(*shipped.value)
         for b in batches:
             texts = [t or "" for t in b["text"]]
             n = [enc.count(t) for t in texts]
