@@ -155,6 +155,11 @@ def score_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD)
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row, by a forest fitted on rows outside the held-out fifth.
+
+    Null and empty texts get the score of statistics of zero, repeated rows equal scores; a null id counts as held out
+    and is kept; an empty table gives an empty result, empty labels the base rate. Other columns are ignored.
+    """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     scored = score_quality(docs, train_quality(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
     return scored

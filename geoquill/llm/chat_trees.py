@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import NO_ID, forget, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: What a null tree id is called inside; it is null again in results.
-NO_ID = -(2**63)
 
 
 def escape(c: Column) -> Column:
@@ -50,19 +48,20 @@ def branches(nodes: DataFrame, keep: int | None = None) -> DataFrame:
     looped = None
     while not ups[-1].isEmpty():
         if 2 ** (len(ups) - 1) > n:  # no path is that long: what still climbs runs in a circle
-            looped = ups.pop().select("tree", "node")
+            looped = ups.pop()
             break
         far = ups[-1].select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
         ups.append(stored(ups[-1].join(far, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc")), "reply-up"))
     parents = ups[0].select("tree", F.col("anc").alias("node")).distinct()
     leaves = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
     if looped is not None:
-        leaves = leaves.join(looped, ["tree", "node"], "left_anti")
+        leaves = leaves.join(looped.select("tree", "node"), ["tree", "node"], "left_anti")
     path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
     for k in reversed(range(len(ups))):  # a step of 2**k from every node that is on the path so far
         both = F.array(F.struct("node", "dist"), F.struct(F.col("anc").alias("node"), (F.col("dist") + 2**k).alias("dist")))
         path = path.join(ups[k], ["tree", "node"], "left").select("tree", "leaf", F.inline(both)).where("node is not null")
     path = stored(path, "reply-paths")
+    forget(*ups, looped)
     scores = path.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
     chosen = scores.withColumn("branch_rank", rank)

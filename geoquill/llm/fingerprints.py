@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import NO_ID, forget, stored
 
 SAMPLES = 32
-#: What a null id is called inside; it is null again in results.
-NO_ID = -(2**63)
 _U24 = float(2**24)
 
 
@@ -97,7 +95,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
     near = near.join(F.broadcast(ends), "part").select(
         "d", "h", "n", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev")
     )
-    return near.select("d", "h", "n", F.col("next.d").alias("nd"), F.col("next.h").alias("nh"), F.col("prev.d").alias("pd"), F.col("prev.h").alias("ph"), F.col("prev.n").alias("pn"))
+    near = near.select("d", "h", "n", F.col("next.d").alias("nd"), F.col("next.h").alias("nh"), F.col("prev.d").alias("pd"), F.col("prev.h").alias("ph"), F.col("prev.n").alias("pn"))
+    ring = stored(near, "ring")
+    forget(ids)
+    return ring
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -109,7 +110,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("d", F.xxhash64("text").alias("h"), "text")
-    ring = stored(neighbours(rows), "ring")
+    ring = neighbours(rows)
     # text moves once by its own key and half of it once more, to the document before; the rest stays where that put it
     own = rows.join(ring, ["d", "h"])
     gift = own.select(F.col("pd").alias("d"), F.col("ph").alias("h"), F.substr("text", F.lit(1), F.floor(F.col("pn") / 2).cast("int")).alias("gift"))
@@ -126,6 +127,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     of = lambda c, e: F.max(F.when(F.col("e") == e, F.col(c)))
     made = made.groupBy("d", "h").agg(of("fingerprint", False).alias("own"), of("fingerprint", True).alias("edit"), of("sha", True).alias("sha"))
     made = stored(made.join(ring.select("d", "h", "n", "nd", "nh"), ["d", "h"]), "fingerprints")
+    forget(ring)
     out = made.join(made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("own").alias("after")), ["nd", "nh"])
     text = lambda c: F.lower(F.hex(F.col(c)))
     return out.select(
