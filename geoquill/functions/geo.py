@@ -14,9 +14,14 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def half_turn(dlng: Column) -> Column:
+    """A difference of longitudes brought within half a turn, so that neighbours across the date line are near."""
+    return dlng - 360 * F.round(dlng / 360)
+
+
 def dist_sq(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Squared equirectangular distance in square radians, for ranking and cut-offs."""
-    dlat, dlng = F.radians(lat1 - lat2), F.radians(lng1 - lng2) * F.cos(F.radians(lat1))
+    dlat, dlng = F.radians(lat1 - lat2), F.radians(half_turn(lng1 - lng2)) * F.cos(F.radians(lat1))
     return dlat * dlat + dlng * dlng
 
 
@@ -30,36 +35,48 @@ def cutoff(m: float) -> float:
 
 
 def foot_on_segment(lat: Column, lng: Column, a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column) -> Column:
-    """Position 0..1 of the nearest point of a segment, longitudes scaled by the query's latitude."""
+    """Position 0..1 of the nearest point of a segment, longitudes scaled by the query's latitude; the short way round."""
     k = F.cos(F.radians(lat))
-    dx, dy = (b_lng - a_lng) * k, b_lat - a_lat
-    px, py = (lng - a_lng) * k, lat - a_lat
+    dx, dy = half_turn(b_lng - a_lng) * k, b_lat - a_lat
+    px, py = half_turn(lng - a_lng) * k, lat - a_lat
     n = dx * dx + dy * dy
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / n)))
 
 
 def segment_dist_sq(lat: Column, lng: Column, a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column) -> Column:
     t = foot_on_segment(lat, lng, a_lat, a_lng, b_lat, b_lng)
-    return dist_sq(lat, lng, a_lat + t * (b_lat - a_lat), a_lng + t * (b_lng - a_lng))
+    return dist_sq(lat, lng, a_lat + t * (b_lat - a_lat), a_lng + t * half_turn(b_lng - a_lng))
 
 
-def in_ring(ring: Column, lat: Column, lng: Column) -> Column:
-    """Ray cast through an array of (lat, lng); holes bridged into the ring count by parity. Half-open on edges."""
+def ring_edges(ring: Column) -> Column:
+    """Array of (i, j): every vertex with the one before it, the first with the last."""
     n = F.size(ring)
-    edges = F.zip_with(ring, F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), n - 1)), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+    return F.zip_with(ring, F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0)))), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+
+
+def crosses_ray(e: Column, lat: Column, lng: Column) -> Column:
+    """Whether an edge meets the ray east of a point. Half-open in latitude, so a shared vertex counts once."""
+    i, j = e["i"], e["j"]
+    at = (j["lng"] - i["lng"]) * (lat - i["lat"]) / F.when(j["lat"] == i["lat"], F.lit(1.0)).otherwise(j["lat"] - i["lat"]) + i["lng"]
+    return ((i["lat"] > lat) != (j["lat"] > lat)) & (lng < at)
 
-    def crosses(e: Column) -> Column:
-        i, j = e["i"], e["j"]
-        at = (j["lng"] - i["lng"]) * (lat - i["lat"]) / F.when(j["lat"] == i["lat"], F.lit(1.0)).otherwise(j["lat"] - i["lat"]) + i["lng"]
-        return ((i["lat"] > lat) != (j["lat"] > lat)) & (lng < at)
 
-    return (n >= 3) & (F.size(F.filter(edges, crosses)) % 2 == 1)
+def onto_ring(lng: Column, west: Column) -> Column:
+    """A longitude in the frame of a ring whose west end is ``west`` and which may go on beyond 180 degrees."""
+    return F.when(lng < west, lng + 360).otherwise(lng)
+
+
+def in_ring(ring: Column, lat: Column, lng: Column) -> Column:
+    """Ray cast through an array of (lat, lng), across the date line too; holes bridged into the ring count by parity."""
+    whole = unwrapped(ring)
+    x = onto_ring(lng, F.array_min(F.transform(whole, lambda v: v["lng"])))
+    return (F.size(ring) >= 3) & (F.size(F.filter(ring_edges(whole), lambda e: crosses_ray(e, lat, x))) % 2 == 1)
 
 
 def unwrapped(ring: Column) -> Column:
-    """Longitudes moved by whole turns to stay within half a turn of the first, so rings may cross the date line."""
-    first = F.element_at(ring, 1)["lng"]
-    return F.transform(ring, lambda v: F.struct(v["lat"].alias("lat"), (v["lng"] - 360 * F.round((v["lng"] - first) / 360)).alias("lng")))
+    """A ring with an edge of more than half a turn crosses the date line: its western longitudes go on beyond 180."""
+    over = F.exists(ring_edges(ring), lambda e: F.abs(e["i"]["lng"] - e["j"]["lng"]) > 180)
+    return F.when(over, F.transform(ring, lambda v: F.struct(v["lat"].alias("lat"), F.when(v["lng"] < 0, v["lng"] + 360).otherwise(v["lng"]).alias("lng")))).otherwise(ring)
 
 
 def _shoelace(ring: Column) -> Column:
@@ -94,6 +111,8 @@ def centroid(ring: Column) -> Column:
 
 
 def bbox(ring: Column) -> Column:
+    """Least and largest latitude and longitude; east of the date line the latter goes on beyond 180."""
+    ring = unwrapped(ring)
     lats, lngs = F.transform(ring, lambda v: v["lat"]), F.transform(ring, lambda v: v["lng"])
     return F.struct(F.array_min(lats).alias("lat0"), F.array_min(lngs).alias("lng0"), F.array_max(lats).alias("lat1"), F.array_max(lngs).alias("lng1"))
 
@@ -122,6 +141,11 @@ def cells_in_radius(lat: Column, lng: Column, deg: float, radius_m: float) -> Co
     return F.array_distinct(F.flatten(F.transform(rows, lambda a: F.transform(span, lambda c: a * (1 << 20) + F.pmod(c, F.lit(cols))))))
 
 
+def cell_centre(c: Column, deg: float) -> tuple[Column, Column]:
+    """Latitude and longitude of a cell's middle."""
+    return (F.floor(c / (1 << 20)) + 0.5) * deg - 90, (F.pmod(c, F.lit(1 << 20)) + 0.5) * deg - 180
+
+
 def cells_of_box(box: Column, deg: float) -> Column:
     """All cells that a bounding box touches."""
     cols = round(360 / deg)

@@ -69,7 +69,8 @@ def segments(ways: DataFrame) -> DataFrame:
 def nearest_way(queries: DataFrame, ways: DataFrame, deg: float) -> DataFrame:
     """Nearest way over its segments, with the arc position of the foot: streets and interpolation ways."""
     seg = segments(ways)
-    box = F.struct(F.least("a_lat", "b_lat").alias("lat0"), F.least("a_lng", "b_lng").alias("lng0"), F.greatest("a_lat", "b_lat").alias("lat1"), F.greatest("a_lng", "b_lng").alias("lng1"))
+    far = F.col("a_lng") + geo.half_turn(F.col("b_lng") - F.col("a_lng"))
+    box = F.struct(F.least("a_lat", "b_lat").alias("lat0"), F.least(F.col("a_lng"), far).alias("lng0"), F.greatest("a_lat", "b_lat").alias("lat1"), F.greatest(F.col("a_lng"), far).alias("lng1"))
     seg = seg.withColumn("_cell", F.explode(geo.cells_of_box(box, deg)))
     q = queries.select("*", F.explode(geo.cells_around(F.col("lat"), F.col("lng"), deg)).alias("_cell"))
     at = [F.col(c) for c in ("lat", "lng", "a_lat", "a_lng", "b_lat", "b_lng")]
@@ -78,15 +79,53 @@ def nearest_way(queries: DataFrame, ways: DataFrame, deg: float) -> DataFrame:
     return best(rows, ["qid"], [F.col("d"), F.col("id"), F.col("seg")]).drop("rn", "_cell")
 
 
+def _edge_box(e: Column) -> Column:
+    i, j = e["i"], e["j"]
+    return F.struct(F.least(i["lat"], j["lat"]).alias("lat0"), F.least(i["lng"], j["lng"]).alias("lng0"), F.greatest(i["lat"], j["lat"]).alias("lat1"), F.greatest(i["lng"], j["lng"]).alias("lng1"))
+
+
 def polygon_cells(polygons: DataFrame, deg: float) -> DataFrame:
-    """A polygon's cells over its bounding box, the directory behind every point-in-polygon join."""
-    return polygons.withColumn("_cell", F.explode(geo.cells_of_box(geo.bbox(F.col("ring")), deg)))
+    """A polygon's cells, without its ring: those that an edge may touch, and the interior ones, which need no test.
+
+    A cell that no edge's box touches lies inside or outside as a whole, as its middle does. ``id`` is unique.
+    """
+    rows = polygons.withColumn("ring", geo.unwrapped(F.col("ring"))).where(F.size("ring") >= 3)
+    rows = rows.withColumn("_edges", geo.ring_edges(F.col("ring"))).withColumn("_box", geo.bbox(F.col("ring"))).drop("ring")
+    edge = F.array_distinct(F.flatten(F.transform("_edges", lambda e: geo.cells_of_box(_edge_box(e), deg))))
+    rows = rows.withColumn("_edge", edge).withColumn("_rest", F.array_except(geo.cells_of_box(F.col("_box"), deg), "_edge"))
+
+    def inside(c: Column) -> Column:
+        lat, lng = geo.cell_centre(c, deg)
+        return F.size(F.filter("_edges", lambda e: geo.crosses_ray(e, lat, geo.onto_ring(lng, F.col("_box.lng0"))))) % 2 == 1
+
+    inner = F.filter("_rest", inside)
+    one = lambda cells, flag: F.transform(cells, lambda c: F.struct(c.alias("_cell"), F.lit(flag).alias("_interior")))
+    both = F.concat(one(F.col("_edge"), False), one(inner, True))
+    return rows.select(*[c for c in polygons.columns if c != "ring"], F.inline(both))
+
+
+def ring_bands(polygons: DataFrame, deg: float) -> DataFrame:
+    """(id, _row, edges, west): a ring's edges by the rows of cells that they span. A ray needs no others of its row."""
+    rows = polygons.select("id", geo.unwrapped(F.col("ring")).alias("ring")).where(F.size("ring") >= 3)
+    rows = rows.select("id", F.array_min(F.transform("ring", lambda v: v["lng"])).alias("west"), F.explode(geo.ring_edges(F.col("ring"))).alias("e"))
+    low, high = (f(F.col("e.i.lat"), F.col("e.j.lat")) for f in (F.least, F.greatest))
+    rows = rows.withColumn("_row", F.explode(F.sequence(F.floor((low + 90) / deg), F.floor((high + 90) / deg))))
+    return rows.groupBy("id", "_row").agg(F.collect_list("e").alias("edges"), F.first("west").alias("west"))
 
 
 def point_in_polygon(queries: DataFrame, polygons: DataFrame, deg: float) -> DataFrame:
-    """All (query, polygon) pairs with the point inside."""
+    """All (query, polygon) pairs with the point inside: columns of both, but not the ring.
+
+    Points meet cells, which hold no rings. Interior cells answer at once; a point in another cell meets the edges of its
+    polygon that span its row of cells, and counts crossings among those, which is the ray cast over the whole ring.
+    """
     q = queries.withColumn("_cell", geo.cell(F.col("lat"), F.col("lng"), deg))
-    return q.join(polygon_cells(polygons, deg), "_cell").where(geo.in_ring(F.col("ring"), F.col("lat"), F.col("lng"))).drop("_cell")
+    met = q.join(polygon_cells(polygons, deg), "_cell").withColumn("_row", F.floor((F.col("lat") + 90) / deg))
+    near = met.where("not _interior").join(ring_bands(polygons, deg), ["id", "_row"])
+    x = geo.onto_ring(F.col("lng"), F.col("west"))
+    near = near.where(F.size(F.filter("edges", lambda e: geo.crosses_ray(e, F.col("lat"), x))) % 2 == 1)
+    out = [c for c in met.columns if c not in ("_cell", "_row", "_interior")]
+    return met.where("_interior").select(*out).unionByName(near.select(*out))
 
 
 def smallest_by_level(hits: DataFrame) -> DataFrame:
@@ -103,7 +142,7 @@ def admin_fields(levels: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     own = mapping.where("country_code is not null").select("country_code", "level", F.col("field").alias("own"), F.col("max_area").alias("own_max"))
     base = mapping.where("country_code is null").select("level", F.col("field").alias("base"), F.col("max_area").alias("base_max"))
-    rows = levels.join(F.broadcast(own), ["country_code", "level"], "left").join(F.broadcast(base), "level", "left")
+    rows = levels.join(own, ["country_code", "level"], "left").join(base, "level", "left")
     rows = rows.select("qid", "level", "name", "area", F.coalesce("own", "base").alias("field"), F.when(F.col("own").isNotNull(), F.col("own_max")).otherwise(F.col("base_max")).alias("cap"))
     rows = rows.where((F.col("field") != "ignore") & (F.col("cap").isNull() | (F.col("area") <= F.col("cap"))))
     out = []
