@@ -171,25 +171,33 @@ def au_unit(c: Column) -> Column:
     return F.struct(got(1).alias("unit"), got(2).alias("number"))
 
 
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_house(c: Column) -> Column:
     """(first, last, suffix) of a house number or range; nulls without a leading digit or beyond 32 bits."""
-    t = F.trim(c)
-    dash = F.instr(t, "-")
-    side = lambda x, k: F.regexp_extract(F.trim(x), r"^([0-9]+)\s*(.*)$", k)
-    left = F.when(dash > 0, F.substring_index(t, "-", 1)).otherwise(t)
-    right = F.when(dash > 0, F.substr(t, dash + 1)).otherwise(t)
-    number = lambda x: F.when(F.nullif(side(x, 1), F.lit("")).try_cast("long") <= 4294967295, side(x, 1).try_cast("long"))
-    a, b = number(left), number(right)
-    ok = a.isNotNull() & b.isNotNull()
-    return F.struct(F.when(ok, F.least(a, b)).alias("first"), F.when(ok, F.greatest(a, b)).alias("last"), F.when(ok, F.trim(side(left, 2))).alias("suffix"))
+    shape = r"^\s*([0-9]+)\s*([^-]*?)\s*(?:-\s*([0-9]+)[^-]*(?:-.*)?)?$"
+    part = lambda k: F.nullif(F.regexp_extract(c, shape, k), F.lit(""))
+    found = F.struct(part(1).try_cast("long").alias("a"), F.coalesce(part(3), part(1)).try_cast("long").alias("b"), F.regexp_extract(c, shape, 2).alias("s"))
+
+    def ordered(x: Column) -> Column:
+        ok = (x["a"] <= 4294967295) & (x["b"] <= 4294967295)
+        return F.struct(F.when(ok, F.least(x["a"], x["b"])).alias("first"), F.when(ok, F.greatest(x["a"], x["b"])).alias("last"), F.when(ok, x["s"]).alias("suffix"))
+
+    return bind(found, ordered)
 
 
 def house_matches(query: Column, stored: Column) -> Column:
     """Equal text, or overlapping ranges; a suffix asked for must be there, or stand inside a true range."""
-    q, s = parse_house(query), parse_house(stored)
-    suffix = (q["suffix"] == "") | F.when(s["suffix"] != "", F.lower(q["suffix"]) == F.lower(s["suffix"])).otherwise(s["first"] != s["last"])
-    ranges = suffix & (q["first"] <= s["last"]) & (s["first"] <= q["last"])
-    return (F.lower(query) == F.lower(stored)) | F.coalesce(ranges, F.lit(False))
+
+    def overlap(x: Column) -> Column:
+        q, s = x["q"], x["s"]
+        suffix = (q["suffix"] == "") | F.when(s["suffix"] != "", F.lower(q["suffix"]) == F.lower(s["suffix"])).otherwise(s["first"] != s["last"])
+        return F.coalesce(suffix & (q["first"] <= s["last"]) & (s["first"] <= q["last"]), F.lit(False))
+
+    return (F.lower(query) == F.lower(stored)) | bind(F.struct(parse_house(query).alias("q"), parse_house(stored).alias("s")), overlap)
 
 
 def split_house(c: Column) -> Column:
