@@ -13,7 +13,7 @@ Q: dict = {}
 SQL: dict = {}
 
 HAV = "2*6371000.0*asin(sqrt(least(1.0, power(sin(radians({b}.lat-{a}.lat)/2),2)+cos(radians({a}.lat))*cos(radians({b}.lat))*power(sin(radians({b}.lng-{a}.lng)/2),2))))"
-DSQ = "(power(radians({a}.lat-{b}.lat),2)+power(radians({a}.lng-{b}.lng)*cos(radians({a}.lat)),2))"
+DSQ = "(power(radians({a}.lat-{b}.lat),2)+power(radians(({a}.lng-{b}.lng)-360*round(({a}.lng-{b}.lng)/360))*cos(radians({a}.lat)),2))"
 #: Neighbouring cells of ``deg`` degrees, longitudes wrapped.
 NEAR = "abs(floor(({a}.lat+90)/{g})-floor(({b}.lat+90)/{g}))<=1 and (abs(floor(({a}.lng+180)/{g})-floor(({b}.lng+180)/{g}))<=1 or abs(floor(({a}.lng+180)/{g})-floor(({b}.lng+180)/{g}))>={w})"
 
@@ -140,7 +140,7 @@ def j12(spark, sf):
     return op.best(hits, ["qid"], [F.col("area").desc(), F.col("id")]).select("qid", "id", "name")
 
 
-@query("r23_nearby", tg.cte("coords", "places") + f", r as (select q.qid, p.id, round({HAV.format(a='q', b='p')},3) metres from coords q join places p on abs(q.lat-p.lat)<20 where {HAV.format(a='q', b='p')} <= 1500000), s as (select *, row_number() over (partition by qid order by metres, id) pos from r) select qid, id, metres, cast(pos as bigint) pos from s where pos <= 5 and qid % 10 = 0")
+@query("r23_nearby", tg.cte("coords", "places") + f", r as (select q.qid, p.id, round({HAV.format(a='q', b='p')},3) metres from coords q join places p on abs(q.lat-p.lat)<20 where {HAV.format(a='q', b='p')} <= 1500000), s as (select *, row_number() over (partition by qid order by metres, id) pos from r) select qid, id, metres, cast(pos as bigint) pos from s where pos <= 5")
 def r23(spark, sf):
     """All places within a radius, nearest first; the limit is the request's."""
     rows = op.within_radius(tg.table(spark, sf, "coords"), tg.table(spark, sf, "places").select("id", "lat", "lng"), 15, 1_500_000, 5)

@@ -42,22 +42,22 @@ def case_sql(c: str, pairs: dict, other: str) -> str:
     return f"case {c} " + " ".join(f"when {q(k)} then {q(v)}" for k, v in pairs.items()) + f" else {other} end"
 
 
-HEAD = "select doc_id, left(text, 60) as t from documents"
+WHOLE = "select doc_id, text as t from documents"
 SHORT = {"saint": "st", "sainte": "st", "st": "st", "ste": "st", "mount": "mt", "mt": "mt", "fort": "ft", "ft": "ft"}
 
 
-@query("x01_fold", f"select doc_id, {fold_sql('t')} as folded, length({fold_sql('t')}) as n from ({HEAD})")
+@query("x01_fold", f"select doc_id, {fold_sql('t')} as folded, length({fold_sql('t')}) as n from ({WHOLE})")
 def x01(spark, sf):
     d = docs(spark, sf).select("doc_id", tx.fold(F.col("text")).alias("folded"))
     return d.select("*", F.length("folded").cast("long").alias("n"))
 
 
-@query("x02_key", f"select doc_id, array_to_string(list_transform(w, lambda x, i: case when i < len(w) then {case_sql('x', SHORT, 'x')} else x end), ' ') as key from (select doc_id, {words_sql(f'lower({fold_sql(chr(116))})')} w from ({HEAD}))")
+@query("x02_key", f"select doc_id, array_to_string(list_transform(w, lambda x, i: case when i < len(w) then {case_sql('x', SHORT, 'x')} else x end), ' ') as key from (select doc_id, {words_sql(f'lower({fold_sql(chr(116))})')} w from ({WHOLE}))")
 def x02(spark, sf):
     return docs(spark, sf).select("doc_id", tx.key(F.col("text")).alias("key"))
 
 
-@query("x19_locality", f"select doc_id, array_to_string({words_sql(f'lower({fold_sql(chr(116))})')}, ' ') as locality from ({HEAD})")
+@query("x19_locality", f"select doc_id, array_to_string({words_sql(f'lower({fold_sql(chr(116))})')}, ' ') as locality from ({WHOLE})")
 def x19(spark, sf):
     return docs(spark, sf).select("doc_id", tx.locality(F.col("text")).alias("locality"))
 
@@ -176,7 +176,7 @@ def x34(spark, sf):
     return tg.table(spark, sf, "addresses").groupBy(tx.stratum(F.col("housenumber"), F.col("unit")).alias("stratum")).agg(F.count("*").alias("n"))
 
 
-@query("x30_escapes", """select doc_id, case when regexp_matches(t,'[,"\r\n]') then concat('"', replace(t,'"','""'), '"') else t end as csv from (select doc_id, left(text, 40) t from documents)""")
+@query("x30_escapes", """select doc_id, case when regexp_matches(t,'[,"\r\n]') then concat('"', replace(t,'"','""'), '"') else t end as csv from (select doc_id, text t from documents)""")
 def x30(spark, sf):
     return docs(spark, sf).select("doc_id", tx.csv_field(F.col("text")).alias("csv"))
 
