@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from geoquill.sources import shared
 from geoquill.streaming import gates, metrics
 
 Q: dict = {}
@@ -33,12 +30,11 @@ def _events(spark, sf):
 
 def drained(spark, df, mode: str):
     """Run a stream over everything available; its last complete result, or all appended rows, as a table."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "geoquill-streams")
-    root = f"{root}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
-    each = lambda batch, _: batch.write.mode(how).parquet(f"{root}/out")
+    root = shared.folder(spark, "stream")
+    # a batch that runs again overwrites what it wrote; a complete result replaces the last one
+    each = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out" + ("" if mode == "complete" else f"/batch={n}"))
     df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{root}/out")
+    return spark.read.schema(df.schema).parquet(f"{root}/out").select(*df.columns)
 
 
 @query("a16_request_counter", "select event_type as endpoint, count(*) as n from events group by 1")

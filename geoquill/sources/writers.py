@@ -39,13 +39,15 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"{path} could not be published")
+    # one rename that replaces the target: a reader sees the old text or the new one
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, options)
 
 
 def _get(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def open_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -63,6 +65,51 @@ def open_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return out
 
 
+def forward_index(docs: DataFrame, root: str, per_country: bool = True) -> None:
+    """Documents by country, a folder each, or as one table; sorted by name, so that a look-up skips row groups."""
+    df = docs.withColumn("country_code", F.coalesce(F.lower("country"), F.lit("unknown")))
+    # a large country takes several tasks: rows are dealt by country and a hash of their id
+    df = df.repartition("country_code", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("country_code", "name")
+    w = df.write.mode("overwrite")
+    (w.partitionBy("country_code") if per_country else w).parquet(root)
+
+
+def autocomplete_index(entries: DataFrame, root: str, per_country: bool = True) -> None:
+    """Completion entries (country, key, id, name, rank) in key order, by country or unified: ranges of keys in each file."""
+    by = ["country", "key"] if per_country else ["key", "country"]
+    w = entries.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite")
+    (w.partitionBy("country") if per_country else w).parquet(root)
+
+
+def address_shards(points: DataFrame, root: str, deg: float = 0.05) -> None:
+    """Address points by source and country, near ones together; the schema is published after the last row."""
+    from geoquill.functions import geo
+
+    df = points.withColumn("cell", geo.cell(F.col("lat"), F.col("lng"), deg).cast("long"))
+    df = df.repartition("source", "country_code", F.floor(F.col("cell") / (1 << 24))).sortWithinPartitions("source", "country_code", "cell")
+    df.write.mode("overwrite").partitionBy("source", "country_code").parquet(f"{root}/rows")
+    _put(points.sparkSession, f"{root}/schema.json", df.schema.json())
+
+
+def open_address_shards(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.sql.types import StructType
+
+    return spark.read.schema(StructType.fromJson(json.loads(_get(spark, f"{root}/schema.json")))).parquet(f"{root}/rows")
+
+
+def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str) -> None:
+    """A dump with a header as Parquet, for inspection by SQL."""
+    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(source)
+    df.write.mode("overwrite").parquet(target)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(name, rows, fields) of the tables that the current version's manifest promises."""
+    version = _get(spark, f"{root}/current").strip()
+    said = json.loads(_get(spark, f"{root}/{version}/manifest.json"))["tables"]
+    return spark.createDataFrame([(k, v["rows"], len(v["schema"]["fields"])) for k, v in said.items()], "name string, rows long, fields int")
+
+
 def coordinate(c: Column) -> Column:
     return F.format_string("%.6f", c)
 
