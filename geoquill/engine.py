@@ -18,6 +18,8 @@ from geoquill.operators import spatial as sp
 ADDRESS_M, POI_M = 75.0, 30.0
 #: Results of a request unless it says otherwise, and at most.
 LIMIT, MOST = 10, 50
+#: Indexed fields of a document.
+FIELDS = ["name", "alt", "locality", "state"]
 
 
 @dataclass
@@ -34,6 +36,7 @@ class Engine:
     address_deg: float = 0.01
     place_deg: float = 0.5
     polygon_deg: float = 1.0
+    folder: str | None = None
     _index: DataFrame | None = field(default=None, repr=False)
 
     def _has(self, name: str) -> bool:
@@ -90,11 +93,17 @@ class Engine:
         c = F.col
         return out.withColumn("formatted", sp.format_address(c("house_number"), c("road"), c("city"), c("state"), c("postcode"), c("country"), c("country_code")))
 
+    def _fields(self) -> DataFrame:
+        return self.tables["documents"].withColumn("alt", tx.strip_article(F.col("name")))
+
     def index(self) -> DataFrame:
-        """Postings of the documents, made once per engine."""
+        """Postings of the documents; with a ``folder`` they are written there once, by term, and read from then on."""
         if self._index is None:
-            d = self.tables["documents"].withColumn("alt", tx.strip_article(F.col("name")))
-            self._index = se.postings(d, ["name", "alt", "locality", "state"], ["country"])
+            made = se.postings(self._fields(), FIELDS, ["country"])
+            if self.folder:
+                made.repartitionByRange("term").sortWithinPartitions("term", "country").write.mode("overwrite").parquet(f"{self.folder}/postings")
+                made = self.tables["documents"].sparkSession.read.schema(made.schema).parquet(f"{self.folder}/postings")
+            self._index = made
         return self._index
 
     def _retrieve(self, q: DataFrame) -> DataFrame:
@@ -104,7 +113,8 @@ class Engine:
         the postcode, 3 the text alone. A query keeps the hits of its lowest rung.
         """
         terms = q.select("qid", "cc", F.explode(F.array_distinct(F.split("rest", " "))).alias("term")).where("term <> ''")
-        hits = se.all_terms(se.bm25(self.index(), terms.select("qid", "term"), ["country"]), terms)
+        lengths = se.field_lengths(self._fields(), FIELDS, ["country"])
+        hits = se.all_terms(se.bm25(self.index(), lengths, terms.select("qid", "term"), ["country"]), terms)
         rows = hits.join(self.tables["documents"].drop("country"), "doc_id").join(q.drop("rest"), "qid")
         rows = rows.where(F.col("cc").isNull() | (F.col("cc") == F.col("country")))
         text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -163,7 +173,7 @@ class Engine:
         """qid, country, prefix to the best entries whose key begins with it."""
         names = self.tables["documents"].where("kind <> 4").select("country", F.col("doc_id").alias("id"), "name", "rank")
         q = queries.select("qid", F.upper("country").alias("country"), tx.key(F.col("prefix")).alias("prefix")).where("prefix <> ''")
-        return se.prefix_search(se.autocomplete_entries(names), q, max(1, min(MOST, limit))).select("qid", "id", "name", "pos")
+        return se.prefix_search(se.autocomplete_entries(names), q, max(1, min(MOST, limit))).select("qid", "id", "name", F.col("pos").cast("long").alias("pos"))
 
     def validate(self, queries: DataFrame) -> DataFrame:
         """verified, corrected, partial or unverified, from the first hit and the rung that found it."""

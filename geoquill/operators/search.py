@@ -15,25 +15,45 @@ K1, B = 1.2, 0.75
 BOOSTS = {"name": 3.0, "alt": 2.0, "locality": 1.0, "state": 1.0}
 
 
-def postings(docs: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
-    """(by, field, term, doc_id, tf, dl): the inverted index, grouped by what scopes its statistics."""
-    each = [F.struct(F.lit(f).alias("field"), tx.words(F.lower(tx.fold(F.coalesce(F.col(f), F.lit(""))))).alias("w")) for f in fields]
+def field_words(c: Column) -> Column:
+    """The tokens of an indexed field: what the analyzer makes of it."""
+    return tx.words(F.lower(tx.fold(F.coalesce(c, F.lit("")))))
+
+
+def postings(docs: DataFrame, fields: list[str], by: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(by, field, term, doc_id, dl, tf): the inverted index, grouped by what scopes its statistics.
+
+    With ``terms`` (term) only their lists are made: other tokens are dropped where they are read, before the shuffle.
+    """
+    each = [F.struct(F.lit(f).alias("field"), field_words(F.col(f)).alias("w")) for f in fields]
     rows = docs.select(*by, "doc_id", F.inline(F.array(*each))).withColumn("dl", F.size("w"))
-    return rows.select(*by, "doc_id", "field", "dl", F.explode("w").alias("term")).groupBy(*by, "field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    rows = rows.select(*by, "doc_id", "field", "dl", F.explode("w").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy(*by, "field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+
 
+def field_lengths(docs: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
+    """(by, field, n, avg): documents with any token of a field, and their mean length. No token is shuffled."""
+    each = [F.struct(F.lit(f).alias("field"), F.size(field_words(F.col(f))).alias("dl")) for f in fields]
+    rows = docs.select(*by, F.inline(F.array(*each))).where("dl > 0")
+    return rows.groupBy(*by, "field").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
 
-def bm25(index: DataFrame, queries: DataFrame, by: list[str], boosts: dict[str, float] = BOOSTS) -> DataFrame:
+
+def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame, by: list[str], boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """(qid, by, doc_id, score, hit_terms): boosted BM25 summed over fields, statistics per scope, not global.
 
-    ``queries``: qid, term (distinct). Postings meet queries on term, so a popular term's skew is split by the engine.
+    ``queries``: qid, term (distinct). ``lengths`` is :func:`field_lengths` of the same documents. Lists of terms that no
+    query has are left alone; postings meet queries on term, so a popular term's skew is split by the engine.
     """
-    docs = index.groupBy(*by, "field", "doc_id").agg(F.first("dl").alias("dl")).groupBy(*by, "field").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
-    df = index.groupBy(*by, "field", "term").agg(F.count("*").alias("df"))
+    wanted = index.join(queries.select("term").distinct(), "term", "left_semi")
+    df = wanted.groupBy(*by, "field", "term").agg(F.count("*").alias("df"))
     boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
-    rows = index.join(queries, "term").join(F.broadcast(docs), [*by, "field"]).join(df, [*by, "field", "term"])
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg"))) * F.coalesce(F.try_element_at(boost, F.col("field")), F.lit(1.0))
-    return rows.groupBy("qid", *by, "doc_id").agg(F.round(F.sum(part), 4).alias("score"), F.count_distinct("term").alias("hit_terms"))
+    stats = df.join(lengths, [*by, "field"])
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.coalesce(F.try_element_at(boost, F.col("field")), F.lit(1.0))
+    rows = wanted.join(stats.select(*by, "field", "term", idf.alias("idf"), "avg"), [*by, "field", "term"]).join(queries, "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
+    return rows.groupBy("qid", *by, "doc_id").agg(F.sum(part).alias("score"), F.count_distinct("term").alias("hit_terms"))
 
 
 def all_terms(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -69,17 +89,30 @@ def autocomplete_entries(names: DataFrame) -> DataFrame:
     return first_by(rows, ["country", "key"], [F.col("rank"), F.col("id")])
 
 
-def prefix_search(entries: DataFrame, queries: DataFrame, k: int, walk: int = 10_000, gram: int = 3) -> DataFrame:
-    """The best k entries whose key begins with a query's prefix: rank, then id. ``queries``: qid, country, prefix.
+def prefix_search(entries: DataFrame, queries: DataFrame, k: int, walk: int = 10_000, gram: int = 6) -> DataFrame:
+    """The best k entries whose key begins with a query's prefix, by rank and id, shown by rank and name. ``queries``: qid,
+    country, prefix.
 
-    Keys and prefixes meet on their first ``gram`` letters; shorter prefixes list their grams' keys by range. At most
-    ``walk`` keys in key order are looked at, as a walk of an ordered map does.
+    Every distinct prefix is answered once, whoever asks for it. Keys list their first letters up to ``gram``, and a
+    prefix meets them on its own letters, at most as many. At most ``walk`` keys in key order are looked at, as a walk of an ordered map
+    does; both limits are kept by each task before anything moves.
     """
+    asked = queries.select("country", "prefix").distinct()
     e = entries.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.left("key", n)))))
-    q = queries.withColumn("_g", F.left("prefix", F.lit(gram)))
-    rows = q.join(e, ["country", "_g"]).where(F.startswith("key", "prefix")).drop("_g").distinct()
-    rows = top(rows, ["qid"], [F.col("key")], walk).drop("pos")
-    return top(rows, ["qid"], [F.col("rank"), F.col("id")], k)
+    rows = asked.withColumn("_g", F.left("prefix", F.lit(gram))).join(e, ["country", "_g"]).where(F.startswith("key", "prefix")).drop("_g")
+    rows = top(rows, ["country", "prefix"], [F.col("key")], walk).drop("pos")
+    best = top(rows, ["country", "prefix"], [F.col("rank"), F.col("id")], k).drop("pos")
+    shown = Window.partitionBy("country", "prefix").orderBy("rank", "name", "id")
+    return queries.join(best.withColumn("pos", F.row_number().over(shown)), ["country", "prefix"])
+
+
+def search_any(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best k entries of all countries for each prefix: every country's own best, merged. ``queries``: qid, prefix."""
+    lands = entries.select("country").distinct()
+    each = queries.select("prefix").distinct().join(lands)  # countries are few
+    best = prefix_search(entries, each.select(F.concat_ws("/", "country", "prefix").alias("qid"), "country", "prefix"), k).drop("qid", "pos")
+    merged = top(best, ["prefix"], [F.col("rank"), F.col("name"), F.col("id"), F.col("country")], k)
+    return queries.join(merged, "prefix")
 
 
 def exact_search(entries: DataFrame, queries: DataFrame) -> DataFrame:
@@ -88,16 +121,25 @@ def exact_search(entries: DataFrame, queries: DataFrame) -> DataFrame:
     return q.join(entries, ["country", "key"])
 
 
+def deletions(c: Column, most: Column) -> Column:
+    """A word and what is left of it after up to ``most`` (1 or 2) deletions: words within as many edits share one."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    two = lambda ws: F.flatten(F.transform(ws, less))
+    return tx.bind(less(c), lambda one: F.array_distinct(F.concat(F.array(c), one, F.when(most > 1, two(one)).otherwise(F.array().cast("array<string>")))))
+
+
 def correct_spelling(index: DataFrame, terms: DataFrame, ratio: int = 50) -> DataFrame:
     """(term, fixed): a frequent word within one edit (two from eight letters) that is ``ratio`` times commoner.
 
-    Ordered by distance, then frequency, then the word. Lists meet on length, so a word is compared with words of about its size.
+    Ordered by distance, then frequency, then the word. Words meet on what deletions leave of them, so only those that may
+    be within reach are compared.
     """
     df = index.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
     own = terms.select("term").distinct().join(df, "term", "left").fillna(0, ["df"]).withColumn("most", F.when(F.length("term") >= 8, 2).otherwise(1))
-    wide = own.withColumn("n", F.explode(F.sequence(F.length("term") - F.col("most"), F.length("term") + F.col("most"))))
-    other = df.select(F.col("term").alias("fixed"), F.col("df").alias("fdf"), F.length("term").alias("n"))
-    rows = wide.join(other, "n").where((F.col("term") != F.col("fixed")) & (F.col("fdf") >= F.greatest(F.lit(1), F.col("df")) * ratio))
+    mine = own.withColumn("key", F.explode(deletions(F.col("term"), F.col("most"))))
+    # a term of eight letters or more reaches words from six on
+    other = df.select(F.col("term").alias("fixed"), F.col("df").alias("fdf"), F.explode(deletions(F.col("term"), F.when(F.length("term") >= 6, 2).otherwise(1))).alias("key"))
+    rows = mine.join(other, "key").where((F.col("term") != F.col("fixed")) & (F.col("fdf") >= F.greatest(F.lit(1), F.col("df")) * ratio)).drop("key").distinct()
     one, two = tx.osa_distance(F.col("term"), F.col("fixed"), 1), tx.osa_distance(F.col("term"), F.col("fixed"), 2)
     rows = rows.withColumn("dist", F.when(one, 1).when((F.col("most") == 2) & two, 2)).where("dist is not null")
     return first_by(rows, ["term"], [F.col("dist"), F.col("fdf").desc(), F.col("fixed")]).select("term", "fixed", F.col("dist").cast("long").alias("dist"))

@@ -84,13 +84,27 @@ def _edge_box(e: Column) -> Column:
     return F.struct(F.least(i["lat"], j["lat"]).alias("lat0"), F.least(i["lng"], j["lng"]).alias("lng0"), F.greatest(i["lat"], j["lat"]).alias("lat1"), F.greatest(i["lng"], j["lng"]).alias("lng1"))
 
 
+#: Fixed value: square degrees of a hole below which it is an artefact of mapping.
+LEAST_HOLE = 1e-8
+
+
+def _all_edges(polygons: DataFrame) -> Column:
+    """Edges of the ring and of its holes: a ray counts them alike, so a point in a hole is outside."""
+    own = geo.ring_edges(geo.unwrapped(F.col("ring")))
+    if "holes" not in polygons.columns:
+        return own
+    real = F.filter(F.coalesce("holes", F.array().cast(polygons.schema["holes"].dataType)), lambda h: geo.ring_area(h) >= LEAST_HOLE)
+    return F.concat(own, F.flatten(F.transform(real, lambda h: geo.ring_edges(geo.unwrapped(h)))))
+
+
 def polygon_cells(polygons: DataFrame, deg: float) -> DataFrame:
     """A polygon's cells, without its ring: those that an edge may touch, and the interior ones, which need no test.
 
-    A cell that no edge's box touches lies inside or outside as a whole, as its middle does. ``id`` is unique.
+    A cell that no edge's box touches lies inside or outside as a whole, as its middle does. ``id`` is unique. A column
+    ``holes`` (array of rings), if there is one, is cut out; holes of next to no area are not.
     """
     rows = polygons.withColumn("ring", geo.unwrapped(F.col("ring"))).where(F.size("ring") >= 3)
-    rows = rows.withColumn("_edges", geo.ring_edges(F.col("ring"))).withColumn("_box", geo.bbox(F.col("ring"))).drop("ring")
+    rows = rows.withColumn("_edges", _all_edges(polygons)).withColumn("_box", geo.bbox(F.col("ring"))).drop("ring", "holes")
     edge = F.array_distinct(F.flatten(F.transform("_edges", lambda e: geo.cells_of_box(_edge_box(e), deg))))
     rows = rows.withColumn("_edge", edge).withColumn("_rest", F.array_except(geo.cells_of_box(F.col("_box"), deg), "_edge"))
 
@@ -101,13 +115,12 @@ def polygon_cells(polygons: DataFrame, deg: float) -> DataFrame:
     inner = F.filter("_rest", inside)
     one = lambda cells, flag: F.transform(cells, lambda c: F.struct(c.alias("_cell"), F.lit(flag).alias("_interior")))
     both = F.concat(one(F.col("_edge"), False), one(inner, True))
-    return rows.select(*[c for c in polygons.columns if c != "ring"], F.inline(both))
+    return rows.select(*[c for c in polygons.columns if c not in ("ring", "holes")], F.inline(both))
 
 
 def ring_bands(polygons: DataFrame, deg: float) -> DataFrame:
     """(id, _row, edges, west): a ring's edges by the rows of cells that they span. A ray needs no others of its row."""
-    rows = polygons.select("id", geo.unwrapped(F.col("ring")).alias("ring")).where(F.size("ring") >= 3)
-    rows = rows.select("id", F.array_min(F.transform("ring", lambda v: v["lng"])).alias("west"), F.explode(geo.ring_edges(F.col("ring"))).alias("e"))
+    rows = polygons.where(F.size("ring") >= 3).select("id", geo.bbox(F.col("ring"))["lng0"].alias("west"), F.explode(_all_edges(polygons)).alias("e"))
     low, high = (f(F.col("e.i.lat"), F.col("e.j.lat")) for f in (F.least, F.greatest))
     rows = rows.withColumn("_row", F.explode(F.sequence(F.floor((low + 90) / deg), F.floor((high + 90) / deg))))
     return rows.groupBy("id", "_row").agg(F.collect_list("e").alias("edges"), F.first("west").alias("west"))

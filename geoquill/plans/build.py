@@ -208,7 +208,8 @@ BM = """with d as (select doc_id, source, list_filter(regexp_split_to_array(lowe
 def _bm(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "source", "text")
     q = spark.createDataFrame([(1, "the"), (1, "thing"), (2, "les"), (2, "eaux"), (3, "que"), (3, "para")], "qid int, term string")
-    return se.bm25(se.postings(d, ["text"], ["source"]), q, ["source"]), q
+    hits = se.bm25(se.postings(d, ["text"], ["source"], q), se.field_lengths(d, ["text"], ["source"]), q, ["source"])
+    return hits.withColumn("score", F.round("score", 4)), q
 
 
 @query("a14_bm25", BM)
@@ -236,7 +237,7 @@ def r14(spark, sf):
     return p.select("id", F.round(se.biased(F.lit(10.0), F.col("importance"), km, F.col("id") % 2 == 0), 4).alias("score"))
 
 
-ENTRIES = "e as (select country, key, id, rank from (select *, row_number() over (partition by country, key order by rank, id) rn from (select cast(p_partkey%5 as int) country, p_partkey as id, lower(p_name) as key, cast(p_size as int) rank from part)) where rn=1)"
+ENTRIES = """e as (select country, key, id, name, rank from (select *, row_number() over (partition by country, key order by rank, id) rn from (select cast(p_partkey%5 as int) country, p_partkey as id, concat('The ', p_name) as name, unnest(['the ' || lower(p_name), lower(p_name)]) as key, cast(p_size as int) rank from part)) where rn=1)"""
 
 
 def _entries(spark, sf):
@@ -246,15 +247,15 @@ def _entries(spark, sf):
 
 @query("a09_key_collisions", f"with {ENTRIES} select country, key, id, cast(rank as int) rank from e")
 def a09(spark, sf):
-    return _entries(spark, sf).where(~F.startswith("key", F.lit("the "))).select("country", "key", "id", "rank")
+    return _entries(spark, sf).select("country", "key", "id", "rank")
 
 
-@query("r25_prefix_search", f"with {ENTRIES}, q as (select c_custkey as qid, cast(c_custkey%5 as int) country, left(lower(p_name), cast(1 + c_custkey%4 as int)) prefix from customer join part on p_partkey=c_custkey%100+1), r as (select q.qid, e.id, e.rank, row_number() over (partition by q.qid order by e.rank, e.id) pos from q join e on q.country=e.country and starts_with(e.key, q.prefix)) select qid, id, cast(pos as bigint) pos from r where pos<=5")
+@query("r25_prefix_search", f"with {ENTRIES}, q as (select c_custkey as qid, cast(c_custkey%5 as int) country, left(case when c_custkey%7=0 then 'the ' || lower(p_name) else lower(p_name) end, cast(1 + c_custkey%9 as int)) prefix from customer join part on p_partkey=c_custkey%100+1), w as (select q.qid, e.id, e.rank, e.name, row_number() over (partition by q.qid order by e.key) step from q join e on q.country=e.country and starts_with(e.key, q.prefix)), r as (select *, row_number() over (partition by qid order by rank, id) k from w where step<=40) select qid, id, row_number() over (partition by qid order by rank, name, id) pos from r where k<=5")
 def r25(spark, sf):
-    e = _entries(spark, sf).where(~F.startswith("key", F.lit("the ")))
+    e = _entries(spark, sf)
     c = t(spark, sf, "customer").join(t(spark, sf, "part"), F.col("p_partkey") == F.col("c_custkey") % 100 + 1)
-    q = c.select(F.col("c_custkey").alias("qid"), (F.col("c_custkey") % 5).cast("int").alias("country"), F.left(F.lower("p_name"), (1 + F.col("c_custkey") % 4).cast("int")).alias("prefix"))
-    return se.prefix_search(e, q, 5).select("qid", "id", F.col("pos").cast("long").alias("pos"))
+    q = c.select(F.col("c_custkey").alias("qid"), (F.col("c_custkey") % 5).cast("int").alias("country"), F.left(F.concat(F.when(F.col("c_custkey") % 7 == 0, "the ").otherwise(""), F.lower("p_name")), (1 + F.col("c_custkey") % 9).cast("int")).alias("prefix"))
+    return se.prefix_search(e, q, 5, walk=40).select("qid", "id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("r24_exact_search", f"with {ENTRIES}, q as (select c_custkey as qid, cast(c_custkey%5 as int) country, lower(p_name) k from customer join part on p_partkey=c_custkey%100+1) select qid, id from q join e on q.country=e.country and q.k=e.key")

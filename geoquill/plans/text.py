@@ -204,8 +204,9 @@ def js1(spark, sf):
 
 @query("r17_spelling_distance", "select a.w as w, b.w as v from (select distinct split_part(p_name,' ',1) w from part) a join (select distinct split_part(p_name,' ',2) w from part) b on damerau_levenshtein(a.w,b.w) <= 2")
 def r17(spark, sf):
-    """Words of one list within two edits of the other, swaps counting one; lists meet by length."""
+    """Words of one list within two edits of the other, swaps counting one; they meet on what deletions leave."""
     p = spark.read.parquet(f"{sf}/part.parquet")
-    a = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w")).distinct().withColumn("n", F.explode(F.sequence(F.length("w") - 2, F.length("w") + 2)))
-    b = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("v")).distinct().withColumn("n", F.length("v"))
-    return a.join(b, "n").where(tx.osa_distance(F.col("w"), F.col("v"), 2)).select("w", "v")
+    from geoquill.operators.search import deletions
+
+    half = lambda k, name: p.select(F.split_part("p_name", F.lit(" "), F.lit(k)).alias(name)).distinct().withColumn("key", F.explode(deletions(F.col(name), F.lit(2))))
+    return half(1, "w").join(half(2, "v"), "key").select("w", "v").distinct().where(tx.osa_distance(F.col("w"), F.col("v"), 2))
