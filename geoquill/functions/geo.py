@@ -172,3 +172,15 @@ def importance(population: Column, wikidata: Column, wikipedia: Column) -> Colum
     n = F.expr("0") if population is None else population.try_cast("double")
     pop = F.when(n > 0, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log10(n) / 8)) * 100)).otherwise(0)
     return F.least(F.lit(255), F.coalesce(pop, F.lit(0)) + F.when(wikidata, 30).otherwise(0) + F.when(wikipedia, 50).otherwise(0)).cast("int")
+
+
+def vertex_mean(ring: Column) -> Column:
+    """Mean of a ring's vertices (lat, lng), across the date line too."""
+    r, n = unwrapped(ring), F.size(ring)
+    return F.struct((_sum(r, lambda v: v["lat"]) / n).alias("lat"), half_turn(_sum(r, lambda v: v["lng"]) / n).alias("lng"))
+
+
+def vertex_cap(level: Column, km2: Column) -> Column:
+    """Most vertices of a boundary by level; countries have more the smaller they are."""
+    land = F.when(km2 <= 100_000, 32_000).when(km2 <= 500_000, 16_000).otherwise(8_000)
+    return F.when(level <= 2, land).when(level <= 4, 3_000).when(level <= 6, 1_500).otherwise(500)

@@ -375,3 +375,25 @@ EXONYMS = {
 def exonym(name: Column, name_en: Column) -> Column:
     """The English name of a place that has no English tag of its own, or null."""
     return F.when(name_en.isNull() | (name_en == ""), F.try_element_at(mapping(EXONYMS), name))
+
+
+#: Street types that query variants abbreviate.
+VARIANT_SUFFIXES = {
+    "street": "St", "road": "Rd", "avenue": "Ave", "boulevard": "Blvd", "drive": "Dr", "lane": "Ln", "court": "Ct", "place": "Pl", "terrace": "Tce", "highway": "Hwy", "parkway": "Pkwy", "close": "Cl",
+}
+
+
+def query_variants(number: Column, street: Column, city: Column) -> Column:
+    """Array of (variant, q) for an address: free form, with its street type abbreviated, and with the middle letter gone
+    from its first word of five letters or more that is no street type. What changes nothing is left out."""
+    line = lambda s: F.concat(F.concat_ws(" ", number, s), F.lit(", "), city)
+    short = street
+    for word, abbreviation in VARIANT_SUFFIXES.items():
+        short = F.regexp_replace(short, rf"(?i)\b{word}\b", abbreviation)
+    long = r"\b(?!(?i:" + "|".join(VARIANT_SUFFIXES) + r")\b)([A-Za-z]{5,})\b"
+    word = F.regexp_extract(street, long, 1)
+    at = F.instr(street, word)
+    cut = at + F.floor(F.length(word) / 2).cast("int")
+    typo = F.when(word != "", F.concat(F.substr(street, F.lit(1), cut - 1), F.substr(street, cut + 1)))
+    each = [F.struct(F.lit(v).alias("variant"), line(s).alias("q")) for v, s in (("freeform", street), ("abbreviation", F.when(short != street, short)), ("typo", typo))]
+    return F.filter(F.array(*each), lambda x: x["q"].isNotNull())

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+log = logging.getLogger(__name__)
 
 
 def sampled(key: Column, share: float) -> Column:
@@ -57,6 +61,30 @@ def token_bucket(events: DataFrame, key: str, ts: str, per_second: float, burst:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, sent boolean", "level double, at long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Fixed value: requests a day that are mirrored at most, whatever is configured.
+DAILY_MOST = 100_000
+
+
+def daily_cap(events: DataFrame, ts: str, cap: int) -> DataFrame:
+    """``events`` with sent: whether they are among the first of their UTC day. Each task keeps only its first ``cap`` of a day."""
+    day, most = F.date_trunc("day", ts), min(cap, DAILY_MOST)
+    w = Window.partitionBy("_day").orderBy(ts, "event_id")
+    first = events.select("event_id", ts, day.alias("_day")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+    return events.join(first.select("event_id", F.lit(True).alias("sent")), "event_id", "left").withColumn("sent", F.coalesce("sent", F.lit(False)))
+
+
+def outcome(gate: Column, status: Column, axes: list[Column], metres: Column) -> Column:
+    """One of nine outcomes of a mirrored request. ``gate``: why it was not sent, or null; ``status``: of the answer.
+
+    ``axes`` are comparisons, null where a side is unknown; a distance beyond 1 km is a mismatch.
+    """
+    compared, differs = metres.isNotNull(), F.coalesce(metres > 1000, F.lit(False))
+    for a in axes:
+        compared, differs = compared | a.isNotNull(), differs | F.coalesce(~a, F.lit(False))
+    sent = F.when(status == "timeout", "timeout").when(status != "ok", "external_error").when(~compared, "zero_results").when(differs, "mismatch").otherwise("match")
+    return F.when(gate.isin("auth_disabled", "daily_cap_hit", "queue_full", "rate_limited"), gate).otherwise(sent)
+
+
 def reloading(stream: DataFrame, load, join, sink):
     """A stream joined with a table that is loaded anew whenever its marker changes; a failed load keeps the last one.
 
@@ -67,9 +95,10 @@ def reloading(stream: DataFrame, load, join, sink):
     def each(batch: DataFrame, batch_id: int) -> None:
         try:
             held["marker"], held["table"] = load(held["marker"], held["table"])
-        except Exception:  # noqa: BLE001  serving goes on with what is held
+        except Exception:  # serving goes on with what is held
             if held["table"] is None:
                 raise
+            log.warning("the table could not be loaded anew; the last one stays", exc_info=True)
         sink(join(batch, held["table"]), batch_id)
 
     return stream.writeStream.foreachBatch(each)
