@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoquill.functions import geo, parse
+from geoquill.functions import names as nm
 from geoquill.functions import text as tx
+from geoquill.operators import build, ladder
 from geoquill.operators import relational as rel
 from geoquill.operators import search as se
 from geoquill.operators import spatial as sp
@@ -134,6 +136,18 @@ class Engine:
         order = [F.desc("score"), F.desc("importance"), F.col("rank"), F.col("doc_id")]
         return se.top(hits, ["qid"], order, max(1, min(MOST, limit))).select("qid", "doc_id", "name", "score", "rung", "pos", "lat", "lng")
 
+    def ranked_search(self, queries: DataFrame, aliases: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+        """All rungs, bias points, countries behind the text and known aliases: see :mod:`.operators.ladder`."""
+        docs = self.tables["documents"]
+        docs = docs if "alt" in docs.columns else build.with_alternates(docs, docs.sparkSession.createDataFrame([], "id long, alias string"))
+        index, lengths = se.postings(docs, ladder.FIELDS, ["country"]), se.field_lengths(docs, ladder.FIELDS, ["country"])
+        return ladder.search(queries, docs, index, lengths, aliases, max(1, min(MOST, limit)))
+
+    def enrich(self, hits: DataFrame) -> DataFrame:
+        """Hits (qid, pos, name, lat, lng) with the area around them and a label: name, city, state, postcode, country, none twice."""
+        at = self.reverse(hits.select(F.struct("qid", "pos").alias("qid"), "lat", "lng")).select("qid.qid", "qid.pos", "city", "state", "postcode", "country")
+        return hits.join(at, ["qid", "pos"], "left").withColumn("label", nm.label(F.col("name"), F.col("city"), F.col("state"), F.col("postcode"), F.col("country")))
+
     def _parsed(self, queries: DataFrame) -> DataFrame:
         parts = parse.freeform(queries, "qid", "q", "country").join(queries.select("qid", F.upper("country").alias("cc")), "qid")
         return parts.select("qid", "cc", F.col("house").alias("q_house"), F.col("unit").alias("q_unit"), F.col("postcode").alias("q_postcode"), "rest")

@@ -9,9 +9,9 @@ EARTH_M = 6_371_000.0
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null if any coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would take a null for 1
 
 
 def half_turn(dlng: Column) -> Column:

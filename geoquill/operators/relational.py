@@ -47,21 +47,14 @@ def clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round's labels are written to the shared folder, so lineage stays short and lost executors cost nothing.
     """
-    from geoquill.sources import shared
+    from geoquill.sources.shared import kept
 
-    spark = edges.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = shared.folder(spark, "clusters")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = kept(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct())
-    labels = kept(both.groupBy("v").agg(F.min("w").alias("c")).select("v", F.least("v", "c").alias("c")))
+    both = kept(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "edges")
+    labels = kept(both.groupBy("v").agg(F.min("w").alias("c")).select("v", F.least("v", "c").alias("c")), "labels")
     for _ in range(most_rounds):
         told = both.join(labels.withColumnRenamed("v", "w"), "w").select("v", "c").unionByName(labels).groupBy("v").agg(F.min("c").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("c2"))
-        after = kept(told.join(jump, "c", "left").select("v", F.least("c", F.coalesce("c2", "c")).alias("c")))
+        after = kept(told.join(jump, "c", "left").select("v", F.least("c", F.coalesce("c2", "c")).alias("c")), "labels")
         changed = after.join(labels.withColumnRenamed("c", "was"), "v").where("c <> was").limit(1).count()
         labels = after
         if not changed:

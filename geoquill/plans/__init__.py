@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spatial", "text", "build", "more", "streams", "names", "formats", "extra")
+MODULES = ("spatial", "text", "build", "more", "streams", "names", "formats", "extra", "searching")
 
 
 def queries() -> dict:

@@ -415,3 +415,11 @@ def api_ip(spark, sf):
     ip = tg.table(spark, sf, "coords").select("qid", (F.col("qid") * 7919 % 100000).alias("ip"))
     return _engine(spark, sf, "polygons", "ranges").ip(ip).select("qid", "country", "country_code")
 
+
+
+@query("r29_enriched_hits", LEVELS.replace(f"coords as (select {tg.TABLES['coords'][1]} from customer)", f"coords as (select id as qid, lat, lng from (select {tg.TABLES['places'][1]} from supplier))") + f""", f as (select qid, max(case when level=2 then name end) country, max(case when level=4 and k<>3 then name end) state, max(case when level=8 and k not in (4,5) then name end) city from lv group by qid)
+ select p.id as qid, concat_ws(', ', p.name, city, state, country) as label from (select {tg.TABLES['places'][1]} from supplier) p left join f on f.qid=p.id""")
+def r29(spark, sf):
+    """Hits with the areas around them and a label without repeats."""
+    hits = tg.table(spark, sf, "places").select(F.col("id").alias("qid"), F.lit(1).alias("pos"), "name", "lat", "lng")
+    return _engine(spark, sf, "polygons").enrich(hits).select("qid", "label")

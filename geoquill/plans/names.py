@@ -83,3 +83,18 @@ def _same(spark, sf):
 
 Q["x32_same_address"] = _same
 SQL["x32_same_address"] = f"select p_partkey as id, list_extract({[c[2] for c in _PAIRS]}, cast(p_partkey % {len(_PAIRS)} + 1 as bigint)) as same from part".replace("True", "true").replace("False", "false")
+
+
+_TYPED = [
+    ("12 Main St", "12|main|street"), ("St Kilda Rd", "st|kilda|road"), ("Jackson St SE", "jackson|street|se"), ("5th Ave, N.Y.C.", "5th|avenue|nyc"), ("Fifth Avenue", "5th|avenue"), ("twenty first st", "21st|street"),
+    ("Mount Eden Rd", "mt|eden|road"), ("Dr Smith Dr", "doctor|smith|drive"), ("Café-Straße 3", "cafe|strasse|3"), ("Fort Worth, TX", "ft|worth|tx"),
+]
+
+
+def _tokens(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), F.get(F.array(*[F.lit(a) for a, _ in _TYPED]), (F.col("p_partkey") % len(_TYPED)).cast("int")).alias("q"))
+    return tx.user_tokens(p, "id", "q").select("id", F.array_join("tokens", "|").alias("y"))
+
+
+Q["x04_typed_words"] = _tokens
+SQL["x04_typed_words"] = f"select p_partkey as id, list_extract([{', '.join(_sql(b) for _, b in _TYPED)}], cast(p_partkey % {len(_TYPED)} + 1 as bigint)) as y from part"

@@ -60,7 +60,7 @@ def st09(spark, sf):
     return out.select("key", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts")).distinct()
 
 
-@query("st05_token_bucket")
+@query("st05_token_bucket", "with recursive e as (select user_id u, event_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) n from events), r(u, n, event_id, t, level, sent) as (select u, n, event_id, t, 2.0::double, true from e where n=1 union all select e.u, e.n, e.event_id, e.t, x.l - case when x.l >= 1 then 1 else 0 end, x.l >= 1 from r join e on e.u=r.u and e.n=r.n+1, lateral (select least(3.0::double, r.level + greatest(0, e.t-r.t)/1e6::double*(1::double/3600)) l) x) select cast(u as varchar) as key, event_id, sent from r")
 def st05(spark, sf):
     return drained(spark, gates.token_bucket(_events(spark, sf), "user_id", "ts", 1 / 3600, 3), "append")
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, kind: str) -> str:
@@ -17,3 +17,10 @@ def folder(spark: SparkSession, kind: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "geoquill-shared")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to a shared folder and read from there: a long plan ends, and lost executors cost nothing."""
+    path = folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
