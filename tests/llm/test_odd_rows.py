@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -230,12 +231,12 @@ def test_vocabularies_that_ask_for_more_are_refused():
         token_counts.ByteBpe(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def test_scratch_tables_go(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common.tempfile, "gettempdir", lambda: str(tmp_path))
-    made = tmp_path / "geoquill-checkpoints"
+def test_scratch_tables_go(spark):
     with common.scratch(spark):
-        assert common.stored(spark.range(3), "x").count() == 3 and len(list(made.iterdir())) == 1
-    assert not list(made.iterdir())
+        table = common.stored(spark.range(3), "x")
+        path = Path(table._scratch_path.removeprefix("file://"))
+        assert table.count() == 3 and path.is_dir()
+    assert not path.exists()
 
 
 def test_lists_over_salts_equal_brute_force(spark, monkeypatch):
