@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 from pyspark.sql import functions as F
 
 from geoquill.functions import checks, geo
 from geoquill.functions import names as nm
 from geoquill.operators import search as se
-from geoquill.sources import catalog, gazetteer, readers, shared, writers
+from geoquill.sources import catalog, gazetteer, osm, readers, shared, writers
 
 from . import testgeo as tg
 
@@ -365,3 +368,81 @@ def sc10(spark, sf):
 def x24(spark, sf):
     tags = F.create_map(F.lit("name"), F.col("r_name"), F.lit("name:en"), F.concat("r_name", F.lit(" EN")), F.lit("alt_name"), F.concat(F.lit("old "), "r_name", F.lit(" ; ")), F.lit("other"), F.lit("x"))
     return t(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.inline(nm.alias_rows(tags)))
+
+
+# --- the map's exchange format, written here with its simplest messages
+
+
+def _varint(n: int) -> bytes:
+    n &= (1 << 64) - 1
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(k: int, x) -> bytes:
+    return _varint(k << 3) + _varint(x) if isinstance(x, int) else _varint(k << 3 | 2) + _varint(len(x)) + x
+
+
+def _zigzag(n: int) -> int:
+    return (n << 1) ^ (n >> 63)
+
+
+def _map_file(nodes, ways, relations) -> bytes:
+    """One data blob: nodes (id, lat, lng in 1e-7 degrees), ways (id, refs) and relations (id, ways), tagged "kind"."""
+    strings = [b"", b"kind", b"node", b"way", b"relation", b"outer"]
+    deltas = lambda xs: b"".join(_varint(_zigzag(b - a)) for a, b in zip([0, *xs], xs, strict=False))
+    tag = lambda v: _field(2, _varint(1)) + _field(3, _varint(v))
+    group = b"".join(_field(1, _field(1, _zigzag(i)) + tag(2) + _field(8, _zigzag(y)) + _field(9, _zigzag(x))) for i, y, x in nodes)
+    group += b"".join(_field(3, _field(1, i) + tag(3) + _field(8, deltas(refs))) for i, refs in ways)
+    group += b"".join(_field(4, _field(1, i) + tag(4) + _field(8, _varint(5) * len(m)) + _field(9, deltas(m)) + _field(10, _varint(1) * len(m))) for i, m in relations)
+    block = _field(1, b"".join(_field(1, w) for w in strings)) + _field(2, group)
+    out = b""
+    for kind, data in ((b"OSMHeader", b""), (b"OSMData", block)):
+        blob = _field(2, len(data)) + _field(3, zlib.compress(data))
+        head = _field(1, kind) + _field(3, len(blob))
+        out += struct.pack(">I", len(head)) + head + blob
+    return out
+
+
+def _map_files(spark, sf):
+    """A file for each region: its nations are nodes, in order a way, and that way a relation; written by tasks."""
+    root = shared.folder(spark, "map")
+    rows = t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("n"))
+
+    def write(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        for b in batches:
+            paths = []
+            for r, n in zip(b["r"], b["n"], strict=True):
+                fs, at = pafs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+                fs.create_dir(at, recursive=True)
+                ids = [int(x) for x in n]
+                with fs.open_output_stream(f"{at}/{r}.pbf") as f:
+                    f.write(_map_file([(i + 1, i * 10_000_000, -i * 20_000_000) for i in ids], [(100 + int(r), [i + 1 for i in ids])], [(200 + int(r), [100 + int(r)])]))
+                paths.append(f"{root}/{r}.pbf")
+            yield pd.DataFrame({"path": paths})
+
+    return sorted(r["path"] for r in rows.mapInPandas(write, "path string").collect())
+
+
+@query("sc01_map_relations", "select cast(200+r_regionkey as bigint) as id, cast(100+r_regionkey as bigint) as member, 'outer' as role from region")
+def sc01(spark, sf):
+    e = osm.read(spark, _map_files(spark, sf)).where("kind = 'relation'")
+    return e.select("id", F.explode("members").alias("m")).select("id", F.col("m.ref").alias("member"), "m.role")
+
+
+@query("sc02_map_ways", "select cast(100+n_regionkey as bigint) as id, cast(row_number() over (partition by n_regionkey order by n_nationkey)-1 as int) as pos, cast(n_nationkey as double) as lat, cast(-2*n_nationkey as double) as lng from nation")
+def sc02(spark, sf):
+    """Ways with the places of their nodes, in order."""
+    w = osm.ways_with_nodes(osm.read(spark, _map_files(spark, sf)))
+    return w.select("id", F.posexplode("nodes").alias("pos", "v")).select("id", "pos", F.round("v.lat", 6).alias("lat"), F.round("v.lng", 6).alias("lng"))
+
+
+@query("sc03_several_map_files", "select 'node' as kind, count(*) as n from nation union all select 'way', count(*) from region union all select 'relation', count(*) from region")
+def sc03(spark, sf):
+    return osm.read(spark, _map_files(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))

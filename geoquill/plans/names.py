@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoquill.functions import names as nm
+from geoquill.functions import parse
 from geoquill.functions import text as tx
 
 Q: dict = {}
@@ -98,3 +99,21 @@ def _tokens(spark, sf):
 
 Q["x04_typed_words"] = _tokens
 SQL["x04_typed_words"] = f"select p_partkey as id, list_extract([{', '.join(_sql(b) for _, b in _TYPED)}], cast(p_partkey % {len(_TYPED)} + 1 as bigint)) as y from part"
+
+
+_ADDRESSES = [
+    ("3/827a High St, Kew VIC 3101", "AU", "827a|3|3101|Victoria|high street kew"), ("12-14 George Street", "AU", "12-14||||george street"), ("#4 10 Main St Boston MA 02110", "US", "10|4|02110|Massachusetts|main st boston"),
+    ("Unit 7 22 King Rd Otahuhu 1062", "NZ", "22|7|1062||king road otahuhu"), ("10 Downing Street London SW1A 2AA", "GB", "10||SW1A2AA||downing street london"), ("100 Queen St Toronto ON M5H 2N2", "CA", "100||M5H2N2|Ontario|queen st toronto"),
+    ("5th Avenue New York", "US", "||||5th avenue new york"), ("Hauptstrasse 12", "DE", "12||||hauptstrasse"), ("Sydney", "AU", "||||sydney"),
+]
+
+
+def _parsed(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(_ADDRESSES)).cast("int").alias("k"))
+    pick = lambda j: F.get(F.array(*[F.lit(c[j]) for c in _ADDRESSES]), F.col("k"))
+    got = parse.freeform(p.select("id", pick(0).alias("q"), pick(1).alias("cc")), "id", "q", "cc")
+    return got.select("id", F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("house", "unit", "postcode", "state", "rest")]).alias("y"))
+
+
+Q["r21_parsed_addresses"] = _parsed
+SQL["r21_parsed_addresses"] = f"select p_partkey as id, list_extract([{', '.join(_sql(c[2]) for c in _ADDRESSES)}], cast(p_partkey % {len(_ADDRESSES)} + 1 as bigint)) as y from part"
