@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoquill.functions import checks, geo
 from geoquill.functions import names as nm
 from geoquill.operators import search as se
-from geoquill.sources import catalog, gazetteer, osm, readers, shared, writers
+from geoquill.sources import catalog, gazetteer, osm, ranges, readers, shared, writers
 
 from . import testgeo as tg
 
@@ -446,3 +446,76 @@ def sc02(spark, sf):
 @query("sc03_several_map_files", "select 'node' as kind, count(*) as n from nation union all select 'way', count(*) from region union all select 'relation', count(*) from region")
 def sc03(spark, sf):
     return osm.read(spark, _map_files(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- network address databases, written here
+
+
+def _record(value) -> bytes:
+    """A value as a record's field: maps, texts, doubles and numbers."""
+
+    def head(kind: int, size: int) -> bytes:
+        low, more = (size, b"") if size < 29 else (29, bytes([size - 29]))
+        return (bytes([kind << 5 | low]) if kind < 8 else bytes([low, kind - 7])) + more
+
+    if isinstance(value, dict):
+        return head(7, len(value)) + b"".join(_record(k) + _record(v) for k, v in value.items())
+    if isinstance(value, str):
+        raw = value.encode()
+        return head(2, len(raw)) + raw
+    if isinstance(value, float):
+        return head(3, 8) + struct.pack(">d", value)
+    raw = value.to_bytes((value.bit_length() + 7) // 8, "big")
+    return head(6, len(raw)) + raw
+
+
+def address_database(entries: list[tuple[int, int, dict]], bits: int, six: bool) -> bytes:
+    """A database of (address, prefix length, record), with records of 24, 28 or 32 bits, for addresses of four or sixteen bytes."""
+    nodes, data, where = [[None, None]], b"", {}
+    for address, length, record in entries:
+        path = [0] * (96 if six else 0) + [address >> (31 - k) & 1 for k in range(length)]
+        node = 0
+        for bit in path[:-1]:
+            if nodes[node][bit] is None:
+                nodes.append([None, None])
+                nodes[node][bit] = len(nodes) - 1
+            node = nodes[node][bit]
+        key = repr(record)
+        if key not in where:
+            where[key] = len(data)
+            data += _record(record)
+        nodes[node][path[-1]] = ("data", where[key])
+    n, tree = len(nodes), b""
+    for pair in nodes:
+        a, b = (n if x is None else n + 16 + x[1] if isinstance(x, tuple) else x for x in pair)
+        w = bits // 8
+        tree += a.to_bytes(4, "big")[1:] + bytes([(a >> 24) << 4 | b >> 24]) + b.to_bytes(4, "big")[1:] if bits == 28 else a.to_bytes(w, "big") + b.to_bytes(w, "big")
+    meta = {"node_count": n, "record_size": bits, "ip_version": 6 if six else 4}
+    return tree + bytes(16) + data + ranges.MARK + _record(meta)
+
+
+@query("sc13_address_ranges", tg.cte("places") + " select bits, id*1024 as lo, id*1024+1023 as hi, case when id%2=0 then 'AU' else 'NZ' end as country, round(lat,6) as lat, round(lng,6) as lng from places, (values (24),(28),(32)) b(bits) union all select bits, 3221225472, 3758096383, 'US', 1.5, 2.5 from (values (24),(28),(32)) b(bits)")
+def sc13(spark, sf):
+    """Ranges of a database file, in all three record sizes; one range is wider than a byte."""
+    rows = tg.table(spark, sf, "places").select("id", "lat", "lng").orderBy("id").collect()
+    entries = [(r.id * 1024, 22, {"country": {"iso_code": "NZ" if r.id % 2 else "AU"}, "location": {"latitude": r.lat, "longitude": r.lng}}) for r in rows]
+    entries.append((0xC0000000, 3, {"country": {"iso_code": "US"}, "location": {"latitude": 1.5, "longitude": 2.5}}))
+    out = None
+    for bits in (24, 28, 32):
+        root = shared.folder(spark, "ranges")
+        one = spark.createDataFrame([(bytearray(address_database(entries, bits, bits != 24)),)], "content binary")
+
+        def write(batches, root=root):
+            import pyarrow.fs as pafs
+
+            for b in batches:
+                fs, at = pafs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+                fs.create_dir(at, recursive=True)
+                with fs.open_output_stream(f"{at}/ranges.db") as f:
+                    f.write(bytes(b["content"].iloc[0]))
+                yield b.assign(n=1)[["n"]]
+
+        one.mapInPandas(write, "n int").collect()
+        got = ranges.read(spark, f"{root}/ranges.db").select(F.lit(bits).alias("bits"), "lo", "hi", "country", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+        out = got if out is None else out.unionByName(got)
+    return out
