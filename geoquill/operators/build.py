@@ -26,13 +26,14 @@ def included(df: DataFrame, codes: list[str] | None) -> DataFrame:
 def forward_documents(sources: dict[int, DataFrame]) -> DataFrame:
     """Documents of every kind in one table. ``sources``: kind to rows with any of the document's columns.
 
-    A street of one name in one locality is one document, the least id's; streets whose name repeats their locality's and
-    addresses with a name for a number or without a street are left out; a place of no importance has 0.
+    A street of one name in one locality is one document, the least id's; addresses without a number or a street, or with a
+    house's name for a number, are left out; a document without importance has 0.
     """
     out = None
     for kind, df in sources.items():
         rows = df.where(F.coalesce(F.trim("name"), F.lit("")) != "")
         if kind == ADDRESS:
+            rows = rows.where("trim(housenumber) <> ''")
             rows = rows.where(~F.coalesce(F.col("is_name"), F.lit(False))) if "is_name" in df.columns else rows
         if kind == STREET:
             rows = first_by(rows, ["country", "name", "locality"], [F.col("doc_id")])

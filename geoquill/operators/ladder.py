@@ -77,20 +77,27 @@ def two_readings(queries: DataFrame) -> DataFrame:
     return queries.select(*rest, F.inline(F.when(twice, both).otherwise(F.array(own))))
 
 
-def trailing_city(queries: DataFrame, documents: DataFrame) -> DataFrame:
+def trailing_city(queries: DataFrame, documents: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(qid, body, city, city_importance): the last three to one words are exactly a town's name (rank 13 to 16), longest
-    first; the most important town of that name."""
+    first; the most important town of that name. Else one word anywhere may be a known alias (alias, doc_id) of a place; of
+    two letters only in capitals."""
     w = F.split(F.trim("q"), r"\s+")
     some = queries.where(F.col("q").isNotNull() & ~F.contains("q", F.lit(",")) & F.col("city").isNull() & F.col("street").isNull())
     cut = some.select("qid", "country", F.explode(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda n: n < F.size(w))).alias("n"), w.alias("w"))
     cut = cut.select("qid", "country", "n", F.array_join(F.slice("w", F.lit(1), F.size("w") - F.col("n")), " ").alias("body"), tokens(F.array_join(F.slice("w", F.size("w") - F.col("n") + 1, F.col("n")), " ")).alias("key"))
     towns = documents.where((F.col("kind") == PLACE) & F.col("rank").between(13, 16)).select(tokens(F.col("name")).alias("key"), F.col("country").alias("cc"), F.col("name").alias("town"), "importance", "doc_id")
     met = cut.join(towns, "key").where(F.col("country").isNull() | (F.upper("country") == F.col("cc")))
+    if aliases is not None:
+        word = some.where(F.size(w) > 1).select("qid", "country", F.posexplode(w).alias("i", "word"), w.alias("w")).where((F.length("word") >= 3) | (F.col("word") == F.upper("word")))
+        word = word.select("qid", "country", F.array_join(F.filter("w", lambda x, k: k != F.col("i")), " ").alias("body"), F.lower("word").alias("alias"))
+        known = aliases.select(F.lower("alias").alias("alias"), "doc_id").join(documents.where(F.col("kind") == PLACE).select("doc_id", F.col("country").alias("cc"), F.col("name").alias("town"), "importance"), "doc_id")
+        short = word.join(known, "alias").where(F.col("country").isNull() | (F.upper("country") == F.col("cc")))
+        met = met.select("qid", "n", "body", "town", "importance", "doc_id").unionByName(short.select("qid", F.lit(0).alias("n"), "body", "town", "importance", "doc_id"))
     best = first_by(met, ["qid"], [F.desc("n"), F.desc("importance"), F.col("doc_id")])
     return best.select("qid", "body", F.col("town").alias("city"), F.col("importance").alias("city_importance"))
 
 
-def _asks(queries: DataFrame, documents: DataFrame) -> DataFrame:
+def _asks(queries: DataFrame, documents: DataFrame, aliases: DataFrame | None) -> DataFrame:
     """(aid, qid, rung, scoped, tokens, and what is asked for): all readings of all queries, parsed together."""
     q = F.trim("q")
     last, head, tail = F.trim(F.substring_index(q, ",", -1)), F.regexp_replace(q, r"\s*,[^,]*$", ""), F.trim(F.substring_index(q, ",", 1))
@@ -102,7 +109,7 @@ def _asks(queries: DataFrame, documents: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     texts = F.array(text(plain, 0, head, last), text(F.lit(True), 2, F.coalesce(q, F.lit("")), none), text(F.contains(q, F.lit(",")) & (tail != ""), 8, tail, none), text(mixed, 9, F.array_join(latin, " "), none))
     rows = queries.select("*", F.inline(F.filter(texts, lambda x: x.isNotNull())))
-    towns = trailing_city(queries, documents).withColumnsRenamed({"city": "town", "city_importance": "town_importance"})
+    towns = trailing_city(queries, documents, aliases).withColumnsRenamed({"city": "town", "city_importance": "town_importance"})
     scoped = queries.join(towns, "qid").select(*queries.columns, F.lit(2).alias("rung"), F.lit(True).alias("scoped"), F.col("body").alias("t"), none.alias("region"), "town", F.col("town_importance").cast("int"))
     rows = rows.unionByName(scoped).withColumn("aid", F.struct("qid", "rung", "scoped"))
     parts = parse.freeform(rows.select("aid", "t", "country"), "aid", "t", "country").withColumnsRenamed({c: "p_" + c for c in ("house", "unit", "postcode", "state")})
@@ -190,7 +197,7 @@ def search(queries: DataFrame, documents: DataFrame, index: DataFrame, lengths:
     """(qid, pos, doc_id, name, rung, score) of the best hits of each query. ``aliases``: (alias, doc_id) of known short names."""
     base = queries.select("qid", "q", "country", *[(F.col(c) if c in queries.columns else F.lit(None)).cast(t).alias(c) for c, t in EXTRA.items()])
     base = two_readings(country_suffix(base)).withColumn("of", F.col("qid")).withColumn("qid", F.struct("qid", "reading")).drop("reading")
-    asks = kept(_asks(base.drop("of"), documents), "asks")
+    asks = kept(_asks(base.drop("of"), documents, aliases), "asks")
     found = _ask_hits(asks, documents, index, lengths)
     bare = base.where(F.col("q").rlike(r"^[A-Za-z0-9 -]{3,10}$") & F.col("q").rlike("[0-9]") & F.col("housenumber").isNull() & F.col("street").isNull())
     bare = bare.select("qid", "q", "country", F.lit(1).alias("rung"), F.lit(False).alias("scoped"), "lat", "lng", tx.postcode(F.col("q")).alias("q_postcode"))

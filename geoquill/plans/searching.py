@@ -59,6 +59,7 @@ QUERIES = {
     20: ("Zzyzx", "AU", None, []),
     21: ("NYC", "US", None, [(15, 2)]),
     22: ("George Street", "AU", None, [(3, 2), (4, 2), (9, 2)]),
+    23: ("Broadway NYC", "US", None, [(16, 2)]),
 }
 
 

@@ -57,7 +57,7 @@ def st11(spark, sf):
 @query("st09_throttle", "with recursive k(u, w) as (select user_id, min(ts) from events group by 1 union all select u, (select min(e.ts) from events e where e.user_id=u and e.ts >= w + interval 12 hours) from k where w is not null) select cast(u as varchar) as key, w as ts from k where w is not null")
 def st09(spark, sf):
     out = drained(spark, gates.throttle(_events(spark, sf), "user_id", "ts", 12 * 3600), "append")
-    return out.select("key", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts")).distinct()
+    return out.select("key", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
 
 
 @query("st05_token_bucket", "with recursive e as (select user_id u, event_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) n from events), r(u, n, event_id, t, level, sent) as (select u, n, event_id, t, 2.0::double, true from e where n=1 union all select e.u, e.n, e.event_id, e.t, x.l - case when x.l >= 1 then 1 else 0 end, x.l >= 1 from r join e on e.u=r.u and e.n=r.n+1, lateral (select least(3.0::double, r.level + greatest(0, e.t-r.t)/1e6::double*(1::double/3600)) l) x) select cast(u as varchar) as key, event_id, sent from r")
@@ -65,6 +65,12 @@ def st05(spark, sf):
     return drained(spark, gates.token_bucket(_events(spark, sf), "user_id", "ts", 1 / 3600, 3), "append")
 
 
+@query("st04_bounded_queue", SQL["st05_token_bucket"].replace("2.0::double, true", "1.0::double, true").replace("least(3.0::double", "least(2.0::double").replace("(1::double/3600)", "(1::double/7200)").replace("event_id, sent from r", "event_id, sent as queued from r"))
+def st04(spark, sf):
+    """Places for two, one worked off every two hours: who finds none is dropped."""
+    return drained(spark, gates.bounded_queue(_events(spark, sf), "user_id", "ts", 2, 1 / 7200), "append")
+
+
 @query("st03_sample", "select event_id from events where ('0x' || left(md5(cast(event_id as varchar)),8))::bigint < 0.1*4294967296")
 def st03(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").where(gates.sampled(F.col("event_id"), 0.1)).select("event_id")
