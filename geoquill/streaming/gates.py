@@ -23,13 +23,10 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """First event of each key, then the first at least ``seconds`` after the last one let through. A table or a stream.
 
     Between batches a key's state is one number; inside a batch its rows are sorted, so one key's rows of one batch must fit
-    a task. A key that is silent for an hour, or twice the window if that is longer, loses its state.
+    a task. State stays for every key ever seen: one number each.
     """
 
     def step(keys, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         keep = []
@@ -38,23 +35,19 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
                 keep.append((keys[0], event, at))
                 last = at
         state.update((int(last),))
-        state.setTimeoutDuration(max(3_600, 2 * seconds) * 1000)
         yield pd.DataFrame(keep, columns=["key", "event_id", "at"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, at long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, at long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def token_bucket(events: DataFrame, key: str, ts: str, per_second: float, burst: float) -> DataFrame:
     """(key, event_id, sent): a bucket per key refills with time and pays one token for each event sent.
 
-    A key that is silent until its bucket must be full again, an hour at least, loses its state.
+    State stays for every key ever seen: two numbers each.
     """
 
     def step(keys, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         level, then = state.get if state.exists else (burst, None)
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = []
@@ -66,11 +59,10 @@ def token_bucket(events: DataFrame, key: str, ts: str, per_second: float, burst:
             level -= sent
             out.append((keys[0], event, bool(sent)))
         state.update((float(level), int(then)))
-        state.setTimeoutDuration(int(max(3_600, burst / per_second) * 1000))
         yield pd.DataFrame(out, columns=["key", "event_id", "sent"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, sent boolean", "level double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, sent boolean", "level double, at long", "append", GroupStateTimeout.NoTimeout)
 
 
 def bounded_queue(events: DataFrame, key: str, ts: str, capacity: int, per_second: float) -> DataFrame:
