@@ -119,3 +119,74 @@ def simplified(polygons: DataFrame, most: int) -> DataFrame:
             yield b
 
     return polygons.mapInPandas(scan, fields)
+
+
+def _uv(s):
+    """The projected coordinate of a warped one, also beyond the face's edge."""
+    return np.where(s >= 0.5, (4 * s * s - 1) / 3, (1 - 4 * (1 - s) * (1 - s)) / 3)
+
+
+def _degrees(face, u, v):
+    """Latitude and longitude of a point on the plane of a face."""
+    one = np.ones_like(u)
+    x = np.choose(face, [one, -u, -u, -one, v, v])
+    y = np.choose(face, [u, one, -v, -v, -one, u])
+    z = np.choose(face, [v, v, one, -u, -u, -one])
+    return np.degrees(np.arctan2(z, np.hypot(x, y))), np.degrees(np.arctan2(y, x))
+
+
+def around(lat: np.ndarray, lng: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Middles (lat, lng) of the eight cells of ``level`` around each point's own, a row a point; at a corner of the cube two
+    of them are one."""
+    la, lo = np.radians(np.asarray(lat, float)), np.radians(np.asarray(lng, float))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        face, u, v = _face_uv(np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la))
+    size = 2.0**-level
+    s, t = ((np.floor(_st(x) / size) + 0.5) * size for x in (u, v))
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    spots = [_degrees(face, _uv(s + i * size), _uv(t + j * size)) for i, j in steps]
+    return np.stack([a for a, _ in spots], 1), np.stack([b for _, b in spots], 1)
+
+
+def neighbours(lat: np.ndarray, lng: np.ndarray, level: int) -> np.ndarray:
+    """Ids of the eight cells around each point's own, across faces too."""
+    y, x = around(lat, lng, level)
+    return cell_ids(y.ravel(), x.ravel(), level).reshape(y.shape)
+
+
+def crosses_itself(ring: np.ndarray) -> bool:
+    """Whether two edges of a closed ring that are not neighbours meet."""
+    a, b = ring, np.roll(ring, -1, 0)
+    turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    n = len(ring)
+    for k in range(n - 2):  # one edge against all later ones: memory stays linear
+        c, d = a[k + 2 : n - (k == 0)], b[k + 2 : n - (k == 0)]
+        if len(c) and ((turn(a[k], b[k], c) * turn(a[k], b[k], d) <= 0) & (turn(c, d, a[k][None]) * turn(c, d, b[k][None]) <= 0)).any():
+            return True
+    return False
+
+
+def simplify_valid(ring: np.ndarray, cap: int, most: int) -> np.ndarray:
+    """A ring of about ``cap`` vertices that does not cross itself; the cap doubles up to ``most`` until one does not. If all
+    do, the first is kept."""
+    first = simplify_to(ring, cap)
+    out = first
+    while len(out) >= 4 and crosses_itself(out):
+        if cap >= min(len(ring), most):
+            return first
+        cap = min(cap * 2, most)
+        out = simplify_to(ring, cap)
+    return out
+
+
+def simplified_valid(polygons: DataFrame, most: int) -> DataFrame:
+    """``polygons`` (id, ring, cap) with their rings simplified to their caps, by Arrow batches."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in polygons.schema)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rings = [np.array([(v["lat"], v["lng"]) for v in r], float) for r in b["ring"]]
+            done = [simplify_valid(r, int(c), most) for r, c in zip(rings, b["cap"], strict=True)]
+            yield b.assign(ring=[[{"lat": float(y), "lng": float(x)} for y, x in r] for r in done])
+
+    return polygons.mapInPandas(scan, fields)

@@ -423,3 +423,46 @@ def r29(spark, sf):
     """Hits with the areas around them and a label without repeats."""
     hits = tg.table(spark, sf, "places").select(F.col("id").alias("qid"), F.lit(1).alias("pos"), "name", "lat", "lng")
     return _engine(spark, sf, "polygons").enrich(hits).select("qid", "label")
+
+
+@query("g10_neighbour_cells", "select c_custkey as qid, cast(8 as int) as n, true as mutual from customer")
+def g10(spark, sf):
+    """Cells of the sphere: eight differ from their own, and each has that one among its own eight."""
+    from geoquill.functions import cells
+
+    def scan(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            lat, lng = b["lat"].to_numpy(float), b["lng"].to_numpy(float)
+            own, near = cells.cell_ids(lat, lng, 10), cells.neighbours(lat, lng, 10)
+            y, x = cells.around(lat, lng, 10)
+            back = cells.neighbours(y.ravel(), x.ravel(), 10).reshape(len(b), 8, 8)
+            n = [len(set(r.tolist()) - {o}) for r, o in zip(near, own, strict=True)]
+            yield pd.DataFrame({"qid": b["qid"], "n": np.array(n, "int32"), "mutual": (back == own[:, None, None]).any(2).all(1)})
+
+    return tg.table(spark, sf, "coords").mapInPandas(scan, "qid long, n int, mutual boolean")
+
+
+@query("g08_simplified_rings", "select s_suppkey as id, true as within, true as simple from supplier")
+def g08(spark, sf):
+    """Waved circles of 90 vertices: no more vertices than their cap, or than the budget, and no crossing."""
+    from geoquill.functions import cells
+
+    k = F.col("s_suppkey")
+    turn = lambda i: i * (2 * 3.141592653589793 / 90)
+    wave = lambda i: 5 + F.sin(turn(i) * (k % 7 + 2))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(89)), lambda i: F.struct((wave(i) * F.sin(turn(i))).alias("lat"), (wave(i) * F.cos(turn(i))).alias("lng")))
+    rows = t(spark, sf, "supplier").select(k.alias("id"), ring.alias("ring"), (12 + k % 40).cast("int").alias("cap"))
+    out = cells.simplified_valid(rows, 60)
+
+    def judge(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            rings = [np.array([(v["lat"], v["lng"]) for v in r], float) for r in b["ring"]]
+            yield pd.DataFrame({"id": b["id"], "within": [len(r) <= 60 for r in rings], "simple": [not cells.crosses_itself(r) for r in rings]})
+
+    return out.mapInPandas(judge, "id long, within boolean, simple boolean")
