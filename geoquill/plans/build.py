@@ -274,8 +274,8 @@ def r16(spark, sf):
 
 @query("a21_grouping_sets", "select c_mktsegment as variant, cast(c_nationkey%3 as int) as stratum, count(*) as n, round(avg(c_acctbal),2) as mean from customer group by grouping sets ((), (variant), (stratum), (variant, stratum))")
 def a21(spark, sf):
-    t(spark, sf, "customer").selectExpr("c_mktsegment variant", "cast(c_nationkey % 3 as int) stratum", "c_acctbal").createOrReplaceTempView("_cases")
-    return spark.sql("select variant, stratum, count(*) n, round(avg(c_acctbal), 2) mean from _cases group by grouping sets ((), (variant), (stratum), (variant, stratum))")
+    cases = t(spark, sf, "customer").selectExpr("c_mktsegment variant", "cast(c_nationkey % 3 as int) stratum", "c_acctbal")
+    return spark.sql("select variant, stratum, count(*) n, round(avg(c_acctbal), 2) mean from {cases} group by grouping sets ((), (variant), (stratum), (variant, stratum))", cases=cases)
 
 
 #: Upper bounds of the latency histogram, seconds, and of the distance histogram, metres.

@@ -212,14 +212,14 @@ def a12(spark, sf):
 
 @query("a31_inspection_lists", tg.cte("addresses") + " select city, array_to_string(list(distinct street order by street), ',') as streets, count(*) as n from addresses where id%3=0 group by 1 having count(*) between 2 and 1000000 and count(distinct street) >= 3")
 def a31(spark, sf):
-    tg.table(spark, sf, "addresses").createOrReplaceTempView("inspected_addresses")
-    return spark.sql("select city, array_join(array_sort(collect_set(street)), ',') streets, count(*) n from inspected_addresses where id % 3 = 0 group by city having count(*) between 2 and 1000000 and size(collect_set(street)) >= 3")
+    a = tg.table(spark, sf, "addresses")
+    return spark.sql("select city, array_join(array_sort(collect_set(street)), ',') streets, count(*) n from {a} where id % 3 = 0 group by city having count(*) between 2 and 1000000 and size(collect_set(street)) >= 3", a=a)
 
 
 @query("a31_inspection_buckets", tg.cte("places") + " select cast(floor(lat/10)*10 as int) as lat_band, cast(floor(lng/10)*10 as int) as lng_band, count(*) as n from places group by 1, 2 having count(*) > 0")
 def a31b(spark, sf):
-    tg.table(spark, sf, "places").createOrReplaceTempView("inspected_places")
-    return spark.sql("select cast(floor(lat / 10) * 10 as int) lat_band, cast(floor(lng / 10) * 10 as int) lng_band, count(*) n from inspected_places group by 1, 2 having count(*) > 0")
+    p = tg.table(spark, sf, "places")
+    return spark.sql("select cast(floor(lat / 10) * 10 as int) lat_band, cast(floor(lng / 10) * 10 as int) lng_band, count(*) n from {p} group by 1, 2 having count(*) > 0", p=p)
 
 
 @query("a33_forward_documents", "select 1 as kind, s_suppkey as doc_id, s_name as name, cast(s_suppkey*37%256 as int) as importance from supplier union all select 2, id, name, 0 from (select p_partkey id, p_name name, row_number() over (partition by p_name, p_size%3 order by p_partkey) rn from part) where rn=1 union all select 3, p_partkey, p_name, 0 from part union all select 4, o_orderkey, concat('Street ', o_custkey%40), 0 from orders where o_orderkey%10<>0 union all select 5, n_nationkey, cast(1000+n_nationkey as varchar), 0 from nation")

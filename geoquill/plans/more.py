@@ -230,7 +230,7 @@ def a35(spark, sf):
 def w02(spark, sf):
     p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("q"), F.when(F.startswith("p_name", F.lit("small")), 2).when(F.contains("p_name", F.lit("ring")), 1).otherwise(0).alias("grade"))
     best = p.groupBy("q").agg(F.max("grade").alias("best"))
-    return p.join(F.broadcast(best), "q").where("grade = best").select("id", "grade")
+    return p.join(best, "q").where("grade = best").select("id", "grade")
 
 
 @query("w10_last_writer", "select l_partkey as id, max(l_orderkey) as last, min(l_orderkey) as first from lineitem group by 1")

@@ -37,8 +37,7 @@ TABLES = {
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, select = TABLES[name]
     df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
-    df.createOrReplaceTempView("_bind")
-    return spark.sql(f"select {select} from _bind")
+    return spark.sql(f"select {select} from {{df}}", df=df)
 
 
 def cte(*names: str) -> str:
