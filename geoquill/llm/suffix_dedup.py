@@ -45,7 +45,7 @@ TASK_BYTES, BATCH_RUNS = 2_000_000, 256
 #: Document ids up to which the set of documents with contested runs is broadcast.
 BROADCAST_ROWS = 200_000
 #: Windows of a text that are hashed at a time, and run descriptions that a task collapses at a time.
-SLICE, FLUSH_ROWS = 1 << 20, 500_000
+SLICE, FLUSH_ROWS = 1 << 20, 150_000
 
 STEP = U(0x9E3779B97F4A7C15)
 BACK = U(pow(int(STEP), -1, 2**64))
