@@ -61,6 +61,16 @@ def crosses_ray(e: Column, lat: Column, lng: Column) -> Column:
     return ((i["lat"] > lat) != (j["lat"] > lat)) & (lng < at)
 
 
+def off_edge_sq(e: Column, lat: Column, lng: Column) -> Column:
+    """Squared distance in degrees of a point from an edge on the plane."""
+    i, j = e["i"], e["j"]
+    dy, dx = j["lat"] - i["lat"], j["lng"] - i["lng"]
+    n = dy * dy + dx * dx
+    t = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lat - i["lat"]) * dy + (lng - i["lng"]) * dx) / n)))
+    y, x = lat - i["lat"] - t * dy, lng - i["lng"] - t * dx
+    return y * y + x * x
+
+
 def onto_ring(lng: Column, west: Column) -> Column:
     """A longitude in the frame of a ring whose west end is ``west`` and which may go on beyond 180 degrees."""
     return F.when(lng < west, lng + 360).otherwise(lng)

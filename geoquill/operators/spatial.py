@@ -7,8 +7,11 @@ neighbours. Ties go to the smallest id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geoquill.functions import geo
@@ -27,9 +30,134 @@ def best(rows: DataFrame, by: list[str], order: list[Column], keep: int = 1, ran
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= keep)
 
 
+#: Degrees of a tile, whose points go to one task, at least; points and queries of a tile beyond which it is dealt out.
+TILE_DEG, TILE_POINTS, TILE_QUERIES = 16.0, 200_000, 100_000
+#: Degrees of a cell beyond which the world has too few to tell one side of a query from the other.
+WIDE_DEG = 40.0
+
+
+def _dealt(q: DataFrame, p: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_i`` and ``_j``: a tile with many points is cut into parts that every query meets, one with many
+    queries into parts that get all points, so no task holds more than a part of each. Crowded tiles alone are counted out
+    to all tasks: there are at most as many as the input has such parts."""
+    n = lambda side, c: side.groupBy(*keys).agg(F.count("*").alias(c))
+    sizes = n(q, "_nq").join(n(p, "_np"), keys).select(*keys, F.ceil(F.col("_np") / TILE_POINTS).cast("int").alias("_ni"), F.ceil(F.col("_nq") / TILE_QUERIES).cast("int").alias("_nj"))
+    crowded = F.broadcast(sizes.where("_ni > 1 or _nj > 1"))
+    one = F.lit(1)
+    last = lambda c: F.sequence(F.lit(0), F.coalesce(c, one) - 1)
+    some = lambda c, names: F.pmod(F.xxhash64(*names), F.coalesce(c, one)).cast("int")
+    q = q.join(crowded, keys, "left").select(*q.columns, F.explode(last(F.col("_ni"))).alias("_i"), some(F.col("_nj"), ["qid", "lat", "lng"]).alias("_j"))
+    p = p.join(crowded, keys, "left").select(*p.columns, some(F.col("_ni"), ["id", "_x0", "_y0"]).alias("_i"), F.explode(last(F.col("_nj"))).alias("_j"))
+    return q, p
+
+
+def _met(q: DataFrame, p: DataFrame, keys: list[str], out_q: list[str], out_p: list[str], search) -> DataFrame:
+    """Pairs that ``search(key, left, right)`` finds in each tile: columns ``out_q`` and ``out_p`` of its rows."""
+    fresh = lambda side: side.select(*[F.col(c).alias(c) for c in side.columns])
+    q, p = _dealt(fresh(q), fresh(p), keys)  # both may come from one table
+    keys = [*keys, "_i", "_j"]
+    fields = [q.schema[c] for c in out_q] + [p.schema[c] for c in out_p]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+    def scan(key, left, right):
+        import pyarrow as pa
+
+        if left.num_rows and right.num_rows:
+            i, o = search(key, left, right)
+        else:
+            i = o = []
+        i, o = pa.array(i, pa.int64()), pa.array(o, pa.int64())
+        cols = [left.column(c).take(i) for c in out_q] + [right.column(c).take(o) for c in out_p]
+        return pa.table(cols, names=[*out_q, *out_p])
+
+    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(scan, schema)
+
+
+def _ranks(column):
+    """Order of ids as numbers."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy()
+    return np.asarray(pc.rank(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, sort_keys="ascending", null_placement="at_start", tiebreaker="dense"))
+
+
+def _same(on: tuple[str, ...]) -> Column:
+    return F.xxhash64(*on) if on else F.lit(0).cast("long")
+
+
+def close_rows(queries: DataFrame, points: DataFrame, deg: float, keep: int = 1, within_m: float | None = None, on: tuple[str, ...] = (), rung: Column | None = None, may: Column | None = None, boxes: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """Of :func:`cell_join` the pairs that can be among the ``keep`` nearest of a query, with the same columns.
+
+    Tiles of cells meet the queries in and next to them; in a tile a packed tree answers each query, so nothing is paired that
+    is far behind the nearest. Columns in ``on`` must be equal (by 64 bits of hash). ``rung``: a number of a point, of which a
+    query sees only the least that has a point in reach (null: first); ``may``: rungs 0 to 62 that a query takes, as bits.
+    ``boxes``: columns of least latitude and longitude, largest latitude and longitude of objects that are no points.
+    """
+    cols, w = round(360 / deg), max(1, round(TILE_DEG / deg))
+    row, col = (lambda c: F.floor((c + 90) / deg)), (lambda c: F.floor((c + 180) / deg))
+    real = lambda *names: [F.col(c).isNotNull() & ~F.isnan(c) for c in names]
+    q = queries
+    for cond in real("lat", "lng"):
+        q = q.where(cond)
+    tile = lambda r, c: F.floor(r / w) * (1 << 20) + F.floor(F.pmod(c, F.lit(cols)) / w)
+    q = q.withColumns({"_r": row(F.col("lat")), "_c": F.pmod(col(F.col("lng")), F.lit(cols)), "_on": _same(on), "_may": may if may is not None else F.lit(-1).cast("long")})
+    tiles = F.array_distinct(F.array(*[tile(F.col("_r") + i, F.col("_c") + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    q = q.withColumn("_tile", F.explode(tiles))
+    kept = list(points.columns) if boxes else ["p_" + c if c in ("lat", "lng") else c for c in points.columns]
+    p = points if boxes else points.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"})
+    y0, x0, y1, x1 = boxes or ("p_lat", "p_lng", "p_lat", "p_lng")
+    for cond in real(*dict.fromkeys((y0, x0, y1, x1))):
+        p = p.where(cond)
+    p = p.withColumns({"_y0": F.col(y0), "_x0": F.col(x0), "_y1": F.col(y1), "_x1": F.col(x1), "_r0": row(F.col(y0)), "_c0": col(F.col(x0)), "_r1": row(F.col(y1)), "_c1": col(F.col(x1)), "_on": _same(on), "_rung": F.lit(0).cast("long") if rung is None else F.coalesce(rung.cast("long"), F.lit(-(1 << 62)))})
+    if may is not None:
+        p = p.where(F.col("_rung").between(0, 62))
+    if boxes:
+        across = F.array_distinct(F.transform(F.sequence("_c0", "_c1"), lambda c: F.floor(F.pmod(c, F.lit(cols)) / w)))
+        down = F.sequence(F.floor(F.col("_r0") / w), F.floor(F.col("_r1") / w))
+        p = p.withColumn("_tile", F.explode(F.flatten(F.transform(down, lambda r: F.transform(across, lambda c: r * (1 << 20) + c)))))
+    else:
+        p = p.withColumn("_tile", tile(F.col("_r0"), F.col("_c0")))
+    reach = math.inf if within_m is None else math.degrees(within_m / geo.EARTH_M) ** 2 * (1 + 1e-8)
+    out_q, out_p = list(queries.columns), [c for c in kept if c not in on]
+    point, limited = boxes is None, may is not None
+
+    def search(key, left, right):
+        import numpy as np
+
+        from geoquill.operators import proximity
+
+        get = lambda t, c: t.column(c).to_numpy()
+        mid = (key[0].as_py() % (1 << 20)) * w + w // 2
+        turn = lambda x: x - 360 * np.round((x - ((mid + 0.5) * deg - 180)) / 360)
+        wheel = lambda c: (c - mid + cols // 2) % cols - cols // 2 + mid
+        a0 = turn(get(right, "_x0"))
+        lo, hi = np.stack([get(right, "_y0"), a0], 1), np.stack([get(right, "_y1"), a0 + (get(right, "_x1") - get(right, "_x0"))], 1)
+        c0 = wheel(get(right, "_c0"))
+        cells = np.stack([get(right, "_r0"), get(right, "_r1"), c0, c0 + get(right, "_c1") - get(right, "_c0")], 1)
+        lat = get(left, "lat").astype(float)
+        at = np.stack([get(left, "_r"), wheel(get(left, "_c"))], 1)
+        spot = np.stack([lat, turn(get(left, "lng").astype(float))], 1)
+        scale = np.stack([np.ones(len(lat)), np.cos(np.radians(lat))], 1)
+        rank = _ranks(right.column("id")) if point else None
+        return proximity.laddered(get(left, "_on"), get(right, "_on"), get(right, "_rung"), get(left, "_may") if limited else None, lo, hi, cells, rank, spot, scale, at, keep, np.full(len(lat), reach))
+
+    return _met(q, p, ["_tile"], out_q, out_p, search)
+
+
+def _near(queries: DataFrame, points: DataFrame, deg: float, within_m: float | None, **how) -> DataFrame:
+    """:func:`close_rows` with squared distances; cells that are too wide for tiles are joined."""
+    if deg > WIDE_DEG and not how.get("on") and how.get("may") is None:
+        return cell_join(queries, points, deg)
+    rows = close_rows(queries, points, deg, within_m=within_m, **how)
+    return rows.withColumn("d", geo.dist_sq(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")))
+
+
 def nearest(queries: DataFrame, points: DataFrame, deg: float, within_m: float | None = None) -> DataFrame:
     """Nearest point of each query, within a radius if given."""
-    rows = cell_join(queries, points, deg)
+    rows = _near(queries, points, deg, within_m)
     if within_m is not None:
         rows = rows.where(F.col("d") < geo.cutoff(within_m))
     return best(rows, ["qid"], [F.col("d"), F.col("id")]).drop("rn")
@@ -37,22 +165,82 @@ def nearest(queries: DataFrame, points: DataFrame, deg: float, within_m: float |
 
 def nearest_ranked(queries: DataFrame, points: DataFrame, deg: float, within_m: float | None = None) -> DataFrame:
     """Best rank first, then nearest: places and points of interest."""
-    rows = cell_join(queries, points, deg)
+    rows = _near(queries, points, deg, within_m, rung=F.col("rank"))
     if within_m is not None:
         rows = rows.where(F.col("d") <= geo.cutoff(within_m))
     return best(rows, ["qid"], [F.col("rank"), F.col("d"), F.col("id")]).drop("rn")
 
 
+def nearest_on_ladder(queries: DataFrame, points: DataFrame, deg: float, rung: Column, may: Column | None, order: list[Column], on: tuple[str, ...] = (), within_m: float | None = None) -> DataFrame:
+    """Nearest point on the first rung that answers. ``order`` ranks what :func:`close_rows` leaves and begins with the rung."""
+    rows = _near(queries, points, deg, within_m, rung=rung, may=may, on=on)
+    if within_m is not None:
+        rows = rows.where(F.col("d") < geo.cutoff(within_m))
+    return best(rows, ["qid"], order).drop("rn")
+
+
 def within_radius(queries: DataFrame, points: DataFrame, deg: float, radius_m: float, keep: int | None, on: tuple[str, ...] = ()) -> DataFrame:
     """Every point within a radius, nearest first, the first ``keep``: a report, so the limit is its feature. Without one
-    (None) nothing is ranked. Columns in ``on`` must be equal."""
+    (None) nothing is ranked. Columns in ``on`` must be equal.
+
+    With a limit cells are searched, each by a packed tree over the unit sphere; without one every pair is wanted and joined."""
     q = queries.select("*", F.explode(geo.cells_in_radius(F.col("lat"), F.col("lng"), deg, radius_m)).alias("_cell"))
     p = points.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}).withColumn("_cell", geo.cell(F.col("p_lat"), F.col("p_lng"), deg))
-    rows = q.join(p, ["_cell", *on]).drop("_cell")
+    if keep is None:
+        rows = q.join(p, ["_cell", *on]).drop("_cell")
+    else:
+        out_p = [c for c in p.columns if c not in ("_cell", *on)]
+        p = p.where(F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull() & ~F.isnan("p_lat") & ~F.isnan("p_lng"))
+        q = q.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & ~F.isnan("lat") & ~F.isnan("lng")).withColumn("_on", _same(on))
+        rows = _met(q, p.withColumns({"_on": _same(on), "_y0": F.col("p_lat"), "_x0": F.col("p_lng")}), ["_cell"], list(queries.columns), out_p, on_sphere(radius_m, keep))
     rows = rows.withColumn("metres", geo.haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where(F.col("metres") <= radius_m)
     return rows if keep is None else best(rows, ["qid"], [F.round("metres", 3), F.col("id")], keep)
 
 
+def radius_links(points: DataFrame, radius_m: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (a, b) between ``points`` (id, lat, lng, on) that join what chains of points within a radius of each other join.
+
+    Points of one cell, whose diagonal the radius covers, all lie within it and hang on the least of them. Two cells are
+    joined if a point of one has its nearest of the other in the radius: a look-up for each point and cell, not each pair.
+    """
+    cols = max(6, math.ceil(360 / (0.99 * math.degrees(radius_m / geo.EARTH_M) / math.sqrt(2))))
+    deg = 360 / cols
+    rows = points.select("id", "lat", "lng", *on, geo.cell(F.col("lat"), F.col("lng"), deg).alias("_cell"))
+    rows = rows.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & ~F.isnan("lat") & ~F.isnan("lng"))
+    for c in on:
+        rows = rows.where(F.col(c).isNotNull())
+    hubs = rows.groupBy(*on, "_cell").agg(F.min("id").alias("_hub"))
+    rows = rows.join(hubs, [*on, "_cell"]).withColumn("_on", _same(on))
+    stars = rows.where("id <> _hub").select(F.col("id").alias("a"), F.col("_hub").alias("b"))
+    p = rows.select("id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.col("lat").alias("_y0"), F.col("lng").alias("_x0"), "_on", "_cell", F.col("_hub").alias("b"))
+    q = rows.select(F.col("id").alias("qid"), "lat", "lng", "_on", F.col("_hub").alias("a"), *on, F.explode(geo.cells_in_radius(F.col("lat"), F.col("lng"), deg, radius_m)).alias("_cell"))
+    q = q.join(hubs, [*on, "_cell"]).where("_hub < a")
+    met = _met(q, p, ["_cell"], ["a", "lat", "lng"], ["b", "p_lat", "p_lng"], on_sphere(radius_m, 1))
+    met = met.where(geo.haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")) <= radius_m)
+    return stars.unionByName(met.select("a", "b").distinct())
+
+
+def on_sphere(radius_m: float, keep: int):
+    """The search of :func:`_met` for the ``keep`` nearest by great circles; distances within six millimetres count as ties,
+    as they are ranked by the millimetre."""
+
+    def search(key, left, right):
+        import numpy as np
+
+        from geoquill.operators import proximity
+
+        def unit(t, a, b):
+            y, x = np.radians(t.column(a).to_numpy().astype(float)), np.radians(t.column(b).to_numpy().astype(float))
+            return np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], 1)
+
+        p, q = unit(right, "p_lat", "p_lng"), unit(left, "lat", "lng")
+        reach = 4.0 if radius_m >= math.pi * geo.EARTH_M else (2 * math.sin(radius_m / geo.EARTH_M / 2)) ** 2
+        on_p = right.column("_on").to_numpy()
+        return proximity.laddered(left.column("_on").to_numpy(), on_p, np.zeros(len(p), np.int64), None, p, p, None, _ranks(right.column("id")), q, None, None, keep, np.full(len(q), reach), 1e-9)
+
+    return search
+
+
 def segments(ways: DataFrame) -> DataFrame:
     """One row per pair of consecutive nodes of ``ways`` (id, nodes): seg, a_lat, a_lng, b_lat, b_lng, and metres before."""
     n = F.col("nodes")
@@ -70,13 +258,12 @@ def nearest_way(queries: DataFrame, ways: DataFrame, deg: float) -> DataFrame:
     """Nearest way over its segments, with the arc position of the foot: streets and interpolation ways."""
     seg = segments(ways)
     far = F.col("a_lng") + geo.half_turn(F.col("b_lng") - F.col("a_lng"))
-    box = F.struct(F.least("a_lat", "b_lat").alias("lat0"), F.least(F.col("a_lng"), far).alias("lng0"), F.greatest("a_lat", "b_lat").alias("lat1"), F.greatest(F.col("a_lng"), far).alias("lng1"))
-    seg = seg.withColumn("_cell", F.explode(geo.cells_of_box(box, deg)))
-    q = queries.select("*", F.explode(geo.cells_around(F.col("lat"), F.col("lng"), deg)).alias("_cell"))
+    seg = seg.withColumns({"_lat0": F.least("a_lat", "b_lat"), "_lng0": F.least(F.col("a_lng"), far), "_lat1": F.greatest("a_lat", "b_lat"), "_lng1": F.greatest(F.col("a_lng"), far)})
+    rows = close_rows(queries, seg, deg, boxes=("_lat0", "_lng0", "_lat1", "_lng1")).drop("_lat0", "_lng0", "_lat1", "_lng1")
     at = [F.col(c) for c in ("lat", "lng", "a_lat", "a_lng", "b_lat", "b_lng")]
-    rows = q.join(seg, "_cell").withColumn("d", geo.segment_dist_sq(*at)).withColumn("foot", geo.foot_on_segment(*at))
+    rows = rows.withColumn("d", geo.segment_dist_sq(*at)).withColumn("foot", geo.foot_on_segment(*at))
     rows = rows.withColumn("t", F.when(F.col("total") == 0, 0.0).otherwise((F.col("before") + F.col("foot") * F.col("size")) / F.col("total")))
-    return best(rows, ["qid"], [F.col("d"), F.col("id"), F.col("seg")]).drop("rn", "_cell")
+    return best(rows, ["qid"], [F.col("d"), F.col("id"), F.col("seg")]).drop("rn")
 
 
 def _edge_box(e: Column) -> Column:
@@ -126,17 +313,21 @@ def ring_bands(polygons: DataFrame, deg: float) -> DataFrame:
     return rows.groupBy("id", "_row").agg(F.collect_list("e").alias("edges"), F.first("west").alias("west"))
 
 
-def point_in_polygon(queries: DataFrame, polygons: DataFrame, deg: float) -> DataFrame:
+def point_in_polygon(queries: DataFrame, polygons: DataFrame, deg: float, border: float = 0.0) -> DataFrame:
     """All (query, polygon) pairs with the point inside: columns of both, but not the ring.
 
     Points meet cells, which hold no rings. Interior cells answer at once; a point in another cell meets the edges of its
-    polygon that span its row of cells, and counts crossings among those, which is the ray cast over the whole ring.
+    polygon that span its row of cells, and counts crossings among those, which is the ray cast over the whole ring. With
+    ``border`` points within so many degrees of an edge count too, for a caller that decides them.
     """
     q = queries.withColumn("_cell", geo.cell(F.col("lat"), F.col("lng"), deg))
     met = q.join(polygon_cells(polygons, deg), "_cell").withColumn("_row", F.floor((F.col("lat") + 90) / deg))
     near = met.where("not _interior").join(ring_bands(polygons, deg), ["id", "_row"])
     x = geo.onto_ring(F.col("lng"), F.col("west"))
-    near = near.where(F.size(F.filter("edges", lambda e: geo.crosses_ray(e, F.col("lat"), x))) % 2 == 1)
+    inside = F.size(F.filter("edges", lambda e: geo.crosses_ray(e, F.col("lat"), x))) % 2 == 1
+    if border:
+        inside = inside | F.exists("edges", lambda e: geo.off_edge_sq(e, F.col("lat"), x) <= border * border)
+    near = near.where(inside)
     out = [c for c in met.columns if c not in ("_cell", "_row", "_interior")]
     return met.where("_interior").select(*out).unionByName(near.select(*out))
 

@@ -78,7 +78,7 @@ ADDR_NEAR = f"select q.qid, p.*, {DSQ.format(a='q', b='p')} as dd from coords q
 
 @query("j01_nearest_address", tg.cte("coords", "addresses") + f", r as ({ADDR_NEAR}), s as (select *, row_number() over (partition by qid order by dd, id) rn from r) select qid, id, housenumber, street, round(6371000.0*sqrt(dd),3) metres from s where rn=1")
 def j01(spark, sf):
-    rows = op.nearest(tg.table(spark, sf, "coords"), tg.table(spark, sf, "addresses"), 1)
+    rows = op.nearest(tg.table(spark, sf, "coords"), tg.table(spark, sf, "addresses").select("id", "lat", "lng", "housenumber", "street"), 1)
     return rows.select("qid", "id", "housenumber", "street", F.round(geo.metres(F.col("d")), 3).alias("metres"))
 
 
@@ -119,14 +119,17 @@ def j05(spark, sf):
 @query("j08_source_ladder", tg.cte("coords", "addresses") + f", r as ({ADDR_NEAR}), s as (select *, row_number() over (partition by qid order by source, case when unit is null then 1 else 0 end, dd, id) rn from r where not (source = 0 and qid % 2 = 0)) select qid, id, source from s where rn=1")
 def j08(spark, sf):
     """First source that answers: the national file only for its own country, then the open one, then the map."""
-    rows = op.cell_join(tg.table(spark, sf, "coords"), tg.table(spark, sf, "addresses"), 1).where("not (source = 0 and qid % 2 = 0)")
-    return op.best(rows, ["qid"], [F.col("source"), F.col("unit").isNull().cast("int"), F.col("d"), F.col("id")]).select("qid", "id", "source")
+    bare = F.col("unit").isNull().cast("int")
+    own = F.when(F.col("qid") % 2 == 0, F.lit(~3)).otherwise(F.lit(-1)).cast("long")
+    order = [F.col("source"), bare, F.col("d"), F.col("id")]
+    a = tg.table(spark, sf, "addresses").select("id", "lat", "lng", "source", "unit")
+    return op.nearest_on_ladder(tg.table(spark, sf, "coords"), a, 1, 2 * F.col("source") + bare, own, order).select("qid", "id", "source")
 
 
 @query("j10_nearest_across_shards", tg.cte("coords", "addresses") + f", r as ({ADDR_NEAR}), s as (select *, row_number() over (partition by qid, source order by dd, id) rn from r), t as (select *, row_number() over (partition by qid order by dd, id) best from s where rn=1) select qid, id, source from t where best=1")
 def j10(spark, sf):
     """Nearest point of each shard, then the nearest of those."""
-    q, a = tg.table(spark, sf, "coords"), tg.table(spark, sf, "addresses")
+    q, a = tg.table(spark, sf, "coords"), tg.table(spark, sf, "addresses").select("id", "lat", "lng", "source")
     found = None
     for s in range(3):
         one = op.nearest(q, a.where(F.col("source") == s), 1)
