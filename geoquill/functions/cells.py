@@ -73,40 +73,58 @@ def token(cell: int) -> str:
     return f"{cell & (2**64 - 1):016x}".rstrip("0") or "X"
 
 
+def weights(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """For each vertex (lat, lng) the squared tolerance in degrees up to which the Douglas-Peucker rule keeps it; infinite at
+    the ends. The farthest vertex of a stretch does not depend on the tolerance, so one descent serves all; that of all rings
+    goes on together."""
+    size = np.array([len(r) for r in rings], np.int64)
+    end = np.cumsum(size)
+    out = np.zeros(int(size.sum()))
+    real = size > 0
+    out[(end - size)[real]] = out[(end - 1)[real]] = np.inf
+    flat = np.concatenate([np.asarray(r, float).reshape(-1, 2) for r in rings]) if rings else np.zeros((0, 2))
+    a, b = (end - size)[size > 2], (end - 1)[size > 2]
+    above = np.full(len(a), np.inf)
+    while len(a):
+        n = b - a - 1
+        head = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(a)), n)
+        at = np.arange(int(n.sum())) - head[own] + a[own] + 1
+        d = flat[b] - flat[a]
+        length, rel = (d * d).sum(1), flat[at] - flat[a][own]
+        t = np.clip((rel * d[own]).sum(1) / np.where(length > 0, length, 1.0)[own], 0, 1)
+        far = ((rel - np.where(length > 0, 1.0, 0.0)[own][:, None] * t[:, None] * d[own]) ** 2).sum(1)
+        most = np.maximum.reduceat(far, head)
+        first = np.minimum.reduceat(np.where(far == most[own], at, len(flat)), head)
+        above = np.minimum(above, most)
+        out[first] = above
+        a, b, above = np.r_[a, first], np.r_[first, b], np.r_[above, above]
+        go = b - a >= 2
+        a, b, above = a[go], b[go], above[go]
+    return np.split(out, end[:-1]) if rings else []
+
+
 def simplify(ring: np.ndarray, eps: float) -> np.ndarray:
     """Vertices (lat, lng) that stay within ``eps`` degrees by the Douglas-Peucker rule; the ends stay."""
-    keep = np.zeros(len(ring), bool)
-    if len(ring):
-        keep[[0, -1]] = True
-    todo = [(0, len(ring) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        p, d = ring[a], ring[b] - ring[a]
-        rel, n = ring[a + 1 : b] - p, float(d @ d)
-        t = np.clip(rel @ d / n, 0, 1) if n else np.zeros(len(rel))
-        far = ((rel - t[:, None] * d) ** 2).sum(1)
-        k = int(far.argmax())
-        if far[k] > eps * eps:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return ring[keep]
-
-
-def simplify_to(ring: np.ndarray, most: int, rounds: int = 24) -> np.ndarray:
-    """At most ``most`` vertices: the tolerance is found by bisection; short rings stay as they are."""
+    return ring[weights([ring])[0] > eps * eps] if len(ring) else ring
+
+
+def simplify_to(ring: np.ndarray, most: int, rounds: int = 24, weight: np.ndarray | None = None) -> np.ndarray:
+    """At most ``most`` vertices: the tolerance is found by bisection; short rings stay as they are. ``weight``: as
+    :func:`weights` gives it."""
     if len(ring) <= most:
         return ring
-    lo, hi, best = 0.0, float(np.ptp(ring, 0).max()) or 1.0, ring[[0, len(ring) // 2, -1]]
+    weight = weights([ring])[0] if weight is None else weight
+    order = np.sort(weight)
+    lo, hi, best = 0.0, float(np.ptp(ring, 0).max()) or 1.0, None
     for _ in range(rounds):
         mid = (lo + hi) / 2
-        got = simplify(ring, mid)
-        if len(got) > most:
+        n = len(order) - int(order.searchsorted(mid * mid, "right"))
+        if n > most:
             lo = mid
         else:
-            hi, best = mid, got if len(got) >= 3 else best
-    return best
+            hi, best = mid, mid if n >= 3 else best
+    return ring[[0, len(ring) // 2, -1]] if best is None else ring[weight > best * best]
 
 
 def simplified(polygons: DataFrame, most: int) -> DataFrame:
@@ -154,39 +172,46 @@ def neighbours(lat: np.ndarray, lng: np.ndarray, level: int) -> np.ndarray:
     return cell_ids(y.ravel(), x.ravel(), level).reshape(y.shape)
 
 
-def crosses_itself(ring: np.ndarray) -> bool:
-    """Whether two edges of a closed ring that are not neighbours meet."""
+def crosses_itself(ring: np.ndarray, block: int = 1 << 16) -> bool:
+    """Whether two edges of a closed ring that are not neighbours meet. Edges are taken against all others, as many at a time
+    as make ``block`` pairs: memory stays linear."""
     a, b = ring, np.roll(ring, -1, 0)
-    turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    turn = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
     n = len(ring)
-    for k in range(n - 2):  # one edge against all later ones: memory stays linear
-        c, d = a[k + 2 : n - (k == 0)], b[k + 2 : n - (k == 0)]
-        if len(c) and ((turn(a[k], b[k], c) * turn(a[k], b[k], d) <= 0) & (turn(c, d, a[k][None]) * turn(c, d, b[k][None]) <= 0)).any():
+    step = max(1, block // max(n, 1))
+    for k in range(0, n - 2, step):
+        i, j = np.arange(k, min(k + step, n - 2))[:, None], np.arange(k + 2, n)[None]
+        p, q, c, d = a[i], b[i], a[j], b[j]
+        split = lambda u, v: ((u <= 0) & (v >= 0)) | ((u >= 0) & (v <= 0))
+        if (split(turn(p, q, c), turn(p, q, d)) & split(turn(c, d, p), turn(c, d, q)) & (j >= i + 2) & ((i > 0) | (j < n - 1))).any():
             return True
     return False
 
 
-def simplify_valid(ring: np.ndarray, cap: int, most: int) -> np.ndarray:
+def simplify_valid(ring: np.ndarray, cap: int, most: int, weight: np.ndarray | None = None) -> np.ndarray:
     """A ring of about ``cap`` vertices that does not cross itself; the cap doubles up to ``most`` until one does not. If all
     do, the first is kept."""
-    first = simplify_to(ring, cap)
+    first = simplify_to(ring, cap, weight=weight)
     out = first
     while len(out) >= 4 and crosses_itself(out):
         if cap >= min(len(ring), most):
             return first
         cap = min(cap * 2, most)
-        out = simplify_to(ring, cap)
+        out = simplify_to(ring, cap, weight=weight)
     return out
 
 
 def simplified_valid(polygons: DataFrame, most: int) -> DataFrame:
-    """``polygons`` (id, ring, cap) with their rings simplified to their caps, by Arrow batches."""
+    """``polygons`` (id, ring, cap) with their rings simplified to their caps, by Arrow batches. Rings are dealt to all tasks
+    first, as their table may be one small file."""
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    polygons = polygons.repartition(tasks, "id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in polygons.schema)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rings = [np.array([(v["lat"], v["lng"]) for v in r], float) for r in b["ring"]]
-            done = [simplify_valid(r, int(c), most) for r, c in zip(rings, b["cap"], strict=True)]
+            done = [simplify_valid(r, int(c), most, w) for r, c, w in zip(rings, b["cap"], weights(rings), strict=True)]
             yield b.assign(ring=[[{"lat": float(y), "lng": float(x)} for y, x in r] for r in done])
 
     return polygons.mapInPandas(scan, fields)
