@@ -9,6 +9,7 @@ from geoquill.functions import geo
 from geoquill.functions import text as tx
 from geoquill.operators import relational as rel
 from geoquill.operators import search as se
+from geoquill.operators import addresses as adr
 from geoquill.operators import spatial as sp
 
 from . import testgeo as tg
@@ -92,9 +93,10 @@ def f28(spark, sf):
 @query("j09_house_lookup", tg.cte("coords", "addresses") + ", q as (select * from coords), c as (select q.qid, p.id, p.unit, power(radians(q.lat-p.lat),2)+power(radians((q.lng-p.lng)-360*round((q.lng-p.lng)/360))*cos(radians(q.lat)),2) d, cast(regexp_extract(split_part(housenumber,'-',1),'^(\\d+)',1) as bigint) f, cast(regexp_extract(case when position('-' in housenumber)>0 then split_part(housenumber,'-',2) else housenumber end,'^(\\d+)',1) as bigint) l from q join addresses p on abs(floor((q.lat+90)/2)-floor((p.lat+90)/2))<=1 and (abs(floor((q.lng+180)/2)-floor((p.lng+180)/2))<=1 or abs(floor((q.lng+180)/2)-floor((p.lng+180)/2))>=179)), r as (select *, row_number() over (partition by qid order by case when unit is null then 0 else 1 end, d, id) rn from c where f<=qid%90+1 and l>=qid%90+1) select qid, id from r where rn=1")
 def j09(spark, sf):
     """Nearest address whose number or range holds the one asked for, without a unit first."""
-    rows = sp.cell_join(tg.table(spark, sf, "coords"), tg.table(spark, sf, "addresses"), 2)
-    rows = rows.where(tx.house_matches((F.col("qid") % 90 + 1).cast("string"), F.col("housenumber")))
-    return sp.best(rows, ["qid"], [F.col("unit").isNotNull().cast("int"), F.col("d"), F.col("id")]).select("qid", "id")
+    coords = tg.table(spark, sf, "coords").withColumn("q_house", (F.col("qid") % 90 + 1).cast("string"))
+    q, p = adr.by_house(coords, tg.table(spark, sf, "addresses").select("id", "lat", "lng", "housenumber", "unit"))
+    with_unit = F.col("unit").isNotNull().cast("int")
+    return sp.nearest_on_ladder(q, p, 2, with_unit, None, [with_unit, F.col("d"), F.col("id")], ("_house",)).select("qid", "id")
 
 
 @query("j13_names_by_language", "select n_nationkey as id, coalesce(case when n_nationkey%2=0 then concat(n_name,'_fr') end, n_name) as name from nation")
