@@ -64,9 +64,8 @@ class Engine:
             near = sp.nearest_ranked(q, self.tables["places"].select("id", "name", "lat", "lng", "rank"), self.place_deg)
             out = out.join(near.select("qid", F.col("name").alias("near_city")), "qid", "left").withColumn("city", F.coalesce("city", "near_city")).drop("near_city")
         if self._has("addresses"):
-            a = self.tables["addresses"]
-            rows = sp.cell_join(q, a, self.address_deg).where(F.col("d") < geo.cutoff(ADDRESS_M))
-            rows = sp.best(rows, ["qid"], [F.col("source"), F.col("d"), F.col("id")])
+            a = self.tables["addresses"].select("id", "lat", "lng", "housenumber", "street", "postcode", "city", "source")
+            rows = sp.nearest_on_ladder(q, a, self.address_deg, F.col("source"), None, [F.col("source"), F.col("d"), F.col("id")], within_m=ADDRESS_M)
             out = out.join(rows.select("qid", F.col("housenumber").alias("a_house"), F.col("street").alias("a_road"), F.col("postcode").alias("a_post"), F.col("city").alias("a_city")), "qid", "left")
         else:
             out = out.select("*", *[F.lit(None).cast("string").alias(c) for c in ("a_house", "a_road", "a_post", "a_city")])
