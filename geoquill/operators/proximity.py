@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Children of a node, and queries that go down the tree together.
-FAN, CHUNK = 4, 40_000
+FAN, CHUNK = 4, 2_000
 #: Rounding between this search and the caller's measure, as a share of the squared distance.
 EPS = 1e-9
 
@@ -30,9 +30,11 @@ def _curve(mid: np.ndarray) -> np.ndarray:
 class Tree:
     """Packed trees, one for each segment (0, 1, ... without gaps): levels of (lo, hi, count, cells, first child)."""
 
-    def __init__(self, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, cells: np.ndarray | None):
-        """``cells``: first and last row, first and last column of each object, or None if all are eligible."""
+    def __init__(self, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, cells: np.ndarray | None, ends: np.ndarray | None = None):
+        """``cells``: first and last row, first and last column of each object, or None if all are eligible. ``ends``: latitude
+        and longitude of both ends of objects that are straight lines from corner to corner of their boxes."""
         self.order = np.lexsort((_curve((lo + hi) / 2), seg))
+        self.ends = None if ends is None else list(np.ascontiguousarray(ends[self.order].T))
         s, lo, hi = seg[self.order], lo[self.order], hi[self.order]
         count = np.ones(len(s), np.int64)
         # of the members: least and largest first, least and largest last, of rows and of columns
@@ -49,56 +51,118 @@ class Tree:
                 least, most = np.minimum.reduceat(span, heads), np.maximum.reduceat(span, heads)
                 span = np.where(np.arange(8) % 2 == 0, least, most)
             self.levels.append((lo, hi, count, span, ends))
+        side = lambda t: None if t is None else list(np.ascontiguousarray(t.T))
+        self.levels = [(side(lo), side(hi), count, side(span), ends) for lo, hi, count, span, ends in self.levels]
 
     def search(self, q: np.ndarray, scale: np.ndarray | None, seg: np.ndarray, at: np.ndarray | None, k: int, cap: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, object, least squared distance) of all that may be among the k nearest of their query's segment, with a
         squared distance of ``cap`` at most. ``at``: row and column of each query, which see the neighbouring cells only."""
-        parts = [self._some(q, scale, seg, at, k, cap, slack, np.arange(a, min(a + CHUNK, len(q)))) for a in range(0, len(q), CHUNK)]
+        q, scale, at = ([None] if t is None else list(np.ascontiguousarray(t.T)) for t in (q, scale, at))
+        parts = []
+        for a in range(0, len(q[0]), CHUNK):
+            rows = np.arange(a, min(a + CHUNK, len(q[0])))
+            bound = cap[rows].astype(float)
+            if k == 1:
+                bound = np.minimum(bound, self._first(q, scale, seg, at, rows))
+            parts.append(self._some(q, scale, seg, at, k, bound, slack, rows))
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def _some(self, q, scale, seg, at, k, cap, slack, rows):
-        qi, node, bound = rows, seg[rows], cap.astype(float).copy()
+    def _apart(self, depth, qi, node, q, scale, far):
+        """Least or largest (``far``) squared distance of members from queries."""
+        if depth == 0 and self.ends is not None:
+            return self._to_line(qi, node, q, scale)
+        lo, hi, total = self.levels[depth][0], self.levels[depth][1], 0.0
+        for d in range(len(lo)):
+            x = q[d].take(qi)
+            under, over = lo[d].take(node) - x, x - hi[d].take(node)
+            off = np.minimum(under, over) if far else np.maximum(np.maximum(under, over), 0.0)
+            if scale[0] is not None:
+                off = off * scale[d].take(qi)
+            total = total + off * off
+        return total
+
+    def _beside(self, depth, qi, node, at, whole):
+        """Whether any or all (``whole``) members are in cells next to the query's; None if that does not matter."""
+        span = self.levels[depth][3]
+        if span is None:
+            return None
+        r, c = at[0].take(qi), at[1].take(qi)
+        i, j, k, m = (1, 2, 5, 6) if whole else (0, 3, 4, 7)
+        return (span[i].take(node) <= r + 1) & (span[j].take(node) >= r - 1) & (span[k].take(node) <= c + 1) & (span[m].take(node) >= c - 1)
+
+    def _children(self, depth, qi, node):
+        ends = self.levels[depth][4]
+        first = ends.take(node)
+        n = ends.take(node + 1) - first
+        return np.repeat(qi, n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def _first(self, q, scale, seg, at, rows):
+        """Squared distance of one object for each of ``rows``, found by going down to the nearest child only; else infinite."""
+        qi, node, bound = rows, seg[rows], np.full(len(rows), np.inf)
         for depth in range(len(self.levels) - 1, -1, -1):
-            lo, hi, count, span, _ = self.levels[depth]
+            near, some = self._apart(depth, qi, node, q, scale, False), self._beside(depth, qi, node, at, False)
+            if some is not None:
+                near = np.where(some, near, np.inf)
+            heads = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+            hit = np.flatnonzero(near == np.repeat(np.minimum.reduceat(near, heads), np.diff(np.r_[heads, len(qi)])))
+            hit = hit[np.r_[True, qi[hit[1:]] != qi[hit[:-1]]] & np.isfinite(near[hit])]
+            qi, node = qi[hit], node[hit]
             if len(qi) == 0:
-                break
-            x = q[qi]
-            under, over = lo[node] - x, x - hi[node]
-            near, far = np.maximum(np.maximum(under, over), 0.0), np.maximum(hi[node] - x, x - lo[node])
-            if scale is not None:
-                near, far = near * scale[qi], far * scale[qi]
-            near, far = (near * near).sum(1), (far * far).sum(1)
-            keep = near <= self._loose(bound[qi], slack)
-            if span is not None:
-                r, c, s = at[qi, 0], at[qi, 1], span[node]
-                keep &= (s[:, 0] <= r + 1) & (s[:, 3] >= r - 1) & (s[:, 4] <= c + 1) & (s[:, 7] >= c - 1)
-                whole = (s[:, 1] <= r + 1) & (s[:, 2] >= r - 1) & (s[:, 5] <= c + 1) & (s[:, 6] >= c - 1)
-                far = np.where(whole, far, np.inf)
-            qi, node, near, far = qi[keep], node[keep], near[keep], far[keep]
+                return bound
+            if depth:
+                qi, node = self._children(depth, qi, node)
+        bound[qi - rows[0]] = self._apart(0, qi, node, q, scale, True)
+        return bound
+
+    def _some(self, q, scale, seg, at, k, bound, slack, rows):
+        qi, node, start = rows, seg[rows], rows[0]
+        limit = self._loose(bound, slack)
+        told = k == 1 and bool(np.isfinite(bound).all())  # then nodes have nothing to add before the objects
+        for depth in range(len(self.levels) - 1, -1, -1):
+            near = self._apart(depth, qi, node, q, scale, False)
+            keep = np.flatnonzero(near <= limit.take(qi - start))
+            qi, node, near = qi.take(keep), node.take(keep), near.take(keep)
+            some = self._beside(depth, qi, node, at, False)
+            if some is not None:
+                keep = np.flatnonzero(some)
+                qi, node, near = qi.take(keep), node.take(keep), near.take(keep)
             if len(qi) == 0:
-                break
-            heads = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
-            if k == 1:
-                least = np.minimum.reduceat(far, heads)
-            else:
-                by = np.lexsort((far, qi))
-                n = np.cumsum(count[node][by])
-                base = np.repeat(n[heads] - count[node][by][heads], np.diff(np.r_[heads, len(qi)]))
-                least = np.minimum.reduceat(np.where(n - base >= k, far[by], np.inf), heads)
-            bound[qi[heads]] = np.minimum(bound[qi[heads]], least)
-            keep = near <= self._loose(bound[qi], slack)
-            qi, node, near = qi[keep], node[keep], near[keep]
+                return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            if depth == 0 or not told:
+                far = near if depth == 0 and self.ends is not None else self._apart(depth, qi, node, q, scale, True)
+                whole = self._beside(depth, qi, node, at, True) if depth else None
+                if whole is not None:
+                    far = np.where(whole, far, np.inf)
+                heads = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+                if k == 1:
+                    least = np.minimum.reduceat(far, heads)
+                else:
+                    held = self.levels[depth][2].take(node)
+                    by = np.lexsort((far, qi))
+                    n = np.cumsum(held[by])
+                    base = np.repeat(n[heads] - held[by][heads], np.diff(np.r_[heads, len(qi)]))
+                    least = np.minimum.reduceat(np.where(n - base >= k, far[by], np.inf), heads)
+                seen = qi[heads] - start
+                bound[seen] = np.minimum(bound[seen], least)
+                limit[seen] = self._loose(bound[seen], slack)
+                keep = np.flatnonzero(near <= limit.take(qi - start))
+                qi, node, near = qi.take(keep), node.take(keep), near.take(keep)
             if depth:
-                ends = self.levels[depth][4]
-                n = ends[node + 1] - ends[node]
-                start = np.repeat(ends[node] - (np.cumsum(n) - n), n)
-                qi, node = np.repeat(qi, n), start + np.arange(int(n.sum()))
-        if len(qi) == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                qi, node = self._children(depth, qi, node)
         return qi, self.order[node], near
 
+    def _to_line(self, qi, node, q, scale):
+        """Squared distance of each query from the line of its node."""
+        a_y, a_x, b_y, b_x = (e.take(node) for e in self.ends)
+        by = [s.take(qi) for s in scale]
+        dy, dx, py, px = (b_y - a_y) * by[0], (b_x - a_x) * by[1], (q[0].take(qi) - a_y) * by[0], (q[1].take(qi) - a_x) * by[1]
+        n = dy * dy + dx * dx
+        t = np.clip((py * dy + px * dx) / np.where(n == 0, 1.0, n), 0.0, 1.0)
+        py, px = py - t * dy, px - t * dx
+        return py * py + px * px
+
     @staticmethod
     def _loose(bound: np.ndarray, slack: float) -> np.ndarray:
         return (np.sqrt(bound) * (1 + EPS) + slack) ** 2 + 1e-24
@@ -113,15 +177,16 @@ def first_copies(seg: np.ndarray, at: np.ndarray, rank: np.ndarray, k: int) -> n
     return by[pos < k]
 
 
-def laddered(on_q: np.ndarray, on_p: np.ndarray, rung: np.ndarray, may: np.ndarray | None, lo: np.ndarray, hi: np.ndarray, cells: np.ndarray | None, rank: np.ndarray | None, q: np.ndarray, scale: np.ndarray | None, at: np.ndarray | None, k: int, cap: np.ndarray, slack: float = 0.0):
+def laddered(on_q: np.ndarray, on_p: np.ndarray, rung: np.ndarray, may: np.ndarray | None, lo: np.ndarray, hi: np.ndarray, cells: np.ndarray | None, rank: np.ndarray | None, q: np.ndarray, scale: np.ndarray | None, at: np.ndarray | None, k: int, cap: np.ndarray, slack: float = 0.0, ends: np.ndarray | None = None):
     """(query, object) of the k nearest among the objects of a query's key ``on`` on the first rung that has any in reach.
 
     ``may``: the rungs (0 to 62) that a query takes, as bits. ``rank``: order of objects at one spot, or None for boxes.
+    ``ends``: both ends of objects that are lines; those with equal ends are at one spot.
     """
     pairs, seg = np.unique(np.stack([rung, on_p], 1), axis=0, return_inverse=True)
     seg = seg.reshape(-1)
-    kept = np.arange(len(seg)) if rank is None else first_copies(seg, lo, rank, k)
-    tree = Tree(seg[kept], lo[kept], hi[kept], None if cells is None else cells[kept])
+    kept = np.arange(len(seg)) if rank is None else first_copies(seg, lo if ends is None else ends, rank, k)
+    tree = Tree(seg[kept], lo[kept], hi[kept], None if cells is None else cells[kept], None if ends is None else ends[kept])
     open_, found = np.ones(len(q), bool), []
     for r in np.unique(pairs[:, 0]):
         a, b = np.searchsorted(pairs[:, 0], r, "left"), np.searchsorted(pairs[:, 0], r, "right")

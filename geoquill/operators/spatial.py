@@ -30,13 +30,13 @@ def best(rows: DataFrame, by: list[str], order: list[Column], keep: int = 1, ran
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= keep)
 
 
-#: Degrees of a tile, whose points go to one task, at least; points and queries of a tile beyond which it is dealt out.
-TILE_DEG, TILE_POINTS, TILE_QUERIES = 16.0, 200_000, 100_000
+#: Degrees and cells of a tile, whose points go to one task, at least; points and queries of a tile beyond which it is dealt out.
+TILE_DEG, TILE_CELLS, TILE_POINTS, TILE_QUERIES = 16.0, 4, 200_000, 50_000
 #: Degrees of a cell beyond which the world has too few to tell one side of a query from the other.
 WIDE_DEG = 40.0
 
 
-def _dealt(q: DataFrame, p: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def _dealt(q: DataFrame, p: DataFrame, keys: list[str], spot: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``_i`` and ``_j``: a tile with many points is cut into parts that every query meets, one with many
     queries into parts that get all points, so no task holds more than a part of each. Crowded tiles alone are counted out
     to all tasks: there are at most as many as the input has such parts."""
@@ -47,14 +47,15 @@ def _dealt(q: DataFrame, p: DataFrame, keys: list[str]) -> tuple[DataFrame, Data
     last = lambda c: F.sequence(F.lit(0), F.coalesce(c, one) - 1)
     some = lambda c, names: F.pmod(F.xxhash64(*names), F.coalesce(c, one)).cast("int")
     q = q.join(crowded, keys, "left").select(*q.columns, F.explode(last(F.col("_ni"))).alias("_i"), some(F.col("_nj"), ["qid", "lat", "lng"]).alias("_j"))
-    p = p.join(crowded, keys, "left").select(*p.columns, some(F.col("_ni"), ["id", "_x0", "_y0"]).alias("_i"), F.explode(last(F.col("_nj"))).alias("_j"))
+    p = p.join(crowded, keys, "left").select(*p.columns, some(F.col("_ni"), ["id", *spot]).alias("_i"), F.explode(last(F.col("_nj"))).alias("_j"))
     return q, p
 
 
-def _met(q: DataFrame, p: DataFrame, keys: list[str], out_q: list[str], out_p: list[str], search) -> DataFrame:
-    """Pairs that ``search(key, left, right)`` finds in each tile: columns ``out_q`` and ``out_p`` of its rows."""
+def _met(q: DataFrame, p: DataFrame, keys: list[str], out_q: list[str], out_p: list[str], search, spot: tuple[str, ...] = ("_x0", "_y0")) -> DataFrame:
+    """Pairs that ``search(key, left, right)`` finds in each tile: columns ``out_q`` and ``out_p`` of its rows. ``spot``:
+    columns of a point that with its id tell where it is dealt to."""
     fresh = lambda side: side.select(*[F.col(c).alias(c) for c in side.columns])
-    q, p = _dealt(fresh(q), fresh(p), keys)  # both may come from one table
+    q, p = _dealt(fresh(q), fresh(p), keys, spot)  # both may come from one table
     keys = [*keys, "_i", "_j"]
     fields = [q.schema[c] for c in out_q] + [p.schema[c] for c in out_p]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
@@ -88,41 +89,51 @@ def _same(on: tuple[str, ...]) -> Column:
     return F.xxhash64(*on) if on else F.lit(0).cast("long")
 
 
-def close_rows(queries: DataFrame, points: DataFrame, deg: float, keep: int = 1, within_m: float | None = None, on: tuple[str, ...] = (), rung: Column | None = None, may: Column | None = None, boxes: tuple[str, str, str, str] | None = None) -> DataFrame:
+def close_rows(queries: DataFrame, points: DataFrame, deg: float, keep: int = 1, within_m: float | None = None, on: tuple[str, ...] = (), rung: Column | None = None, may: Column | None = None, boxes: tuple[str, str, str, str] | None = None, line: tuple[str, str, str, str] | None = None) -> DataFrame:
     """Of :func:`cell_join` the pairs that can be among the ``keep`` nearest of a query, with the same columns.
 
     Tiles of cells meet the queries in and next to them; in a tile a packed tree answers each query, so nothing is paired that
     is far behind the nearest. Columns in ``on`` must be equal (by 64 bits of hash). ``rung``: a number of a point, of which a
     query sees only the least that has a point in reach (null: first); ``may``: rungs 0 to 62 that a query takes, as bits.
     ``boxes``: columns of least latitude and longitude, largest latitude and longitude of objects that are no points.
+    ``line``: columns of latitude and longitude of the first and last end of objects that are straight; of equal lines the
+    first by id and ``seg`` are searched, and distances are those to the line.
     """
-    cols, w = round(360 / deg), max(1, round(TILE_DEG / deg))
+    cols, w = round(360 / deg), max(TILE_CELLS, round(TILE_DEG / deg))
     row, col = (lambda c: F.floor((c + 90) / deg)), (lambda c: F.floor((c + 180) / deg))
     real = lambda *names: [F.col(c).isNotNull() & ~F.isnan(c) for c in names]
     q = queries
     for cond in real("lat", "lng"):
         q = q.where(cond)
-    tile = lambda r, c: F.floor(r / w) * (1 << 20) + F.floor(F.pmod(c, F.lit(cols)) / w)
-    q = q.withColumns({"_r": row(F.col("lat")), "_c": F.pmod(col(F.col("lng")), F.lit(cols)), "_on": _same(on), "_may": may if may is not None else F.lit(-1).cast("long")})
+    across = lambda c: F.floor(F.pmod(c, F.lit(cols)) / w)
+    tile = lambda r, c: F.floor(r / w) * (1 << 20) + across(c)
+    q = q.withColumns({"_r": row(F.col("lat")), "_c": F.pmod(col(F.col("lng")), F.lit(cols))})
     tiles = F.array_distinct(F.array(*[tile(F.col("_r") + i, F.col("_c") + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    q = q.withColumn("_tile", F.explode(tiles))
+    q = q.withColumn("_tile", F.explode(tiles)).drop("_r", "_c")
     kept = list(points.columns) if boxes else ["p_" + c if c in ("lat", "lng") else c for c in points.columns]
     p = points if boxes else points.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"})
     y0, x0, y1, x1 = boxes or ("p_lat", "p_lng", "p_lat", "p_lng")
     for cond in real(*dict.fromkeys((y0, x0, y1, x1))):
         p = p.where(cond)
-    p = p.withColumns({"_y0": F.col(y0), "_x0": F.col(x0), "_y1": F.col(y1), "_x1": F.col(x1), "_r0": row(F.col(y0)), "_c0": col(F.col(x0)), "_r1": row(F.col(y1)), "_c1": col(F.col(x1)), "_on": _same(on), "_rung": F.lit(0).cast("long") if rung is None else F.coalesce(rung.cast("long"), F.lit(-(1 << 62)))})
+    if on:
+        q, p = q.withColumn("_on", _same(on)), p.withColumn("_on", _same(on))
+    if rung is not None:
+        p = p.withColumn("_rung", F.coalesce(rung.cast("long"), F.lit(-(1 << 62))))
     if may is not None:
-        p = p.where(F.col("_rung").between(0, 62))
+        q = q.withColumn("_may", may)
+        p = p.where(F.col("_rung").between(0, 62)) if rung is not None else p
     if boxes:
-        across = F.array_distinct(F.transform(F.sequence("_c0", "_c1"), lambda c: F.floor(F.pmod(c, F.lit(cols)) / w)))
-        down = F.sequence(F.floor(F.col("_r0") / w), F.floor(F.col("_r1") / w))
-        p = p.withColumn("_tile", F.explode(F.flatten(F.transform(down, lambda r: F.transform(across, lambda c: r * (1 << 20) + c)))))
+        r0, c0, r1, c1 = row(F.col(y0)), col(F.col(x0)), row(F.col(y1)), col(F.col(x1))
+        wide = F.array_distinct(F.transform(F.sequence(c0, c1), across))
+        down = F.sequence(F.floor(r0 / w), F.floor(r1 / w))
+        many = F.flatten(F.transform(down, lambda r: F.transform(wide, lambda c: r * (1 << 20) + c)))
+        one = (F.floor(r0 / w) == F.floor(r1 / w)) & (c1 - c0 < w) & (across(c0) == across(c1))
+        p = p.withColumn("_tile", F.explode(F.when(one, F.array(tile(r0, c0))).otherwise(many)))
     else:
-        p = p.withColumn("_tile", tile(F.col("_r0"), F.col("_c0")))
+        p = p.withColumn("_tile", tile(row(F.col("p_lat")), col(F.col("p_lng"))))
     reach = math.inf if within_m is None else math.degrees(within_m / geo.EARTH_M) ** 2 * (1 + 1e-8)
     out_q, out_p = list(queries.columns), [c for c in kept if c not in on]
-    point, limited = boxes is None, may is not None
+    point, keyed, graded, limited = boxes is None, bool(on), rung is not None, may is not None
 
     def search(key, left, right):
         import numpy as np
@@ -130,21 +141,33 @@ def close_rows(queries: DataFrame, points: DataFrame, deg: float, keep: int = 1,
         from geoquill.operators import proximity
 
         get = lambda t, c: t.column(c).to_numpy()
+        real = lambda t, c: get(t, c).astype(float)
+        cell = lambda c, half: np.floor((c + half) / deg).astype(np.int64)
+        none = lambda t: np.zeros(t.num_rows, np.int64)
         mid = (key[0].as_py() % (1 << 20)) * w + w // 2
         turn = lambda x: x - 360 * np.round((x - ((mid + 0.5) * deg - 180)) / 360)
         wheel = lambda c: (c - mid + cols // 2) % cols - cols // 2 + mid
-        a0 = turn(get(right, "_x0"))
-        lo, hi = np.stack([get(right, "_y0"), a0], 1), np.stack([get(right, "_y1"), a0 + (get(right, "_x1") - get(right, "_x0"))], 1)
-        c0 = wheel(get(right, "_c0"))
-        cells = np.stack([get(right, "_r0"), get(right, "_r1"), c0, c0 + get(right, "_c1") - get(right, "_c0")], 1)
-        lat = get(left, "lat").astype(float)
-        at = np.stack([get(left, "_r"), wheel(get(left, "_c"))], 1)
-        spot = np.stack([lat, turn(get(left, "lng").astype(float))], 1)
+        b0, b1 = real(right, x0), real(right, x1)
+        a0 = turn(b0)
+        lo, hi = np.stack([real(right, y0), a0], 1), np.stack([real(right, y1), a0 + (b1 - b0)], 1)
+        c0, c1 = cell(b0, 180), cell(b1, 180)
+        cells = np.stack([cell(lo[:, 0], 90), cell(hi[:, 0], 90), wheel(c0), wheel(c0) + c1 - c0], 1)
+        lat, lng = real(left, "lat"), real(left, "lng")
+        at = np.stack([cell(lat, 90), wheel(cell(lng, 180) % cols)], 1)
+        spot = np.stack([lat, turn(lng)], 1)
         scale = np.stack([np.ones(len(lat)), np.cos(np.radians(lat))], 1)
-        rank = _ranks(right.column("id")) if point else None
-        return proximity.laddered(get(left, "_on"), get(right, "_on"), get(right, "_rung"), get(left, "_may") if limited else None, lo, hi, cells, rank, spot, scale, at, keep, np.full(len(lat), reach))
+        rank, ends = _ranks(right.column("id")) if point else None, None
+        if line:
+            ids = _ranks(right.column("id"))
+            by = np.lexsort((get(right, "seg"), ids))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            east = real(right, line[1]) == b0
+            ends = np.stack([real(right, line[0]), np.where(east, lo[:, 1], hi[:, 1]), real(right, line[2]), np.where(east, hi[:, 1], lo[:, 1])], 1)
+        on_q, on_p = (get(left, "_on"), get(right, "_on")) if keyed else (none(left), none(right))
+        return proximity.laddered(on_q, on_p, get(right, "_rung") if graded else none(right), get(left, "_may") if limited else None, lo, hi, cells, rank, spot, scale, at, keep, np.full(len(lat), reach), ends=ends)
 
-    return _met(q, p, ["_tile"], out_q, out_p, search)
+    return _met(q, p, ["_tile"], out_q, out_p, search, (x0, y0))
 
 
 def _near(queries: DataFrame, points: DataFrame, deg: float, within_m: float | None, **how) -> DataFrame:
@@ -241,28 +264,35 @@ def on_sphere(radius_m: float, keep: int):
     return search
 
 
+def _pairs(ways: DataFrame) -> DataFrame:
+    """One row per pair of consecutive nodes of ``ways`` (id, nodes): the way's other columns, seg, a_lat, a_lng, b_lat, b_lng."""
+    n, k = F.col("nodes"), F.col("seg")
+    rows = ways.where((F.size(n) >= 2) & F.forall(n, lambda v: v["lat"].isNotNull() & v["lng"].isNotNull()))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size(n) - 2)).alias("seg"))
+    ends = [n[i][c].alias(f"{end}_{c}") for end, i in (("a", k), ("b", k + 1)) for c in ("lat", "lng")]
+    return rows.select(*[c for c in ways.columns if c != "nodes"], "seg", *ends)
+
+
 def segments(ways: DataFrame) -> DataFrame:
     """One row per pair of consecutive nodes of ``ways`` (id, nodes): seg, a_lat, a_lng, b_lat, b_lng, and metres before."""
-    n = F.col("nodes")
-    pairs = F.zip_with(F.slice(n, F.lit(1), F.size(n) - 1), F.slice(n, F.lit(2), F.size(n) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = ways.where((F.size(n) >= 2) & F.forall(n, lambda v: v["lat"].isNotNull() & v["lng"].isNotNull()))
-    rows = rows.select(*[c for c in ways.columns if c != "nodes"], F.posexplode(pairs).alias("seg", "p"))
-    rows = rows.select("*", F.col("p.a.lat").alias("a_lat"), F.col("p.a.lng").alias("a_lng"), F.col("p.b.lat").alias("b_lat"), F.col("p.b.lng").alias("b_lng")).drop("p")
+    rows = _pairs(ways)
     size = geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
     before = Window.partitionBy("id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("id")
     return rows.withColumn("size", size).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0.0))).withColumn("total", F.sum("size").over(whole))
 
 
-def nearest_way(queries: DataFrame, ways: DataFrame, deg: float) -> DataFrame:
-    """Nearest way over its segments, with the arc position of the foot: streets and interpolation ways."""
-    seg = segments(ways)
+def nearest_way(queries: DataFrame, ways: DataFrame, deg: float, arc: bool = True) -> DataFrame:
+    """Nearest way over its segments: streets and interpolation ways. With ``arc`` the arc position of the foot as ``t``, which
+    takes the lengths of all segments."""
+    seg = segments(ways) if arc else _pairs(ways)
     far = F.col("a_lng") + geo.half_turn(F.col("b_lng") - F.col("a_lng"))
     seg = seg.withColumns({"_lat0": F.least("a_lat", "b_lat"), "_lng0": F.least(F.col("a_lng"), far), "_lat1": F.greatest("a_lat", "b_lat"), "_lng1": F.greatest(F.col("a_lng"), far)})
-    rows = close_rows(queries, seg, deg, boxes=("_lat0", "_lng0", "_lat1", "_lng1")).drop("_lat0", "_lng0", "_lat1", "_lng1")
+    rows = close_rows(queries, seg, deg, boxes=("_lat0", "_lng0", "_lat1", "_lng1"), line=("a_lat", "a_lng", "b_lat", "b_lng")).drop("_lat0", "_lng0", "_lat1", "_lng1")
     at = [F.col(c) for c in ("lat", "lng", "a_lat", "a_lng", "b_lat", "b_lng")]
     rows = rows.withColumn("d", geo.segment_dist_sq(*at)).withColumn("foot", geo.foot_on_segment(*at))
-    rows = rows.withColumn("t", F.when(F.col("total") == 0, 0.0).otherwise((F.col("before") + F.col("foot") * F.col("size")) / F.col("total")))
+    if arc:
+        rows = rows.withColumn("t", F.when(F.col("total") == 0, 0.0).otherwise((F.col("before") + F.col("foot") * F.col("size")) / F.col("total")))
     return best(rows, ["qid"], [F.col("d"), F.col("id"), F.col("seg")]).drop("rn")
 
 

@@ -84,6 +84,37 @@ def test_nearest_of_ways(spark):
     assert sp.close_rows(q, seg, 2, boxes=("y0", "x0", "y1", "x1")).count() < 30 * q.count()
 
 
+def ranked_rows(monkeypatch):
+    """Counts of the rows that are left for the exact ranking."""
+    seen, best = [], sp.best
+    monkeypatch.setattr(sp, "best", lambda rows, *how: seen.append(rows.count()) or best(rows, *how))
+    return seen
+
+
+def test_copies_of_ways_are_searched_once(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    at = [(float(y), float(x), float(a), float(b)) for y, x, a, b in zip(r.uniform(10, 12, 60), r.uniform(178, 182, 60), r.uniform(-0.3, 0.3, 60), r.uniform(-0.3, 0.3, 60), strict=True)]
+    wrap = lambda x: (x + 180) % 360 - 180
+    ways = [(k, [(y, wrap(x)), (y + a, wrap(x + b)), (y + a, wrap(x + b))]) for k, (y, x, a, b) in enumerate(at * 30)]
+    w = spark.createDataFrame(ways, "id long, nodes array<struct<lat double, lng double>>")
+    q = spots(spark, 200, 8, key="qid").select("qid", "lat", "lng")
+    ends = [F.col(c) for c in ("lat", "lng", "a_lat", "a_lng", "b_lat", "b_lng")]
+    every = q.crossJoin(sp.segments(w)).withColumn("d", sp.geo.segment_dist_sq(*ends))
+    want = sp.best(every, ["qid"], [F.col("d"), F.col("id"), F.col("seg")])
+    seen = ranked_rows(monkeypatch)
+    same(sp.nearest_way(q, w, 2), want, "qid", "id", "seg")
+    assert seen[0] < 3 * q.count()
+
+
+def test_queries_of_wide_cells_go_to_few_tiles(spark, monkeypatch):
+    q = spots(spark, 2_000, 11, (-60.0, 60.0), (-170.0, 170.0), key="qid").select("qid", "lat", "lng").cache()
+    p = spots(spark, 1_000, 12, (-60.0, 60.0), (-170.0, 170.0)).withColumn("rank", (F.col("id") % 5).cast("int")).cache()
+    want = sp.best(sp.cell_join(q, p, 20), ["qid"], [F.col("rank"), F.col("d"), F.col("id")])
+    seen = ranked_rows(monkeypatch)
+    same(sp.nearest_ranked(q, p, 20), want, "qid", "id")
+    assert seen[0] < 3 * q.count()
+
+
 def test_addresses_by_number_street_and_unit(spark):
     r = np.random.default_rng(3)
     houses = ["5", "5A", "3-9", "7", "12b", "1-4000", "no number", "9-3"]
