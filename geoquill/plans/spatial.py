@@ -94,13 +94,13 @@ SEG = """, seg as (select id, name, start_no, end_no, kind, 0 as seg, lat0 a_lat
 
 @query("j02_nearest_street", tg.cte("coords", "ways") + SEG + " select qid, id, name, round(6371000.0*sqrt(dd),2) metres from r where rn=1")
 def j02(spark, sf):
-    rows = op.nearest_way(tg.table(spark, sf, "coords"), tg.ways(spark, sf), 2)
+    rows = op.nearest_way(tg.table(spark, sf, "coords"), tg.ways(spark, sf).select("id", "name", "nodes"), 2, arc=False)
     return rows.select("qid", "id", "name", F.round(geo.metres(F.col("d")), 2).alias("metres"))
 
 
 @query("j03_interpolated_number", tg.cte("coords", "ways") + SEG + ", n as (select qid, id, start_no, end_no, kind, case when total=0 then 0.0 else (bef+foot*size)/total end t from r where rn=1) select qid, id, round(t,4) t, case when kind=0 then cast(round(start_no+t*(end_no-start_no)) as bigint) else cast(start_no+greatest(0.0,round(t*(end_no-start_no)/2))*2 as bigint) end as house from n")
 def j03(spark, sf):
-    rows = op.nearest_way(tg.table(spark, sf, "coords"), tg.ways(spark, sf), 2)
+    rows = op.nearest_way(tg.table(spark, sf, "coords"), tg.ways(spark, sf).drop("name"), 2)
     number = geo.interpolated_number(F.col("start_no"), F.col("end_no"), F.col("t"), F.col("kind"))
     return rows.select("qid", "id", F.round("t", 4).alias("t"), number.alias("house"))
 
