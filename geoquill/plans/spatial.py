@@ -111,7 +111,7 @@ def j03(spark, sf):
 def j05(spark, sf):
     """A city from the nearest place only if that lies in the same country."""
     c = _levels(spark, sf).groupBy("qid").agg(F.max(F.when(F.col("level") == 2, F.col("k"))).alias("k"), F.max(F.when(F.col("level") == 8, F.col("name"))).alias("city"))
-    pl = op.nearest_ranked(tg.table(spark, sf, "coords"), tg.table(spark, sf, "places"), 20).select(F.col("qid"), F.col("name").alias("pname"), F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"))
+    pl = op.nearest_ranked(tg.table(spark, sf, "coords"), tg.table(spark, sf, "places").drop("importance"), 20).select(F.col("qid"), F.col("name").alias("pname"), F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"))
     same = op.point_in_polygon(pl, tg.polygons(spark, sf).where("level = 2").select("id", "ring", F.col("k").alias("pk")), 4.0).select("qid", "pname", "pk")
     return c.join(same, (c["qid"] == same["qid"]) & (c["k"] == same["pk"]), "left").select(c["qid"], F.coalesce("city", "pname").alias("city"))
 
