@@ -12,6 +12,8 @@ A window is ``length`` consecutive bytes of one document; a byte goes if a windo
 3. Suffix arrays. A task takes the runs of many contested anchors in document order, batch by batch: a batch's windows
    are sorted (its suffix array, at the positions that the routing sent here), merge-scanned against every level of the
    index for matches of full length, and become a new level; levels of equal size merge, so there are O(log n).
+   A window has some thirty times the bytes that the next one adds to a run, so a task holds runs as bytes and takes
+   windows in parts by some of their bytes, one index after another: equal windows are in one part.
 4. Hot anchors (a line that a third of all documents hold has as many different contexts) are broken into single
    windows, each routed by its own hash; equal ones collapse, so no task gets the group. Anchors found hot on a sample are broken
    up at once; any that turns out hot when counted is broken up then. Either way gives the same result.
@@ -40,12 +42,12 @@ RUN = LENGTH
 SAMPLE_BYTES, SAMPLE_HOT = 50_000_000, 100
 #: Different runs from which a counted anchor is hot; fewer are about a megabyte, which one task takes.
 HOT = 8192
-#: Bytes of runs that one suffix index task takes, about, and runs in one of its batches.
-TASK_BYTES, BATCH_RUNS = 2_000_000, 256
+#: Bytes of runs that one suffix index task takes, about; windows that its index holds at a time, about, and that a batch has.
+TASK_BYTES, PART_WINDOWS, BATCH_WINDOWS = 2_000_000, 1 << 16, 1 << 13
 #: Document ids up to which the set of documents with contested runs is broadcast.
 BROADCAST_ROWS = 200_000
 #: Windows of a text that are hashed at a time, and run descriptions that a task collapses at a time.
-SLICE, FLUSH_ROWS = 1 << 20, 150_000
+SLICE, FLUSH_ROWS = 1 << 17, 150_000
 
 STEP = U(0x9E3779B97F4A7C15)
 BACK = U(pow(int(STEP), -1, 2**64))
@@ -214,23 +216,39 @@ class SuffixIndex:
         return repeat
 
 
+def _parts(data: bytes, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the windows that start at ``at``, in order, in parts of about ``PART_WINDOWS``; equal windows are in one part."""
+    parts = -(-len(at) // PART_WINDOWS)
+    if parts < 2:
+        yield np.arange(len(at))
+        return
+    words, key = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)), np.zeros(len(at), U)
+    for place in (0, 30, 61, LENGTH - 8):  # the ends and two places between, as many windows may begin alike
+        key = mix(key + words[at + place])
+    part = (key % U(parts)).astype(np.uint16)
+    order = np.argsort(part, kind="stable").astype(np.int32)
+    yield from np.split(order, np.cumsum(np.bincount(part, minlength=parts))[:-1])
+
+
 def _scan_group(g: pd.DataFrame) -> pd.DataFrame:
-    """Repeats among the runs of one task's anchors, found batch by batch in document order."""
+    """Repeats among the runs of one task's anchors, found part by part, and batch by batch in document order."""
     g = g.sort_values(["d", "start"])
-    index, out = SuffixIndex(), []
-    for lo in range(0, len(g), BATCH_RUNS):
-        b = g.iloc[lo : lo + BATCH_RUNS]
-        n = b["n"].to_numpy(np.int64)
-        views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(x, np.uint8), LENGTH) for x in b["bytes"]]
-        windows = np.ascontiguousarray(np.concatenate(views)).view(f"S{LENGTH}").ravel()
-        repeat = index.add(windows)
-        d, pos = np.repeat(b["d"].to_numpy(np.int64), n), np.repeat(b["start"].to_numpy(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        d, pos = d[repeat], pos[repeat]
-        if len(d):
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (pos[1:] != pos[:-1] + 1)])
-            at = np.flatnonzero(new)
-            out.append(pd.DataFrame({"d": d[at], "start": pos[at], "n": np.diff(np.append(at, len(d)))}))
-    return pd.concat(out) if out else pd.DataFrame({"d": [], "start": [], "n": []})
+    n = g["n"].to_numpy(np.int64)
+    if not len(n):
+        return pd.DataFrame({"d": [], "start": [], "n": []})
+    data, first = b"".join(g["bytes"]), np.cumsum(n) - n
+    at = (np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (LENGTH - 1), n)).astype(np.int32)
+    text, repeat = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), LENGTH), np.zeros(len(at), bool)
+    for part in _parts(data, at):
+        index = SuffixIndex()
+        for lo in range(0, len(part), BATCH_WINDOWS):
+            b = part[lo : lo + BATCH_WINDOWS]
+            repeat[b] = index.add(text[at[b]].view(f"S{LENGTH}").ravel())
+    again = np.flatnonzero(repeat)
+    run = np.searchsorted(first, again, side="right") - 1
+    d, pos = g["d"].to_numpy(np.int64)[run], g["start"].to_numpy(np.int64)[run] + again - first[run]
+    begin = np.flatnonzero(np.diff(d, prepend=d[:1] - 1) | (np.diff(pos, prepend=pos[:1] - 1) != 1)) if len(d) else again
+    return pd.DataFrame({"d": d[begin], "start": pos[begin], "n": np.diff(np.append(begin, len(d)))})
 
 
 def _grouped(rows: DataFrame) -> DataFrame:

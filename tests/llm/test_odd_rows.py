@@ -5,9 +5,11 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,46 @@ def test_long_texts_in_slices(spark, monkeypatch, piece):
     suffix_dedup._powers.cache_clear()
 
 
+@pytest.mark.parametrize("blank", [b"", b" " * 60])
+def test_a_task_holds_runs_not_windows(monkeypatch, blank):
+    """Repeats are those of a plain version, and what is held at once does not grow with a hundred bytes a window."""
+    rng, rows = random.Random(5), []
+    stems = [blank + bytes(rng.randrange(97, 101) for _ in range(199 - len(blank))) for _ in range(40)]
+    for i in range(6000):
+        x = bytearray(rng.choice(stems))
+        x[rng.randrange(len(blank), len(x))] = 65 + rng.randrange(20)
+        n = rng.randrange(1, 101)
+        rows.append((i // 3, i % 3 * 1000, n, bytes(x[: n + 99])))
+    seen, want = set(), set()
+    for d, start, n, x in rows:
+        for k in range(n):
+            if x[k : k + 100] in seen:
+                want.add((d, start + k))
+            seen.add(x[k : k + 100])
+    g = pd.DataFrame(rows, columns=["d", "start", "n", "bytes"]).sample(frac=1, random_state=1)
+    windows, largest, add = int(g["n"].sum()), [], suffix_dedup.SuffixIndex.add
+
+    def noted(index, x):
+        out = add(index, x)
+        largest.append(sum(level.nbytes for level in index.levels))
+        return out
+
+    monkeypatch.setattr(suffix_dedup.SuffixIndex, "add", noted)
+    for size in (1 << 12, 1 << 16, 1 << 30):
+        monkeypatch.setattr(suffix_dedup, "PART_WINDOWS", size)
+        largest.clear()
+        out = suffix_dedup._scan_group(g)
+        assert sorted((d, s + k) for d, s, n in out.to_numpy(int).tolist() for k in range(n)) == sorted(want)
+        assert max(largest) <= 100 * min(windows, 1.3 * size)
+    monkeypatch.undo()
+    tracemalloc.start()
+    suffix_dedup._scan_group(g)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * windows
+    assert not len(suffix_dedup._scan_group(g[:0])) and not len(suffix_dedup._scan_group(g[:1]))
+
+
 def test_window_hashes_of_two_kinds():
     raw = np.frombuffer(_say(4, 400).encode(), np.uint8)
     first, second = suffix_dedup.anchors_and_windows(raw)[1], suffix_dedup.second_hashes(raw)
